@@ -11,6 +11,7 @@ from .decontaminate import find_overlaps
 from .feistel import shard_rows
 from .line_clean import clean_lines
 from .packing import pack_documents
+from .secrets_scan import KINDS, find_secrets, written
 from .token_counts import count_tokens
 
 
@@ -29,6 +30,13 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"), "row_number")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of_kind = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    base = F.sha2(written(F.col("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", *map(of_kind, KINDS[:3]), base, written(F.col("spans")).alias("spans"))
+
+
 def op9_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -45,6 +53,7 @@ def queries() -> dict:
         "op1_pack": op1_pack,
         "op4_token_counts": op4_token_counts,
         "op5_shard": op5_shard,
+        "op6_secrets": op6_secrets,
         "op9_line_clean": op9_line_clean,
         "op10_decontaminate": op10_decontaminate,
     }
