@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import find_overlaps
 from .feistel import shard_rows
 from .line_clean import clean_lines
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .secrets_scan import KINDS, find_secrets, written
 from .token_counts import count_tokens
@@ -20,6 +21,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,6 +56,7 @@ def queries() -> dict:
     """Name -> function of a session and a data directory."""
     return {
         "op1_pack": op1_pack,
+        "op2_near_duplicates": op2_near_duplicates,
         "op4_token_counts": op4_token_counts,
         "op5_shard": op5_shard,
         "op6_secrets": op6_secrets,
