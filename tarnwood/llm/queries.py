@@ -13,6 +13,7 @@ from .line_clean import clean_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .secrets_scan import KINDS, find_secrets, written
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
@@ -42,6 +43,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, KINDS[:3]), base, written(F.col("spans")).alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -60,6 +66,7 @@ def queries() -> dict:
         "op4_token_counts": op4_token_counts,
         "op5_shard": op5_shard,
         "op6_secrets": op6_secrets,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_clean": op9_line_clean,
         "op10_decontaminate": op10_decontaminate,
     }
