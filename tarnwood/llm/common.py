@@ -17,7 +17,6 @@ ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG_TEXT = 1 << 20
 
 _CUT = re.compile(f"(?<=[^{WHITE}])(?= [^{WHITE}])")
-_UPPER = {c: c + 32 for c in range(65, 91)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: str) -> str:
     """A-Z to a-z; every other character stays."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def blocks(text: str, size: int = LONG_TEXT) -> Iterator[str]:
