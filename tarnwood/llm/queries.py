@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .cotrain import score_quality
 from .decontaminate import find_overlaps
 from .feistel import shard_rows
 from .line_clean import clean_lines
@@ -26,6 +27,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,6 +68,7 @@ def queries() -> dict:
     return {
         "op1_pack": op1_pack,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_quality": op3_quality,
         "op4_token_counts": op4_token_counts,
         "op5_shard": op5_shard,
         "op6_secrets": op6_secrets,
