@@ -13,6 +13,7 @@ from .feistel import shard_rows
 from .line_clean import clean_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .pseudo_lm import score_documents
 from .secrets_scan import KINDS, find_secrets, written
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -48,6 +49,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, KINDS[:3]), base, written(F.col("spans")).alias("spans"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,6 +77,7 @@ def queries() -> dict:
         "op4_token_counts": op4_token_counts,
         "op5_shard": op5_shard,
         "op6_secrets": op6_secrets,
+        "op7_lm_score": op7_lm_score,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_clean": op9_line_clean,
         "op10_decontaminate": op10_decontaminate,
