@@ -7,7 +7,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The code points of the Unicode White_Space property, as a regex class body.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -61,3 +63,16 @@ def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iter
             yield work(batch)
 
     return run
+
+
+def carried(docs: DataFrame, carry: str | None) -> tuple[list[Column], T.StructType]:
+    """What to select, and the schema to add, for an operator that hands its rows through as a struct named ``carry``."""
+    if carry is None:
+        return [], T.StructType([])
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(carry))
+    return [F.struct(*[docs[c] for c in docs.columns]).alias(carry)], whole.schema
+
+
+def ddl(text: str) -> T.StructType:
+    """A schema from its short form."""
+    return T._parse_datatype_string(text)

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_WORD, by_batch
+from .common import ASCII_WORD, by_batch, carried, ddl
 
 _BITS = 20
 #: Turns a feature's number into that of the same feature met in three distinct words or more.
@@ -268,6 +269,7 @@ def _fit_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool:
 def score_quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     max_labelled: int = 6000, max_pool: int = 3000, rounds: int = 3, least_quality: float = 0.3, most_toxic: float = 0.2,
+    carry: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``quality``, ``toxicity``, each view's scores, ``kept``.
 
@@ -277,11 +279,13 @@ def score_quality(
     labels take no part in fitting; of repeated labels the strictest holds.
     Where a label has one class only, its probability is that class, and no
     document is rejected for it when there are no labels. Repeated rows are
-    scored each; other columns are ignored; an empty table gives no rows.
+    scored each; other columns are ignored, but with ``carry`` the whole input
+    row comes along as a struct of that name; an empty table gives no rows.
     """
+    along, more = carried(docs, carry)
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
-        F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"),
+        F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *along,
     )
     rows, meta, known = _fit_sample(slim, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"), max_labelled, max_pool)
     verdicts = {name: cotrain(rows, meta, y, rounds) for name, y in known.items()}
@@ -305,7 +309,8 @@ def score_quality(
                 columns[2 + 2 * k].append(_sigmoid(c))
                 columns[3 + 2 * k].append(_sigmoid(s))
         flat = [pa.array(np.concatenate(c) if c else np.empty(0), pa.float64()) for c in columns]
-        return pa.RecordBatch.from_arrays([batch.column(0), *flat], names=names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *flat, *batch.columns[4:]], names=names + more.names)
 
-    out = slim.mapInArrow(by_batch(work), "doc_id long, " + ", ".join(f"{n} double" for n in names[1:]))
+    schema = ddl("doc_id long, " + ", ".join(f"{n} double" for n in names[1:]))
+    out = slim.mapInArrow(by_batch(work), T.StructType(schema.fields + more.fields))
     return out.withColumn("kept", (F.col("quality") >= least_quality) & (F.col("toxicity") < most_toxic))

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lower_ascii
+from .common import carried, ddl, lower_ascii
 
 #: Words of this contract: ASCII digits and letters, and everything beyond ASCII.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -88,17 +89,19 @@ def _probe(words: list[str], index: dict, hits: bytearray, items: set[str]) -> N
 
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 8 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 8 << 20, carry: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids, as strings), ``contaminated``.
 
     Null and empty texts have no words; items with a null id or text, or without
     a word, have no window; repeated items are one item; repeated documents are
-    judged each; other columns are ignored, whatever their names. Empty
+    judged each; other columns are ignored, whatever their names, but with
+    ``carry`` the whole input row comes along as a struct of that name. Empty
     documents give no rows, an empty benchmark no hits.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    along, more = carried(docs, carry)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *along)
     held = []
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         vocabulary = spark.sparkContext.broadcast(frozenset(w for _, t in items for w in words_of(t)))
@@ -133,10 +136,11 @@ def find_overlaps(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array([h.count(1) for h in hits], pa.int64()),
-                    pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+                    pa.array([sorted(x) for x in found], pa.list_(pa.string())), *batch.columns[2:],
                 ],
-                names=["doc_id", "n_words", "n_hit", "items"],
+                names=["doc_id", "n_words", "n_hit", "items", *more.names],
             )
 
-    out = rows.mapInArrow(probe, "doc_id long, n_words long, n_hit long, items array<string>")
+    schema = ddl("doc_id long, n_words long, n_hit long, items array<string>")
+    out = rows.mapInArrow(probe, T.StructType(schema.fields + more.fields))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
