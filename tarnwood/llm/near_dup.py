@@ -4,12 +4,16 @@
    the band keys of its signature. Documents of equal sets form one class, so
    exact copies cost one row each from here on, whatever their number.
 2. Classes that share a band key are candidates. A bucket is never expanded into
-   all its pairs: its members are first compared with its smallest member, then,
-   where parts of it are still apart, with further pivots, and only pairs that
-   are apart after that are compared one by one. Pairs inside a component need
-   no comparison, so a large group of near copies costs about a pair a member.
-3. Every comparison is exact, on the full sets, behind a length bound. Links
-   become components by alternating stars.
+   its pairs: its members are first compared with its smallest member only, and
+   links become components by alternating stars.
+3. Classes joined by buckets form families. Where a family still has two
+   components or more, candidates in different ones are left to compare. The
+   family is dealt into blocks of about ``_BLOCK`` classes, by component where
+   one is large, and each two blocks make one row: all intersections between
+   them are one matrix product over the shingles that both hold. Blocks of one
+   component are never paired, and no row is made for a pair of classes.
+
+Every comparison is exact, on the full sets.
 
 With 32 bands of 4 coordinates, a pair at similarity 0.8 shares no band with a
 probability of 5e-8. Sets of under t / (1 - t) shingles can only be linked to
@@ -30,7 +34,7 @@ from .components import components
 from .shingles import CirculantMinHash, WordHashes, set_digest, shingle_set
 
 _hashes = WordHashes()
-_PIVOTS = 3
+_BLOCK = 128
 
 
 def _signer(width: int, minhash: CirculantMinHash, least: int):
@@ -66,18 +70,88 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
 
 
-def _pairs(members: DataFrame, centers: DataFrame, percent: int, when: str = "rep <> pivot") -> DataFrame:
-    """Distinct (smaller, larger) pairs of a bucket's pivot and its members, within the length bound."""
-    both = members.join(centers, "key").where(when)
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a bucket's smallest member and each other one, within the length bound."""
     fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    return both.where(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold two components or more, with their component."""
-    named = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return named.join(split, "key")
+    return members.where((F.col("rep") != F.col("pivot")) & fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _block_comparer(percent: int):
+    """Links between two blocks: of different components, sharing a band key, similar on the full sets."""
+
+    def sides(block: dict) -> tuple:
+        rep, n, label = (np.array(block[c], np.int64) for c in ("rep", "n", "label"))
+        bands = np.array(block["bands"], np.int64)
+        sets = [np.array(x, np.int64) for x in block["shingles"]]
+        return rep, n, label, bands, sets
+
+    def counts(left: list, right: list) -> np.ndarray:
+        """Sizes of all intersections."""
+        shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+        total = np.zeros((len(left), len(right)), np.float64)
+        for at in range(0, len(shared), 1 << 14):
+            part = shared[at : at + (1 << 14)]
+            both = []
+            for sets in (left, right):
+                dense = np.zeros((len(sets), len(part)), np.float32)
+                for i, s in enumerate(sets):
+                    place = np.searchsorted(part, s)
+                    place[place == len(part)] = 0
+                    dense[i, place[part[place] == s]] = 1
+                both.append(dense)
+            total += both[0] @ both[1].T
+        return total.astype(np.int64)
+
+    def work(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ra, na, la, ba, sa), (rb, nb, lb, bb, sb) = (sides(batch.column(j)[k].as_py()) for j in (0, 1))
+                may = (la[:, None] != lb[None]) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+                touch = np.zeros_like(may)
+                for j in range(ba.shape[1]):
+                    touch |= ba[:, j, None] == bb[None, :, j]
+                may &= touch
+                if not may.any():
+                    continue
+                i, j = may.any(axis=1), may.any(axis=0)
+                inter = np.zeros(may.shape, np.int64)
+                inter[np.ix_(i, j)] = counts([s for s, u in zip(sa, i, strict=True) if u], [s for s, u in zip(sb, j, strict=True) if u])
+                x, y = np.nonzero(may & (100 * inter >= percent * (na[:, None] + nb - inter)))
+                yield pa.RecordBatch.from_arrays([pa.array(ra[x]), pa.array(rb[y])], names=["a", "b"])
+
+    return work
+
+
+def _across(classes: DataFrame, sets: DataFrame, families: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one family."""
+    named = families.select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    split = named.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("family")
+    apart = settle(named.join(split, "family"))
+    sizes = apart.groupBy("family", "label").agg(F.count("*").alias("size"))
+    # A component of a block or more has blocks of its own; the others share some.
+    large = F.when(F.col("size") >= _BLOCK, F.col("label"))
+    sizes = sizes.withColumn("own", large)
+    parts = sizes.groupBy("family", "own").agg(F.ceil(F.sum("size") / _BLOCK).cast("int").alias("blocks"))
+    blocks = parts.select("family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+    left, right = (blocks.select("family", F.col("own").alias(f"own_{x}"), F.col("block").alias(f"block_{x}")) for x in "xy")
+    order = F.struct(F.coalesce("own_x", F.lit(-(1 << 62))), "block_x") <= F.struct(F.coalesce("own_y", F.lit(-(1 << 62))), "block_y")
+    pairs = left.join(right, "family").where(order & (F.col("own_x").isNull() | F.col("own_y").isNull() | (F.col("own_x") != F.col("own_y"))))
+    members = apart.join(sizes.select("family", "label", "own"), ["family", "label"])
+    members = members.join(parts, (members["family"] == parts["family"]) & members["own"].eqNullSafe(parts["own"])).select(
+        members["family"], members["own"], "label", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    )
+    whole = members.join(sets, "rep").join(classes.select("rep", "n", "bands"), "rep")
+    packed = settle(
+        whole.groupBy("family", "own", "block").agg(
+            F.struct(*[F.collect_list(c).alias(c) for c in ("rep", "n", "label", "bands", "shingles")]).alias("rows")
+        )
+    )
+    for x in "xy":
+        one = packed.select(F.col("family").alias("f"), F.col("own").alias("o"), F.col("block").alias("b"), F.col("rows").alias(f"rows_{x}"))
+        on = (F.col("family") == F.col("f")) & F.col(f"own_{x}").eqNullSafe(F.col("o")) & (F.col(f"block_{x}") == F.col("b"))
+        pairs = pairs.join(one, on).drop("f", "o", "b")
+    return pairs.select("rows_x", "rows_y").mapInArrow(_block_comparer(percent), "a long, b long")
 
 
 def near_duplicates(
@@ -105,31 +179,19 @@ def near_duplicates(
     keyed = classes.where("bands is not null").select("rep", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi")).where("lo.rep < hi")
     first = shared.select("key", F.col("lo.rep").alias("pivot"), F.col("lo.n").alias("pivot_n"))
-    members = settle(keyed.join(first, "key").select("key", "rep", "n", "pivot", "pivot_n"))
-    centers = members.select("key", "pivot", "pivot_n").distinct()
-    members = members.select("key", "rep", "n")
+    members = settle(keyed.join(first, "key").select("rep", "n", "pivot", "pivot_n").distinct())
 
     wanted = classes.select("rep", "digest").join(members.select("rep").distinct(), "rep", "left_semi")
     texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "digest", "text")
     made = texts.mapInArrow(_set_maker(width), "rep long, same boolean, shingles array<long>").where("same")
     sets = settle(made.dropDuplicates(["rep", "shingles"]).select("rep", "shingles"))
 
-    links = settle(_verified(_pairs(members, centers, percent), sets, percent))
+    links = settle(_verified(_pairs(members, percent), sets, percent))
     labels = components(links)
-    apart = settle(_labelled(members, labels))
-    if not apart.isEmpty():
-        ranked = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "n", "label")).alias(f"p{k}") for k in range(_PIVOTS)]
-        pivots = apart.groupBy("key").agg(*ranked).select("key", F.explode(F.array(*[f"p{k}" for k in range(_PIVOTS)])).alias("p"))
-        pivots = pivots.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label")).distinct()
-        more = _pairs(apart, pivots, percent, "label <> pivot_label")
-        links = settle(links.unionByName(_verified(more, sets, percent)))
-        labels = components(links)
-        rest = _labelled(members, labels)
-        a, b = (rest.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        last = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
-        links = links.unionByName(_verified(last, sets, percent))
-        labels = components(links)
+    families = components(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    more = settle(_across(classes.where("bands is not null"), sets, families, labels, percent))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     of_class = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
