@@ -1 +1 @@
-
+"""Column functions: vectors, scores, texts and formats."""

@@ -1 +1 @@
-
+"""Multi-step plans: versioned tables, change capture and replication, the registered queries."""

@@ -1 +1 @@
-
+"""Readers of files: markdown vaults, session archives, configuration, logs."""

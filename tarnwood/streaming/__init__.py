@@ -1 +1 @@
-
+"""Structured Streaming: event intake, outbox upkeep, idempotent application."""
