@@ -233,8 +233,8 @@ def procedures(spark, d):
 
 @query(
     "ret21_session_context",
-    """SELECT * FROM (SELECT 'event' AS kind, event_id AS item, epoch(ts)::BIGINT AS moment FROM events WHERE user_id = 3 UNION ALL
-       SELECT 'order', o_orderkey, epoch(o_orderdate)::BIGINT FROM orders WHERE o_custkey = 3) ORDER BY moment DESC, kind, item LIMIT 50""",
+    """SELECT * FROM (SELECT 'event' AS kind, event_id AS item, floor(epoch(ts))::BIGINT AS moment FROM events WHERE user_id = 3 UNION ALL
+       SELECT 'order', o_orderkey, floor(epoch(o_orderdate))::BIGINT FROM orders WHERE o_custkey = 3) ORDER BY moment DESC, kind, item LIMIT 50""",
 )
 def session_context(spark, d):
     events = table(spark, d, "events").where("user_id = 3").select(F.lit("event").alias("kind"), F.col("event_id").alias("item"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("moment"))
