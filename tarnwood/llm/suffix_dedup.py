@@ -8,7 +8,7 @@ too many rows to deal out over a cluster. The sample here is chosen by content
 instead, as in string synchronizing sets (Kempa and Kociumaka, 2019): for every
 window of ``length`` bytes, the position of its smallest ``gram``-byte hash.
 Equal windows choose equal places, so two suffixes still meet their samples at
-the same distance, and about one suffix in 35 is in the sample.
+the same distance, and about one suffix in 39 is in the sample.
 
 1. Samples are found in a scan of the texts; only those whose gram occurs
    elsewhere go on, with the bytes around them.
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S29, _S32 = np.uint64(29), np.uint64(32)
+#: Bytes of a gram, a multiple of 8.
+_GRAM = 24
 _SEGMENT = 1 << 21
 _POSITION = np.uint64((1 << 22) - 1)
 #: No byte of UTF-8; stands for what lies beyond a text's ends.
@@ -42,8 +44,8 @@ _BEYOND = 0xFF
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 32 bytes from each position on."""
-    n = len(data) - 31
+    """A hash of the ``_GRAM`` bytes from each position on."""
+    n = len(data) - _GRAM + 1
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     with np.errstate(over="ignore"):
         mixed = words * _C[0]
@@ -51,7 +53,7 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
         mixed *= _C[1]
         mixed ^= mixed >> _S29
         h = mixed[:n] * _C[0]
-        for j in (1, 2, 3):
+        for j in range(1, _GRAM // 8):
             h += mixed[8 * j : 8 * j + n] * _C[j]
             h ^= h >> _S29
         h *= _C[1]
@@ -76,7 +78,7 @@ def samples(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     Arrays: gram hash, number of the text, sample's place in ``data``, smallest
     and largest distance back to a window's start that chooses this sample.
     """
-    span = length - 31
+    span = length - _GRAM + 1
     h = _gram_hashes(data)
     keys = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
     at = (_smallest(keys, span) & _POSITION).astype(np.int64)
@@ -135,7 +137,7 @@ def _sampler(length: int):
 
 
 def _context_maker(length: int):
-    left, right = length - 32, length
+    left, right = length - _GRAM, length
     schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("packed", pa.int64()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +151,14 @@ def _context_maker(length: int):
             for i in range(len(rows)):
                 data = np.frombuffer(texts[i].as_buffer(), np.uint8)
                 own = slice(bounds[i], bounds[i + 1])
-                at = places[own] >> 20
-                for k in range(0, len(at), 20_000):
-                    some = at[k : k + 20_000]
+                for k in range(0, own.stop - own.start, 20_000):
+                    some_packed = places[own][k : k + 20_000]
+                    some = some_packed >> 20
                     index = some[:, None] + np.arange(-left, right)
-                    inside = (index >= 0) & (index < len(data))
+                    # What no window of the sample reaches is blanked out: it compresses to nothing.
+                    near, far = (some_packed >> 10) & 1023, some_packed & 1023
+                    reach = np.arange(-left, right)
+                    inside = (reach >= -far[:, None]) & (reach < length - near[:, None])
                     bytes_ = np.where(inside, data[np.clip(index, 0, len(data) - 1)], np.uint8(_BEYOND))
                     flat = pa.py_buffer(np.ascontiguousarray(bytes_))
                     offsets = pa.py_buffer(np.arange(0, (len(some) + 1) * (left + right), left + right, dtype=np.int32))
@@ -203,9 +208,9 @@ def _sorted_classes(gram: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray,
 def repeats(gram: np.ndarray, near: np.ndarray, far: np.ndarray, contexts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For samples in the order of their texts: the smallest and largest distance of a repeated window; -1 without one.
 
-    ``contexts`` has ``length - 32`` bytes left and ``length`` bytes right of each sample.
+    ``contexts`` has ``length - _GRAM`` bytes left and ``length`` bytes right of each sample.
     """
-    left = length - 32
+    left = length - _GRAM
     m = len(gram)
     by_right, right_common = _sorted_classes(gram, contexts[:, left:])
     by_left, left_common = _sorted_classes(gram, contexts[:, left - 1 :: -1] if left else contexts[:, :0])
@@ -228,7 +233,7 @@ def repeats(gram: np.ndarray, near: np.ndarray, far: np.ndarray, contexts: np.nd
 
 
 def _bucket_sorter(length: int, block: int = 40_000):
-    width = 2 * length - 32
+    width = 2 * length - _GRAM
 
     def worked(table: pa.Table) -> pa.RecordBatch:
         columns = table.combine_chunks()
