@@ -105,14 +105,14 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", scope: int = 200) -
 
     Spans are arrays of (start, end, kind), in code points, the end exclusive,
     ordered by start, then kind as in ``KINDS``. Null and empty texts
-    have none. All columns of ``docs`` stay, but for former columns of the three
-    names, which are replaced; names that begin with an underscore are kept for
-    the scan's own columns and must not be among them. Repeated rows are scanned
+    have none. All columns of ``docs`` stay, whatever their names, but for former
+    columns of the three names, which are replaced. Repeated rows are scanned
     each; an empty table stays empty.
     """
-    own = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = _with_matches(docs, text, ASSIGN, "assign", lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6)
+    own, rows = docs.columns, _wrapped(docs)
+    rows = rows.withColumn("_text", F.coalesce(F.col("_document").getField(text_col), F.lit("")))
+    text = F.col("_text")
+    found = _with_matches(rows, text, ASSIGN, "assign", lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6)
     found = _with_matches(found, text, ACCESS, "access")
     found = _with_matches(found, text, HEX, "hex")
     found = _with_matches(found, text, WEAK_ID, "weak_id")
@@ -138,7 +138,13 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", scope: int = 200) -
     )
     found = found.withColumn("weak_spans", linked)
     found = found.withColumn("spans", _by_start(F.concat("base_spans", "weak_spans")))
-    return found.select(*[c for c in own if c not in ("base_spans", "weak_spans", "spans")], "base_spans", "weak_spans", "spans")
+    kept = [F.col("_document").getField(c).alias(c) for c in own if c not in ("base_spans", "weak_spans", "spans")]
+    return found.select(*kept, "base_spans", "weak_spans", "spans")
+
+
+def _wrapped(rows: DataFrame) -> DataFrame:
+    """Each row as one struct, so that no name of its columns meets one of ours."""
+    return rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("_document"))
 
 
 def _by_start(spans: Column) -> Column:
@@ -155,10 +161,10 @@ def written(spans: Column) -> Column:
 
 def redact(found: DataFrame, *, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """The text with every span, overlapping ones as one, replaced by ``mask``; a text without spans stays as it is."""
-    spans = F.col("spans")
-    text = F.col(text_col)
-    found = found.withColumn("_stops", F.transform(spans, lambda s: s["end"]))
-    found = running(found, "_stops", "_reach", lambda a, b: F.greatest(a, b))
+    own, rows = found.columns, _wrapped(found)
+    rows = rows.withColumn("_spans", F.col("_document.spans")).withColumn("_text", F.col("_document").getField(text_col))
+    spans, text = F.col("_spans"), F.col("_text")
+    rows = running(rows.withColumn("_stops", F.transform(spans, lambda s: s["end"])), "_stops", "_reach", lambda a, b: F.greatest(a, b))
     done = lambda i: F.when(i > 0, F.get(F.col("_reach"), i - 1)).otherwise(F.lit(0).cast("long"))
     cut = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
     pieces = F.transform(
@@ -168,4 +174,5 @@ def redact(found: DataFrame, *, text_col: str = "text", mask: str = "[secret]")
     )
     last = F.element_at(F.col("_reach"), -1)
     clean = F.concat(F.array_join(pieces, ""), cut(last, F.length(text).cast("long") - last))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("_reach", "_stops")
+    clean = F.when(F.size(spans) > 0, clean).otherwise(text)
+    return rows.select(*[clean.alias(c) if c == text_col else F.col("_document").getField(c).alias(c) for c in own])
