@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +75,10 @@ def content(text: str) -> np.ndarray:
     found = set(counts)
     found.update(n ^ _OFTEN for n, c in counts.items() if c >= 3)
     variety = int(10 * len(distinct) / len(words)) * 8 + min(7, len(words).bit_length() // 2)
+    again = int(10 * sum(map(eq, words, words[1:])) / len(words))
     shouted = int(10 * sum(map(str.isupper, words)) / len(words))
     marked = int(10 * sum(map(str.count, [text] * 8, "#*$%&|<>")) / len(words))
-    found |= {xxhash.xxh3_64_intdigest(f"{k} {v}") & ((1 << _BITS) - 1) for k, v in (("variety", variety), ("shouted", shouted), ("marked", min(marked, 30)))}
+    found |= {xxhash.xxh3_64_intdigest(f"{k} {v}") & ((1 << _BITS) - 1) for k, v in (("variety", variety), ("again", again), ("shouted", shouted), ("marked", min(marked, 30)))}
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -190,12 +192,14 @@ class Verdict:
         return _sigmoid(self.mix[0] * c + self.mix[1] * m + self.mix[2])
 
 
-def cotrain(rows: Rows, meta: np.ndarray, labels: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.9) -> Verdict | None:
+def cotrain(rows: Rows, meta: np.ndarray, labels: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.95) -> Verdict | None:
     """Fit on rows whose label is 0 or 1; those with -1 are the pool. None if a class is missing.
 
     Every fifth labelled row is held back for the calibration. A view labels a
-    pool row for the other only if it gives one class ``sure`` probability, and
-    at most ``share`` of the pool a round, in the classes' proportion.
+    pool row for the other only if it gives one class ``sure`` probability, at
+    most ``share`` of the pool a round, in the classes' proportion, and only
+    where such verdicts of its hold for that part of the rows held back too: a
+    view that knows little beyond the classes' proportion teaches nothing.
     """
     known = labels >= 0
     held = np.zeros(len(labels), bool)
@@ -216,6 +220,9 @@ def cotrain(rows: Rows, meta: np.ndarray, labels: np.ndarray, rounds: int = 3, s
             p = _sigmoid(view.score(data[k]))
             for label, part in ((1.0, rate), (0.0, 1 - rate)):
                 certain = p if label else 1 - p
+                tried = held & (certain >= sure)
+                if tried.sum() < 5 or (labels[tried] == label).mean() < sure:
+                    continue
                 best = free[np.argsort(-certain[free], kind="stable")][: int(len(free) * share * part)]
                 best = best[certain[best] >= sure]
                 own[1 - k][best] = label
@@ -268,7 +275,7 @@ def _fit_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool:
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    max_labelled: int = 6000, max_pool: int = 3000, rounds: int = 3, least_quality: float = 0.3, most_toxic: float = 0.2,
+    max_labelled: int = 6000, max_pool: int = 3000, rounds: int = 3, least_quality: float = 0.3, most_toxic: float = 0.3,
     carry: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``quality``, ``toxicity``, each view's scores, ``kept``.
