@@ -55,7 +55,7 @@ def rrf_term(rank: Column, weight: float, k: int = RRF_K) -> Column:
 def relative(score: Column, most: Column, weight: float, missing: float = MISSING) -> Column:
     """A list's part in relative score fusion: the share of the largest score, or ``missing`` for the absent."""
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score / F.greatest(most, F.lit(1e-12))))
-    return weight * F.coalesce(share, F.lit(missing))
+    return weight * F.when(score.isNull(), F.lit(missing)).otherwise(share)
 
 
 def running_success(successes: Column, runs: Column) -> Column:

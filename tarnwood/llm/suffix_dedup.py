@@ -11,12 +11,16 @@ Equal windows choose equal places, so two suffixes still meet their samples at
 the same distance, and about one suffix in 39 is in the sample.
 
 1. Samples are found in a scan of the texts; only those whose gram occurs
-   elsewhere go on, with the bytes around them.
+   elsewhere go on, with the bytes around them. Grams that repeat inside a batch
+   are known to: one row in the batch's name tells the others, and the samples
+   themselves are dealt out evenly, so a very common gram is no hot key.
 2. A bucket is the samples of one gram. Their suffixes are sorted by the bytes
    to the right, and the reversed prefixes by those to the left; the common
    lengths of sorted neighbours give, for every distance of a window's start
    from its sample, classes of equal windows. All but the first of a class are
-   repeats. Bytes are compared, never hashes.
+   repeats. Bytes are compared, never hashes. Samples with the same bytes around
+   them are cut to the first one before that, batch by batch: the windows of the
+   others are repeats already.
 3. The repeats of a document become spans, and the spans are cut out.
 
 A task holds the buckets it works on, a few megabytes, and never a whole text's
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,73 +126,117 @@ def _joined(texts: list, rows: list) -> tuple:
     return np.frombuffer(b"".join(texts), np.uint8), [r for r, _ in rows], ends - sizes, ends, np.array([o for _, o in rows])
 
 
+#: A sample as one number: its place, whether its gram is known to repeat, and the distances back to its windows' starts.
+_KNOWN = 1 << 20
+
+
+def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys that deal rows out evenly."""
+    with np.errstate(over="ignore"):
+        x = (a.view(np.uint64) * _C[0] + b.view(np.uint64)) * _C[1]
+        return (x ^ (x >> _S29)).view(np.int64)
+
+
 def _sampler(length: int):
-    names = ["gram", "row", "place"]
+    names = ["deal", "row", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            grams, owners, numbers = [], [], []
             for data, rows, starts, ends, offset in _segments(batch.column(2), length):
                 gram, owner, a, near, far = samples(data, starts, ends, length)
-                place = a - starts[owner] + offset[owner]
-                packed = (place << 20) | (near << 10) | far
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[np.array(rows)[owner]]), pa.array(packed)], names=names)
+                grams.append(gram)
+                owners.append(ids[np.array(rows)[owner]])
+                numbers.append(((a - starts[owner] + offset[owner]) << 21) | (near << 10) | far)
+            if not grams:
+                continue
+            gram, row, packed = map(np.concatenate, (grams, owners, numbers))
+            order = np.argsort(gram, kind="stable")
+            same = gram[order[1:]] == gram[order[:-1]]
+            many = np.zeros(len(gram), bool)
+            many[order[1:]] |= same
+            many[order[:-1]] |= same
+            marks = np.unique(gram[many])
+            deal = np.where(many, _spread(row, packed), gram)
+            packed = np.where(many, packed | _KNOWN, packed)
+            columns = [np.append(deal, marks), np.append(row, np.full(len(marks), -1)), np.append(packed, np.zeros(len(marks), np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
 def _context_maker(length: int):
+    """The samples' surroundings, those of equal bytes once a batch, and the spans of the others."""
     left, right = length - _GRAM, length
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("packed", pa.int64()), ("context", pa.binary())])
+    width = left + right
+    schema = pa.schema(
+        [("gram", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("packed", pa.int64()), ("stop", pa.int64()), ("context", pa.binary())]
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(data: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """What the windows of each sample reach; the rest is blanked out and compresses to nothing."""
+        reach = np.arange(-left, right)
+        near, far = ((packed >> 10) & 1023)[:, None], (packed & 1023)[:, None]
+        index = (packed >> 21)[:, None] + reach
+        return np.where((reach >= -far) & (reach < length - near), data[np.clip(index, 0, len(data) - 1)], np.uint8(_BEYOND))
+
+    def made(doc: np.ndarray, known: np.ndarray, row: np.ndarray, packed: np.ndarray, contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort([packed, row, doc, known])
+        raw, seen = contexts.tobytes(), set()
+        first = np.zeros(len(order), bool)
+        for i in order.tolist():
+            one = raw[i * width : (i + 1) * width]
+            if one not in seen:
+                seen.add(one)
+                first[i] = True
+        keep, drop = np.flatnonzero(first), order[~first[order]]
+        grams = _gram_hashes(np.ascontiguousarray(contexts[keep, left : left + _GRAM]).reshape(-1))[::_GRAM] if len(keep) else np.empty(0, np.uint64)
+        flat = np.ascontiguousarray(contexts[keep])
+        bounds = pa.py_buffer(np.arange(0, (len(keep) + 1) * width, width, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(grams.view(np.int64)), pa.array(doc[keep], mask=~known[keep]), pa.array(row[keep]), pa.array(packed[keep]),
+                pa.nulls(len(keep), pa.int64()), pa.Array.from_buffers(pa.binary(), len(keep), [None, bounds, pa.py_buffer(flat)]),
+            ],
+            schema=schema,
+        )
+        if len(drop):
+            by = np.lexsort([packed[drop], row[drop]])
+            r, q = row[drop][by], packed[drop][by]
+            start, stop = (q >> 21) - (q & 1023), (q >> 21) - ((q >> 10) & 1023) + length
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (start[1:] > stop[:-1])
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(r)) - 1
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_spread(r[at], start[at])), none, pa.array(r[at]), pa.array(start[at]), pa.array(stop[last]), pa.nulls(len(at), pa.binary())], schema=schema
+            )
+
+    def run(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, doc, texts, found = (batch.column(i) for i in range(4))
-            rows = row.to_numpy()
-            docs = doc.to_pylist()
-            values = found.values if found.offset == 0 else found.flatten()
-            bounds = np.cumsum([0, *(len(found[i]) for i in range(len(found)))])
-            grams, places = (values.field(i).to_numpy() for i in range(2))
+            rows, docs = batch.column(0).to_numpy(), batch.column(1)
+            known = np.asarray(docs.is_valid())
+            docs = docs.fill_null(0).to_numpy()
+            texts, found = batch.column(2), batch.column(3)
+            held: list[tuple] = []
+            n = 0
             for i in range(len(rows)):
-                data = np.frombuffer(texts[i].as_buffer(), np.uint8)
-                own = slice(bounds[i], bounds[i + 1])
-                for k in range(0, own.stop - own.start, 20_000):
-                    some_packed = places[own][k : k + 20_000]
-                    some = some_packed >> 20
-                    index = some[:, None] + np.arange(-left, right)
-                    # What no window of the sample reaches is blanked out: it compresses to nothing.
-                    near, far = (some_packed >> 10) & 1023, some_packed & 1023
-                    reach = np.arange(-left, right)
-                    inside = (reach >= -far[:, None]) & (reach < length - near[:, None])
-                    bytes_ = np.where(inside, data[np.clip(index, 0, len(data) - 1)], np.uint8(_BEYOND))
-                    flat = pa.py_buffer(np.ascontiguousarray(bytes_))
-                    offsets = pa.py_buffer(np.arange(0, (len(some) + 1) * (left + right), left + right, dtype=np.int32))
-                    context = pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, flat])
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(grams[own][k : k + n]), pa.array([docs[i]] * n, pa.int64()), pa.array(np.full(n, rows[i])),
-                            pa.array(places[own][k : k + n]), context,
-                        ],
-                        schema=schema,
-                    )
+                data, packed = np.frombuffer(texts[i].as_buffer(), np.uint8), found[i].values.to_numpy()
+                for k in range(0, len(packed), most):
+                    part = packed[k : k + most]
+                    held.append((np.full(len(part), docs[i]), np.full(len(part), known[i]), np.full(len(part), rows[i]), part, around(data, part)))
+                    n += len(part)
+                    if n >= most:
+                        yield from made(*map(np.concatenate, zip(*held, strict=True)))
+                        held, n = [], 0
+            if held:
+                yield from made(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
-    """Small batches as fewer, larger ones."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _sorted_classes(gram: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by (gram, bytes), and for each place the length in common with the one before; -1 at a new gram."""
     m, width = strings.shape
@@ -236,7 +285,8 @@ def _bucket_sorter(length: int, block: int = 40_000):
     width = 2 * length - _GRAM
 
     def worked(table: pa.Table) -> pa.RecordBatch:
-        columns = table.combine_chunks()
+        ready = table.filter(pc.is_null(table["context"])).select(["row", "packed", "stop"]).combine_chunks()
+        columns = table.filter(pc.is_valid(table["context"])).combine_chunks()
         doc = columns["doc_id"]
         known = np.asarray(doc.is_valid())
         docs = doc.fill_null(0).to_numpy()
@@ -245,13 +295,11 @@ def _bucket_sorter(length: int, block: int = 40_000):
         raw = b"".join(columns["context"].to_pylist())
         contexts = np.frombuffer(raw, np.uint8).reshape(-1, width)[order]
         row, packed, gram = row[order], packed[order], gram[order]
-        near, far = (packed >> 10) & 1023, packed & 1023
-        low, high = repeats(gram, near, far, contexts, length)
+        low, high = repeats(gram, (packed >> 10) & 1023, packed & 1023, contexts, length)
         hit = np.flatnonzero(low >= 0)
-        place = packed[hit] >> 20
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row[hit]), pa.array(place - high[hit]), pa.array(place - low[hit] + length)], names=["row", "start", "stop"]
-        )
+        place = packed[hit] >> 21
+        spans = ((row[hit], "row"), (place - high[hit], "packed"), (place - low[hit] + length, "stop"))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(a, ready[c].to_numpy())) for a, c in spans], names=["row", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by gram; a bucket is never split."""
@@ -330,15 +378,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("length must be from 64 to 1000")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text).repartition("row")
-    found = rows.mapInArrow(_sampler(length), "gram long, row long, packed long")
-    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("gram")))
-    listed = counted.where("n > 1").groupBy("row").agg(F.collect_list(F.struct("gram", "packed")).alias("found"))
-    maker = _context_maker(length)
+    found = rows.mapInArrow(_sampler(length), "deal long, row long, packed long")
+    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("deal")))
+    again = (F.col("n") > 1) | (F.col("packed").bitwiseAND(F.lit(_KNOWN)) != 0)
+    listed = counted.where(again & (F.col("row") >= 0)).groupBy("row").agg(F.collect_list("packed").alias("found"))
     contexts = rows.join(listed, "row").select("row", "doc_id", "text", "found").mapInArrow(
-        lambda b: _merged(maker(b)), "gram long, doc_id long, row long, packed long, context binary"
+        _context_maker(length), "gram long, doc_id long, row long, packed long, stop long, context binary"
     )
-    sorter = _bucket_sorter(length)
-    spans = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(sorter, "row long, start long, stop long")
+    spans = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_bucket_sorter(length), "row long, start long, stop long")
     by_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = rows.join(by_row, "row", "left").select("row", "doc_id", "text", "spans")
     return cut.mapInArrow(_remover(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")

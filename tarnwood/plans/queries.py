@@ -99,8 +99,8 @@ def rrf(spark, d):
     return retrieval.rrf(*_sides(spark, d))
 
 
-_RSF = """0.6 * coalesce(greatest(0, least(1, vs / greatest(greatest(coalesce(max(vs) OVER (), 0), 0), 1e-12))), 0.1)
- + 0.4 * coalesce(greatest(0, least(1, ks / greatest(greatest(coalesce(max(ks) OVER (), 0), 0), 1e-12))), 0.1)"""
+_RSF = """0.6 * CASE WHEN vs IS NULL THEN 0.1 ELSE greatest(0, least(1, vs / greatest(coalesce(max(vs) OVER (), 0), 1e-12))) END
+ + 0.4 * CASE WHEN ks IS NULL THEN 0.1 ELSE greatest(0, least(1, ks / greatest(coalesce(max(ks) OVER (), 0), 1e-12))) END"""
 
 
 @query("ret06_rsf", f"SELECT id, {R4.format(_RSF)} AS score, vr AS vec_rank, kr AS kw_rank FROM {BOTH}")
@@ -125,7 +125,7 @@ def mode_keyword(spark, d):
 
 @query(
     "ret08_decay_engine",
-    f"""SELECT b.id, round({R4.format(RRF)} * coalesce({DECAY}, 1), 9) AS score FROM {BOTH} b LEFT JOIN {MEMORIES} m ON m.id = b.id ORDER BY {R4.format(RRF)} * coalesce({DECAY}, 1) DESC, b.id LIMIT 10""",
+    f"""SELECT b.id, round({R4.format(RRF)} * CASE WHEN m.id IS NULL THEN 1 ELSE {DECAY} END, 9) AS score FROM {BOTH} b LEFT JOIN {MEMORIES} m ON m.id = b.id ORDER BY {R4.format(RRF)} * CASE WHEN m.id IS NULL THEN 1 ELSE {DECAY} END DESC, b.id LIMIT 10""",
 )
 def decay_engine(spark, d):
     found = retrieval.hybrid_search(memories(spark, d), stored_vectors(spark, d), QUERY, query_vector(spark, d), "hybrid", 10, decay_as_of=as_of())
@@ -134,7 +134,7 @@ def decay_engine(spark, d):
 
 @query(
     "ret09_decay_db",
-    f"SELECT b.id, {R4.format(f'({RRF}) * coalesce({DECAY}, 1)')} AS score, vr AS vec_rank, kr AS kw_rank FROM {BOTH} b LEFT JOIN {MEMORIES} m ON m.id = b.id ORDER BY score DESC, b.id LIMIT 10",
+    f"SELECT b.id, {R4.format(f'({RRF}) * CASE WHEN m.id IS NULL THEN 1 ELSE {DECAY} END')} AS score, vr AS vec_rank, kr AS kw_rank FROM {BOTH} b LEFT JOIN {MEMORIES} m ON m.id = b.id ORDER BY score DESC, b.id LIMIT 10",
 )
 def decay_db(spark, d):
     return retrieval.hybrid_search_rrf(*_sides(spark, d), memories(spark, d), as_of(), 10).select("id", "score", "vec_rank", "kw_rank")

@@ -13,7 +13,8 @@ def scan(spark: SparkSession, root: str, glob: str = "*", *, content: bool = Tru
     """Files below ``root``: relative ``path``, ``modified_at``, ``size``, and with ``content`` their text and SHA-256.
 
     Newest first where ``max_files`` is given, ties by path. Bytes that are not
-    UTF-8 become replacement characters. Without ``content`` no file is opened.
+    UTF-8 become replacement characters. Names that begin with a dot or an
+    underscore are hidden to Spark's readers. Without ``content`` no file is opened.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
