@@ -1,3 +1,67 @@
-"""DuckDB SQL for the queries of this subpackage."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express at a bearable cost.
 
-SQL: dict[str, str] = {}
+The others are held against brute force in tests: packing and token counts
+against the tokenizers library, sharding against the permutation's definition,
+repeated strings against a set of all windows, line rules against plain loops,
+and the two trained operators by held-out accuracy.
+"""
+
+from .secrets_scan import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, WEAK_ID, WEAK_KEY
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASCII_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_ASCII_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+  ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.doc_id <> b.doc_id AND len(a.s) > 0
+  AND 100 * least(len(a.s), len(b.s)) >= 80 * greatest(len(a.s), len(b.s))
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+r AS (SELECT doc_id AS node, doc_id AS low FROM s UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b),
+c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON c.node = s.doc_id
+"""
+
+
+def _spans(kind: str, pattern: str, keep: str = "true") -> str:
+    """(doc_id, kind number, start, stop) of the leftmost non-overlapping matches."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {KINDS.index(kind)} AS k, start, start + length(hit) AS stop FROM (
+  SELECT doc_id, hit, sum(length(gap) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS start FROM (
+    SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS hit, unnest(g[:len(h)]) AS gap, unnest(list_concat([NULL::VARCHAR], h[:len(h) - 1])) AS before
+    FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS h, string_split_regex(text, '{p}') AS g FROM t) WHERE len(h) > 0)) WHERE {keep}"""
+
+
+_NAMES = "['" + "', '".join(KINDS) + "'][k + 1]"
+_VALUE = ASSIGN.replace("'", "''")
+_BESIDE = "EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND q.k IN {} AND q.stop >= p.start - 200 AND q.start <= p.stop + 200)"
+_ID, _SECRET = _BESIDE.format("(1, 3)"), _BESIDE.format("(0, 2, 4)")
+
+_SECRETS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS ({_spans("assign", ASSIGN, f"length(regexp_extract(hit, '{_VALUE}', 2)) >= 6")} UNION ALL {_spans("access", ACCESS)} UNION ALL {_spans("hex", HEX)}),
+p AS (SELECT * FROM b UNION ALL {_spans("weak_id", WEAK_ID)} UNION ALL
+  {_spans("weak_key", WEAK_KEY, "length(hit) = 40 AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[0-9]')")} UNION ALL {_spans("endpoint", ENDPOINT)}),
+x AS (SELECT * FROM p WHERE k <= 2 OR (k = 3 AND {_SECRET}) OR (k = 4 AND {_ID}) OR (k = 5 AND {_ID} AND {_SECRET})),
+n AS (SELECT doc_id, sum((k = 0)::INT) AS n_assign, sum((k = 1)::INT) AS n_access, sum((k = 2)::INT) AS n_hex,
+  string_agg({_NAMES} || ':' || start || ':' || stop, ',' ORDER BY start, k) AS base FROM b GROUP BY doc_id),
+m AS (SELECT doc_id, string_agg({_NAMES} || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM x GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN m ON m.doc_id = t.doc_id
+"""
+
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OVERLAPS = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+u AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+h AS (SELECT u.doc_id, u.n, u.i, v.item_id FROM u JOIN v ON v.win = u.win AND v.n = u.n),
+x AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS}
