@@ -137,3 +137,24 @@ def model_name(raw: Column) -> Column:
     """The model in a JSON value or the value itself; overlong ones are unknown."""
     found = F.coalesce(*[F.get_json_object(raw, f"$.{k}") for k in ("modelID", "id", "name")], raw)
     return F.when((F.length(found) > 60) | (F.length(F.trim(found)) == 0), "unknown").otherwise(F.coalesce(found, F.lit("unknown")))
+
+
+def without_surrogates(text: Column) -> Column:
+    """Lone surrogates, as lossy decoders leave them, become question marks."""
+    return F.regexp_replace(text, r"[\uD800-\uDFFF]", "?")
+
+
+def truthy(value: Column) -> Column:
+    """A setting's text as a boolean: ``true``, ``1`` and ``yes`` in any case."""
+    return F.lower(F.trim(F.coalesce(value, F.lit("")))).isin("true", "1", "yes")
+
+
+def composed(fields: dict[str, Column]) -> Column:
+    """``name: value`` lines of the fields that are not blank."""
+    line = lambda n, c: F.when(F.trim(c) != "", F.concat(F.lit(f"{n}: "), c))
+    return F.concat_ws("\n", *[line(n, c) for n, c in fields.items()])
+
+
+def iso_from_millis(millis: Column) -> Column:
+    """Epoch milliseconds as an ISO time in UTC."""
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss'Z'")

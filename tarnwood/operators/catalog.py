@@ -67,3 +67,34 @@ def acknowledged(queue: DataFrame, acks: DataFrame, keys: list[str]) -> DataFram
     return queue.join(acks.select(*keys, "generation").distinct(), [*keys, "generation"], "left_anti").select(*queue.columns)
 
 
+
+
+def tier_report(rows: DataFrame, bundles: DataFrame, queue: DataFrame, last: int = 10) -> dict[str, DataFrame]:
+    """Rows by tier, the newest bundles, and the depth of the queue."""
+    return {
+        "tiers": rows.groupBy("storage_tier").agg(F.count("*").alias("n")),
+        "bundles": bundles.orderBy(F.desc("created_at"), "bundle_id").limit(last),
+        "queue": queue.agg(F.count("*").alias("depth")),
+    }
+
+
+def health(healthy: bool, embedder: bool, migrations: DataFrame, queue: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: retrieval mode, schema version, queue depth, and how many vector dimensions there are.
+
+    More than one dimension switches semantic search off, which the mode says.
+    """
+    from ..functions.texts import retrieval_mode
+
+    version = migrations.agg(F.coalesce(F.max("version"), F.lit(0)).alias("schema_version"))
+    depth = queue.agg(F.count("*").alias("queue_depth"))
+    dims = vectors.where("embedding is not null").agg(F.count_distinct(F.size("embedding")).alias("dimensions"))
+    whole = version.crossJoin(depth).crossJoin(dims)  # one row each
+    return whole.withColumn("mode", retrieval_mode(F.lit(healthy), F.lit(embedder) & (F.col("dimensions") <= 1)))
+
+
+def backlog(local: DataFrame, remote: DataFrame, queue: DataFrame) -> DataFrame:
+    """Counts of either side by table (``label``, ``n``), and what of each still waits."""
+    from .upkeep import count_delta
+
+    waiting = queue.groupBy(F.col("table_name").alias("label")).agg(F.count("*").alias("queued"))
+    return count_delta(local, remote).join(waiting, "label", "left").withColumn("queued", F.coalesce("queued", F.lit(0)))

@@ -80,3 +80,21 @@ def drained(queue: DataFrame, order: list[str]) -> DataFrame:
 def interrupted_runs(runs: DataFrame, as_of: Column, minutes: int = 10) -> DataFrame:
     """Runs that still say running though they started longer ago than they may take."""
     return runs.where((F.col("status") == "running") & (F.col("started_at") < as_of - F.expr(f"INTERVAL {minutes} MINUTES")))
+
+
+def cache_payloads(manifest: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """A derived cache built anew: each manifest entry (``source_table``, ``source_id``) with the row it names.
+
+    The constant of each side is part of its join, so an entry meets one table only.
+    """
+    out = None
+    for name, rows in sides.items():
+        part = manifest.where(F.col("source_table") == name).join(rows.select(F.col("id").alias("source_id"), "payload"), "source_id", "left")
+        out = part if out is None else out.unionByName(part)
+    return out.select("source_table", "source_id", "payload")
+
+
+def ledger(progress: DataFrame) -> DataFrame:
+    """Runs with their last state: (``run_id``, ``status``, ``rows``)."""
+    last = progress.groupBy("run_id").agg(F.max_by("status", "at").alias("status"), F.sum("rows").alias("rows"))
+    return last.select("run_id", "status", "rows")

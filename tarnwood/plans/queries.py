@@ -718,8 +718,12 @@ def daily_windows(spark, d):
 
 
 def queries() -> dict:
+    """Name -> function of a session and a data directory."""
+    from . import more_queries  # noqa: F401  registers itself
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    """Name -> DuckDB SQL."""
+    return {name: _SQL[name] for name in queries() if name in _SQL}

@@ -127,3 +127,32 @@ def maintained(rows: DataFrame, changed: Column, as_of: Column, explicit: Column
     """``updated_at`` moved to ``as_of`` on rows that changed, unless it was set on purpose."""
     keep = explicit if explicit is not None else F.lit(False)
     return rows.withColumn("updated_at", F.when(changed & ~keep, as_of).otherwise(F.col("updated_at")))
+
+
+def ensured(rows: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """Rows with those of ``names`` added that are not there yet, each once."""
+    fresh = names.dropDuplicates([key]).join(rows.select(key), key, "left_anti")
+    return rows.unionByName(fresh, allowMissingColumns=True)
+
+
+def renamed(rows: DataFrame, classified: DataFrame) -> DataFrame:
+    """A vault table after a scan: renamed files keep their row under the new path, updated ones get the new checksum, new ones come in."""
+    moves = classified.where("status = 'renamed'").select(F.col("old_path").alias("path"), F.col("path").alias("new_path"))
+    moves = moves.groupBy("path").agg(F.min("new_path").alias("new_path"))
+    kept = rows.join(moves, "path", "left").withColumn("path", F.coalesce("new_path", "path")).drop("new_path")
+    fresh = classified.where("status <> 'unchanged'").select("path", "checksum")
+    return merged(kept, fresh, ["path"], update={"checksum": "filled"})
+
+
+def migrated(ledger: DataFrame, migrations: DataFrame) -> DataFrame:
+    """Migrations still to run, in order, each once."""
+    return migrations.join(ledger.select("version"), "version", "left_anti").orderBy("version")
+
+
+def metrics(values: dict[str, DataFrame]) -> DataFrame:
+    """Named one-value tables as one JSON object."""
+    out = None
+    for name, df in values.items():
+        part = df.select(F.lit(name).alias("k"), F.col(df.columns[0]).cast("string").alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("value"))
