@@ -2,10 +2,10 @@
 
 The others are held against brute force in tests: packing and token counts
 against the tokenizers library, sharding against the permutation's definition,
-repeated strings against a set of all windows, line rules against plain loops,
 and the two trained operators by held-out accuracy.
 """
 
+from .line_clean import BOILERPLATE
 from .secrets_scan import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, WEAK_ID, WEAK_KEY
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,4 +64,35 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id
 """
 
-SQL: dict[str, str] = {"op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS}
+_NOTICES = "|".join(BOILERPLATE)
+_LINES = rf"""
+WITH t AS (SELECT doc_id, text, {_ASCII_WORDS.format("text")} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+l AS (SELECT doc_id, i, line, {_ASCII_WORDS.format("line")} AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+  len(regexp_extract_all(line, '\s[|>»•·/]\s')) AS bars, len(regexp_extract_all(line, '\p{{Lu}}')) AS upper, len(regexp_extract_all(line, '\p{{L}}')) AS letters FROM l WHERE len(lw) > 0),
+f AS (SELECT doc_id, sum(repeated::INT) AS dup, sum(CASE WHEN repeated OR symbols >= 0.3 * len(lw) + 1 OR (bars >= 2 AND 2 * bars >= len(lw) // 2)
+    OR (len(lw) <= 30 AND regexp_matches(line, '(?i){_NOTICES}')) OR (len(lw) >= 4 AND upper > 0.7 * letters AND upper > 0)
+    OR (len(lw) >= 400 AND NOT regexp_matches(line, '[.!?,;:。！？]')) THEN length(array_to_string(lw, '')) ELSE 0 END) AS lost FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5))),
+h AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM g WHERE twice) GROUP BY doc_id),
+b AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars FROM t LEFT JOIN f ON f.doc_id = t.doc_id LEFT JOIN h ON h.doc_id = t.doc_id),
+k AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept FROM k
+"""
+
+_REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, p, b[p + 1:p + 100] AS s FROM (SELECT doc_id, b, unnest(range(n - 99)) AS p FROM n WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS turn FROM w) WHERE turn > 1),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM (SELECT doc_id, p, (p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1))::INT AS fresh FROM r)),
+g AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS e FROM i GROUP BY doc_id, island),
+k AS (SELECT n.doc_id, g.a, n.b[coalesce(lag(g.e) OVER (PARTITION BY n.doc_id ORDER BY g.a), 0) + 1:g.a] AS piece FROM n JOIN g ON g.doc_id = n.doc_id),
+x AS (SELECT doc_id, string_agg(hex(piece), '' ORDER BY a) AS kept FROM k GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_spans, sum(e - a)::BIGINT AS n_removed, max(e) AS last FROM g GROUP BY doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(n.b[coalesce(last, 0) + 1:n.n]))) AS kept_sha256 FROM n LEFT JOIN x ON x.doc_id = n.doc_id LEFT JOIN y ON y.doc_id = n.doc_id
+"""
+
+SQL: dict[str, str] = {"op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS}
