@@ -1,10 +1,11 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express at a bearable cost.
 
 The others are held against brute force in tests: packing and token counts
-against the tokenizers library, sharding against the permutation's definition,
+against the tokenizers library,
 and the two trained operators by held-out accuracy.
 """
 
+from .feistel import _keys
 from .line_clean import BOILERPLATE
 from .secrets_scan import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, WEAK_ID, WEAK_KEY
 
@@ -95,4 +96,32 @@ SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_rem
   sha256(unhex(coalesce(kept, '') || hex(n.b[coalesce(last, 0) + 1:n.n]))) AS kept_sha256 FROM n LEFT JOIN x ON x.doc_id = n.doc_id LEFT JOIN y ON y.doc_id = n.doc_id
 """
 
-SQL: dict[str, str] = {"op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS}
+_WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """splitmix64's finaliser, each step bound by a lambda of its own."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"list_transform([{x}], lambda v: (xor(v, v >> {shift})::UHUGEINT * {factor}::UHUGEINT % {_WRAP})::UBIGINT)[1]"
+    return f"list_transform([{x}], lambda v: xor(v, v >> 31))[1]"
+
+
+def _shards(shards: int, seed: int) -> str:
+    keys = ", ".join(f"{int(k)}::UBIGINT" for k in _keys(seed))
+    once = f"""list_reduce([{keys}], lambda s, k: {{'l': s.r, 'r': xor(s.l, {_mixed("xor(s.r, k.r)")} & mask)}}, {{'l': x >> half, 'r': x & mask}})"""
+    once = once.replace(f"[{keys}]", f"list_transform([{keys}], lambda k: {{'l': 0::UBIGINT, 'r': k}})")
+    crc = "xor(list_reduce(list_transform(range(octet_length(b)), lambda i: ('0x' || hex(b[i + 1:i + 1]))::INT::UBIGINT), lambda c, y: xor(c >> 8, crcs[((xor(c, y) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT"
+    step = "list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)"
+    return f"""
+WITH RECURSIVE q AS (SELECT list({step}::UBIGINT ORDER BY i) AS crcs FROM range(256) AS t(i)),
+d AS (SELECT doc_id, octet_length(b)::BIGINT + 1 AS size, {crc} AS text_crc32 FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), q),
+n AS (SELECT *, (row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS row_number FROM d),
+c AS (SELECT total, half, ((1::UBIGINT << half) - 1)::UBIGINT AS mask FROM (SELECT count(*)::UBIGINT AS total, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2)::UBIGINT AS half FROM d)),
+w AS (SELECT row_number, row_number::UBIGINT AS x, true AS first FROM n UNION ALL
+  SELECT row_number, (s.r << half) | s.l, false FROM (SELECT row_number, half, {once} AS s FROM w, c WHERE first OR x >= total))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {shards})::INT AS shard, (x // {shards})::BIGINT AS slot, NULL::INT AS grown_shard, n.row_number
+  FROM n JOIN w ON w.row_number = n.row_number, c WHERE NOT first AND x < total
+"""
+
+
+SQL: dict[str, str] = {"op5_shard": _shards(8, 20240201), "op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS}
