@@ -76,3 +76,18 @@ def carried(docs: DataFrame, carry: str | None) -> tuple[list[Column], T.StructT
 def ddl(text: str) -> T.StructType:
     """A schema from its short form."""
     return T._parse_datatype_string(text)
+
+
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """What a worker keeps between tasks: one operator's tables at a time.
+
+    Workers are used again by the next operator; asking for its tables lets go of
+    those of the last one, so a pipeline needs no more memory than its largest stage.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]

@@ -23,12 +23,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_WORD, by_batch, carried, ddl
+from .common import ASCII_WORD, by_batch, carried, ddl, resident
 
 _BITS = 20
 #: Turns a feature's number into that of the same feature met in three distinct words or more.
@@ -47,7 +48,7 @@ def _shape(word: str) -> str:
 class Features(dict):
     """Word -> the numbers of its features: the word, its first three and five letters, and its shape."""
 
-    def __init__(self, capacity: int = 400_000):
+    def __init__(self, capacity: int = 150_000):
         self.capacity = capacity
 
     def __missing__(self, word: str) -> tuple[int, ...]:
@@ -62,16 +63,13 @@ class Features(dict):
         return found
 
 
-_features = Features()
-
-
 def content(text: str) -> np.ndarray:
     """The distinct feature numbers of a text; a repetition rate adds numbers of its own."""
     words = ASCII_WORD.findall(text)
     if not words:
         return np.zeros(1, np.int64)
     distinct = set(words)
-    counts = Counter(chain.from_iterable(map(_features.__getitem__, distinct)))
+    counts = Counter(chain.from_iterable(map(resident(("features",), Features).__getitem__, distinct)))
     found = set(counts)
     found.update(n ^ _OFTEN for n, c in counts.items() if c >= 3)
     variety = int(10 * len(distinct) / len(words)) * 8 + min(7, len(words).bit_length() // 2)
@@ -267,10 +265,18 @@ def _fit_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool:
             names=["doc_id", "quality", "toxic", "words", "meta"],
         )
 
-    found = picked.mapInArrow(by_batch(work), "doc_id long, quality int, toxic int, words array<int>, meta array<float>").toPandas()
-    found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    meta = np.stack(found["meta"].to_list()) if len(found) else np.zeros((0, _META), np.float32)
-    return Rows.of([np.asarray(w, np.int64) for w in found["words"]]), meta, {c: found[c].to_numpy() for c in ("quality", "toxic")}
+    found = picked.mapInArrow(by_batch(work), "doc_id long, quality int, toxic int, words array<int>, meta array<float>").toArrow()
+    found = found.combine_chunks()
+    ids, first = np.unique(found["doc_id"].to_numpy(), return_index=True)  # of rows with one id, the first
+    found = found.take(pa.array(first))
+    words, sizes = found["words"].combine_chunks(), pc.list_value_length(found["words"]).to_numpy().astype(np.int64)
+    index = words.flatten().to_numpy()
+    # No view uses a feature of so few rows.
+    common = (np.bincount(index, minlength=1 << _BITS) >= ContentView().least)[index]
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[common]
+    begin = np.searchsorted(owner, np.arange(len(ids)))
+    meta = found["meta"].combine_chunks().flatten().to_numpy().reshape(-1, _META)
+    return Rows(index[common], begin), meta, {c: found[c].to_numpy() for c in ("quality", "toxic")}
 
 
 def score_quality(

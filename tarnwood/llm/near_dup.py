@@ -29,19 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, settle
+from .common import by_batch, resident, settle
 from .components import components
 from .shingles import CirculantMinHash, WordHashes, set_digest, shingle_set
 
-_hashes = WordHashes()
 _BLOCK = 128
 
 
 def _signer(width: int, minhash: CirculantMinHash, least: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = resident(("hashes",), WordHashes)
         texts, sizes, digests, keys = batch.column(1), [], [], []
         for i in range(len(texts)):
-            s = shingle_set(texts[i].as_py(), width, _hashes)
+            s = shingle_set(texts[i].as_py(), width, hashes)
             sizes.append(len(s))
             digests.append(set_digest(s) if len(s) else None)
             keys.append(minhash.band_keys(minhash.signature(s)) if len(s) >= least else None)
@@ -53,8 +53,8 @@ def _signer(width: int, minhash: CirculantMinHash, least: int):
 
 def _set_maker(width: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(2)
-        sets = [shingle_set(texts[i].as_py(), width, _hashes) for i in range(len(texts))]
+        texts, hashes = batch.column(2), resident(("hashes",), WordHashes)
+        sets = [shingle_set(texts[i].as_py(), width, hashes) for i in range(len(texts))]
         same = [set_digest(s) == d for s, d in zip(sets, batch.column(1).to_pylist(), strict=True)]
         columns = [batch.column(0), pa.array(same, pa.bool_()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=["rep", "same", "shingles"])

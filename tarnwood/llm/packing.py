@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, blocks
+from .common import WHITE, blocks, resident
 
 #: A blank goes with the word after it; runs of white space end before that blank. The
 #: byte-level pre-tokenizer never joins across these borders.
@@ -69,7 +69,7 @@ class PieceCoder(dict):
     becomes the old one, so pieces in use stay and the rest goes.
     """
 
-    def __init__(self, path: str, capacity: int = 350_000):
+    def __init__(self, path: str, capacity: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,14 +110,9 @@ class PieceCoder(dict):
         return b"".join(out)
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def coder(path: str) -> PieceCoder:
     """The worker's coder for a vocabulary file."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return resident(("pieces", path), lambda: PieceCoder(path))
 
 
 class SumOfSquares:

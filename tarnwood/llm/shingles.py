@@ -16,7 +16,7 @@ _S29, _S32 = np.uint64(29), np.uint64(32)
 class WordHashes(dict):
     """Word -> 64-bit hash, kept while there is room."""
 
-    def __init__(self, capacity: int = 600_000):
+    def __init__(self, capacity: int = 300_000):
         self.capacity = capacity
 
     def __missing__(self, word: str) -> int:

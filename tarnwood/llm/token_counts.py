@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, by_batch
+from .common import WHITE, by_batch, resident
 
 _SPACE = re.compile(f"[{WHITE}]")
 _WORDS = re.compile(f"[^{WHITE}]+")
@@ -43,7 +43,7 @@ class BpeTransducer:
 
     START = ("", ((None, 0),))
 
-    def __init__(self, merges: list[tuple[str, str]], suffix: str, capacity: int = 400_000):
+    def __init__(self, merges: list[tuple[str, str]], suffix: str, capacity: int = 200_000):
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.suffix, self.capacity = suffix, capacity
         self.tokens = {a + b for a, b in merges}
@@ -152,7 +152,7 @@ class StateMap(NamedTuple):
 class CountingTokenizer:
     """Token counts of whole texts for a vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
@@ -233,14 +233,9 @@ class CountingTokenizer:
         return maps[0].tokens + sum(self.word(w) for w in ends if w)
 
 
-_counters: dict[str, CountingTokenizer] = {}
-
-
 def counter(path: str) -> CountingTokenizer:
     """The worker's transducer for a vocabulary file."""
-    if path not in _counters:
-        _counters[path] = CountingTokenizer(path)
-    return _counters[path]
+    return resident(("counts", path), lambda: CountingTokenizer(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
