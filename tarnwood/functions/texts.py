@@ -92,26 +92,34 @@ def uri(scheme: str, path: Column) -> Column:
     return F.concat(F.lit(f"{scheme}://"), F.regexp_replace(path, "^/+", ""))
 
 
+#: Labels of document sources, the path patterns and the declared source that each has, in the order in which they count.
+SOURCES = (
+    ("Codex", ("codex://%",), "codex%"),
+    ("OpenCode", ("config://opencode%", "log://opencode%"), "opencode%"),
+    ("Vault", ("vault://%", "obsidian://%"), "vault%"),
+)
+BROWSER = ("Generated browser output", ("%playwright%", "%browser%"), None)
+#: Event types that do not go to the memories.
+TARGETS = {
+    "task_complete": "experiences", "trade_opened": "trading_results", "trade_closed": "trading_results", "trade_signal": "trading_results",
+    "backtest_complete": "trading_results",
+}
+
+
 def source_label(path: Column, metadata: Column | None = None, browser: bool = True) -> Column:
     """Where a document comes from, by its path or declared source; the first rule that holds counts."""
     meta = F.coalesce(F.get_json_object(metadata, "$.source"), F.lit("")) if metadata is not None else F.lit("")
-    label = (
-        F.when(path.like("codex://%") | meta.like("codex%"), "Codex")
-        .when(path.like("config://opencode%") | path.like("log://opencode%") | meta.like("opencode%"), "OpenCode")
-        .when(path.like("vault://%") | path.like("obsidian://%") | meta.like("vault%"), "Vault")
-    )
-    if browser:
-        label = label.when(path.like("%playwright%") | path.like("%browser%"), "Generated browser output")
+    label = None
+    for name, patterns, declared in (*SOURCES, *([BROWSER] if browser else [])):
+        rule = reduce(lambda x, y: x | y, [path.like(p) for p in patterns] + ([meta.like(declared)] if declared else []))
+        label = F.when(rule, name) if label is None else label.when(rule, name)
     return label.otherwise("Other")
 
 
 def event_target(kind: Column) -> Column:
     """The table that an event type belongs to."""
-    return (
-        F.when(kind == "task_complete", "experiences")
-        .when(kind.startswith("trade_") | (kind == "backtest_complete"), "trading_results")
-        .otherwise("memories")
-    )
+    routes = F.create_map(*[F.lit(x) for pair in TARGETS.items() for x in pair])
+    return F.coalesce(routes[kind], F.lit("memories"))
 
 
 def retrieval_mode(healthy: Column, embedder: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import agent_name, model_name, preview
 
+#: What a session's head line may name.
 _META = ("session_id", "timestamp", "cwd", "originator", "source", "thread_source", "model_provider", "cli_version")
 _MESSAGE = "array<struct<type:string,text:string>>"
 
