@@ -122,7 +122,9 @@ def plain_overlaps(text: str | None, items: list[tuple], width: int) -> tuple:
 
 
 @pytest.mark.parametrize("block", [8 << 20, 200])
-def test_overlaps(spark, docs, none, block):
+def test_overlaps(spark, docs, none, block, monkeypatch):
+    if block == 200:
+        monkeypatch.setattr(decontaminate, "_VOCABULARY", 7)
     texts = [r.text for r in docs.where("doc_id is not null").orderBy("doc_id").collect()]
     items = [(1, texts[-1][20:200]), (2, "one"), (3, None), (4, ""), (2, "one"), (10, "NAÏVE café"), (11, texts[9]), (12, "absent words only here and there but nowhere else at all")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -174,3 +176,10 @@ def test_samples_cover_every_window():
     starts = sorted(int(x - o) for x, lo, hi in zip(a, near, far, strict=True) for o in range(lo, hi + 1))
     assert starts == list(range(len(data) - 99))
     assert (far <= 100 - suffix_dedup._GRAM).all()
+
+
+def test_texts_are_shuffled_once(spark, small):
+    out = remove_repeats(spark.read.parquet(f"{small}/documents.parquet"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2
