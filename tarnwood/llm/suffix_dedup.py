@@ -160,7 +160,7 @@ def _sampler(length: int):
             marks = np.unique(gram[many])
             deal = np.where(many, _spread(row, packed), gram)
             packed = np.where(many, packed | _KNOWN, packed)
-            columns = [np.append(deal, marks), np.append(row, np.full(len(marks), -1)), np.append(packed, np.zeros(len(marks), np.int64))]
+            columns = [np.append(deal, marks), np.append(row, np.zeros(len(marks), np.int64)), np.append(packed, np.full(len(marks), -1))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
@@ -381,7 +381,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = rows.mapInArrow(_sampler(length), "deal long, row long, packed long")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("deal")))
     again = (F.col("n") > 1) | (F.col("packed").bitwiseAND(F.lit(_KNOWN)) != 0)
-    listed = counted.where(again & (F.col("row") >= 0)).groupBy("row").agg(F.collect_list("packed").alias("found"))
+    # The bound is on a column that no join sees: one on "row" would be pushed below the exchange of the texts, which is used thrice.
+    listed = counted.where(again & (F.col("packed") >= 0)).groupBy("row").agg(F.collect_list("packed").alias("found"))
     contexts = rows.join(listed, "row").select("row", "doc_id", "text", "found").mapInArrow(
         _context_maker(length), "gram long, doc_id long, row long, packed long, stop long, context binary"
     )
