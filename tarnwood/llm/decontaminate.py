@@ -8,9 +8,10 @@ match fixes where the window would lie; positional and length bounds drop it
 unless that place is inside the document, and the words are compared one by one.
 
 The benchmark goes to the executors in blocks of at most ``block_bytes`` of item
-text each, whatever its size; each batch of documents is held against block
-after block. Documents are scanned twice, once to count the benchmark's words,
-and never shuffled.
+text each, whatever its size, and its vocabulary in parts of bounded size too.
+Where there are several, a task holds one at a time against a slice of documents.
+Documents are scanned twice, once to count the benchmark's words, and never
+shuffled, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, ddl, lower_ascii
+from .common import carried, ddl, lower_ascii, settle
 
 #: Words of this contract: ASCII digits and letters, and everything beyond ASCII.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of the benchmark that are broadcast together.
+_VOCABULARY = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,6 +62,31 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield rows
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {w for t in batch.column(0).to_pylist() for w in words_of(t)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+
+
+def _slices(batch: pa.RecordBatch, text: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``most`` bytes of text at a time."""
+    rows = max(1, int(batch.num_rows * most / max(1, batch.column(text).nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _each(shared: list, split: Iterator[list[str]]) -> Iterator[tuple]:
+    """Each shared value with the words of every text; one alone meets them as they come, of several one is in memory at a time."""
+    if len(shared) == 1:
+        yield shared[0].value, split
+        return
+    kept = list(split)
+    for one in shared:
+        yield one.value, kept
+        if getattr(one, "_path", None):
+            vars(one).pop("_value", None)  # read again for the next slice
+
+
 def _index(items: list[tuple[str, str]], frequency: dict[str, int], width: int) -> dict[str, dict[tuple[int, int], dict[tuple, list[str]]]]:
     """Rarest word -> (its place in the window, the window's length) -> window -> items."""
     owners: dict[tuple, set[str]] = defaultdict(set)
@@ -102,40 +130,54 @@ def find_overlaps(
     spark = docs.sparkSession
     along, more = carried(docs, carry)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *along)
+    words = benchmark.select(F.col(item_text_col).alias("text")).mapInArrow(_distinct_words, "word string").distinct()
+    words = settle(words)
+    parts = max(1, -(-words.count() // _VOCABULARY))
+    part = F.pmod(F.xxhash64("word"), F.lit(parts))
+    vocabulary = [spark.sparkContext.broadcast(frozenset(r["word"] for r in words.where(part == k).toLocalIterator())) for k in range(parts)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        for texts in (x.column(0) for batch in batches for x in _slices(batch, 0)):
+            split = (words_of(texts[i].as_py()) for i in range(len(texts)))
+            for known, every in _each(vocabulary, split):
+                for w in every:
+                    counts.update(filter(known.__contains__, w))
+            if len(counts) > 2 * _VOCABULARY:
+                yield out()
+                counts.clear()
+        if counts:
+            yield out()
+
+    counted = settle(rows.select("text").mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     held = []
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        vocabulary = spark.sparkContext.broadcast(frozenset(w for _, t in items for w in words_of(t)))
-
-        def tally(batches: Iterator[pa.RecordBatch], wanted=vocabulary) -> Iterator[pa.RecordBatch]:
-            known, counts = wanted.value, Counter()
-            for batch in batches:
-                texts = batch.column(0)
-                for i in range(len(texts)):
-                    counts.update(filter(known.__contains__, words_of(texts[i].as_py())))
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        # At most one row for each word of the block comes back.
-        counted = rows.select("text").mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        frequency = {r["word"]: r["n"] for r in counted.toLocalIterator()}
+        mine = spark.createDataFrame([(w,) for w in {w for _, t in items for w in words_of(t)}], "word string")
+        frequency = {r["word"]: r["n"] for r in counted.join(mine, "word").toLocalIterator()}
         held.append(spark.sparkContext.broadcast(_index(items, frequency, width)))
-        vocabulary.unpersist()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 1)):
             texts = batch.column(1)
-            split = [words_of(texts[i].as_py()) for i in range(len(texts))]
-            hits = [bytearray(len(w)) for w in split]
-            found: list[set[str]] = [set() for _ in split]
-            for block in held:
-                index = block.value
-                for words, hit, items in zip(split, hits, found, strict=True):
-                    _probe(words, index, hit, items)
-                if len(held) > 1 and getattr(block, "_path", None):
-                    vars(block).pop("_value", None)  # read again for the next batch: one block in memory at a time
+            sizes, hits = [0] * len(texts), [0] * len(texts)
+            found: list[set[str]] = [set() for _ in sizes]
+            marks: dict[int, bytearray] = {}
+            for index, split in _each(held, (words_of(texts[i].as_py()) for i in range(len(texts)))):
+                for i, words in enumerate(split):
+                    sizes[i] = len(words)
+                    if not index.keys().isdisjoint(words):
+                        _probe(words, index, marks.setdefault(i, bytearray(len(words))), found[i])
+            for i, m in marks.items():
+                hits[i] = m.count(1)
+            if not held:
+                sizes = [len(words_of(texts[i].as_py())) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array([h.count(1) for h in hits], pa.int64()),
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()),
                     pa.array([sorted(x) for x in found], pa.list_(pa.string())), *batch.columns[2:],
                 ],
                 names=["doc_id", "n_words", "n_hit", "items", *more.names],
