@@ -47,12 +47,16 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written rows.
 
     The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session has none, as in tests.
+    set only where the session has none, as in tests. The shuffle files behind
+    what is written are of no more use; they go when the driver's JVM collects
+    its garbage, which is asked for here, as loops would else hold them all.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return written
 
 
 def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

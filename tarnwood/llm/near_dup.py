@@ -33,7 +33,7 @@ from .common import by_batch, resident, settle
 from .components import components
 from .shingles import CirculantMinHash, WordHashes, set_digest, shingle_set
 
-_BLOCK = 128
+_BLOCK = 256
 
 
 def _signer(width: int, minhash: CirculantMinHash, least: int):
