@@ -101,16 +101,6 @@ class WindowNetwork:
                 out[to, k] = np.where(owner[to] == owner[of], ids[of], self.size)
         return out
 
-    def _hidden(self, near: np.ndarray) -> np.ndarray:
-        embed, place = self.get("embed"), self.get("place")
-        return np.tanh(sum(embed[near[:, k]] * place[k] for k in range(near.shape[1])))
-
-    @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
-
     @staticmethod
     def _chosen(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
         """Log-softmax of each row at one place; overwrites ``z``. ``safe``: no entry's exponential can overflow."""
@@ -149,40 +139,55 @@ class WindowNetwork:
             out[at : at + chunk] = score
         return out
 
+    @staticmethod
+    def _errors(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+        """Softmax of each row less one at one place, the gradient of its loss; overwrites ``z``."""
+        if not safe:
+            z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+        z[np.arange(len(z)), at] -= 1
+        return z
+
     def train(self, ids: np.ndarray, near: np.ndarray, squares: np.ndarray, rate: float, chunk: int = 4096) -> None:
         """Adagrad steps over the tokens in order, ``chunk`` at a time."""
+        grad, step = np.empty_like(self.flat), np.empty_like(self.flat)
+        embed, place, group, group_b, word, word_b = (self.get(n) for n in self.names)
+        d_embed, d_place, d_group, d_group_b, d_word, d_word_b = (self.get(n, grad) for n in self.names)
         for at in range(0, len(ids), chunk):
             i, n = ids[at : at + chunk], near[at : at + chunk]
-            grad = np.zeros_like(self.flat)
-            h = self._hidden(n)
+            grad[:] = 0
+            # |h| is at most 1, so a logit is at most its column's absolute sum.
+            safe = [float((np.abs(x).sum(axis=-2) + np.abs(b)).max()) < 60 for x, b in ((group, group_b), (word, word_b))]
             g, w = np.divmod(i, self.side)
-            e = np.exp(self._log_softmax(h @ self.get("group") + self.get("group_bias")))
-            e[np.arange(len(i)), g] -= 1
-            self.get("group", grad)[:] = h.T @ e
-            self.get("group_bias", grad)[:] = e.sum(axis=0)
-            dh = e @ self.get("group").T
             order, ends = self._by_group(g)
+            g, w, n = g[order], w[order], n[order]
+            found = embed[n]
+            h = np.tanh((found * place).sum(axis=1))
+            e = self._errors(h @ group + group_b, g, safe[0])
+            d_group[:], d_group_b[:] = h.T @ e, e.sum(axis=0)
+            dh = e @ group.T
             for c in np.flatnonzero(np.diff(ends)):
-                mine = order[ends[c] : ends[c + 1]]
-                weight = self.get("word")[c]
-                e = np.exp(self._log_softmax(h[mine] @ weight + self.get("word_bias")[c]))
-                e[np.arange(len(mine)), w[mine]] -= 1
-                self.get("word", grad)[c] = h[mine].T @ e
-                self.get("word_bias", grad)[c] = e.sum(axis=0)
-                dh[mine] += e @ weight.T
+                own = slice(ends[c], ends[c + 1])
+                e = self._errors(h[own] @ word[c] + word_b[c], w[own], safe[1])
+                d_word[c], d_word_b[c] = h[own].T @ e, e.sum(axis=0)
+                dh[own] += e @ word[c].T
             dh *= 1 - h * h
-            embed, place = self.get("embed"), self.get("place")
-            for k in range(n.shape[1]):
-                rows = n[:, k]
-                self.get("place", grad)[k] = (dh * embed[rows]).sum(axis=0)
-                by = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
-                ordered = rows[by]
-                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                self.get("embed", grad)[ordered[first]] += np.add.reduceat((dh * place[k])[by], first, axis=0)
-            self.get("embed", grad)[self.size] = 0
+            found *= dh[:, None]
+            d_place[:] = found.sum(axis=0)
+            rows = n.ravel()
+            by = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
+            ordered = rows[by]
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            d_embed[ordered[first]] = np.add.reduceat((dh[:, None] * place).reshape(-1, self.width)[by], first, axis=0)
+            d_embed[self.size] = 0
             grad /= len(i)
-            squares += grad * grad
-            self.flat -= rate * grad / (np.sqrt(squares) + 1e-4)
+            squares += np.multiply(grad, grad, out=step)
+            np.sqrt(squares, out=step)
+            step += 1e-4
+            np.divide(grad, step, out=step)
+            step *= rate
+            self.flat -= step
 
 
 def _numbered(texts: pa.Array, vocabulary: Vocabulary, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -222,8 +227,8 @@ def _weighted_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield row()
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", side: int = 64, width: int = 16, reach: int = 2, classes: int = 512, every: int = 4, rate: float = 0.1):
-    """(words of the vocabulary, trained network) for all documents; every ``every``-th token is a training target."""
+def fit(docs: DataFrame, *, text_col: str = "text", side: int = 64, width: int = 16, reach: int = 2, classes: int = 512, every: int = 1, rate: float = 0.1):
+    """(words of the vocabulary, trained network) for all documents; every token is a training target, or every ``every``-th."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
 

@@ -115,6 +115,12 @@ def test_scores_prefer_held_out_text_in_its_order(spark):
         assert got[i].pseudo_log_likelihood == pytest.approx(alone, rel=1e-5) and got[i].n_tokens == len(ids)
 
 
+def test_every_token_is_a_training_target(spark):
+    docs = spark.createDataFrame([(i, words(random.Random(i), i)) for i in range(1, 41)], "doc_id long, text string").coalesce(1)
+    by_default, whole, strided = (fit(docs, side=8, classes=8, **given)[1].flat for given in ({}, {"every": 1}, {"every": 4}))
+    assert np.array_equal(by_default, whole) and not np.allclose(by_default, strided, atol=1e-3)
+
+
 def test_score_odd_cases(docs, none):
     got = {r.doc_id: r for r in score_documents(docs).collect()}
     assert got[1].n_tokens == 0 and got[1].pseudo_log_likelihood == 0 and got[1].mean_log_probability is None
