@@ -8,6 +8,9 @@ Salazar et al., "Masked language model scoring", 2020).
 The vocabulary holds the most frequent words of all documents; every other word
 falls into one of a few hash classes, so each token of each text is predicted.
 The output layer is a two-level softmax over ``side`` groups of ``side`` words.
+A word of a class has the class's conditional probability times its own within
+the class, from the counts of all words of all documents, smoothed (class-based
+models: Brown et al., 1992). Words are told apart there by 63-bit hashes.
 
 Training is numpy in the tasks: each partition of the documents trains a copy
 from one common start, over its own tokens, and the copies are averaged,
@@ -32,6 +35,7 @@ from .common import ASCII_WORD, lower_ascii
 
 _BLOCKS = 32
 _MERGE = 64
+_RARE = 1 << 63
 
 
 def tokens(text: str | None) -> list[str]:
@@ -47,8 +51,10 @@ def bare(word: str) -> str:
 class Vocabulary(dict):
     """Word -> number: frequent words have their own, others share ``classes`` by hash. Marks around a word do not count."""
 
-    def __init__(self, words: list[str], size: int):
+    def __init__(self, words: list[str], size: int, coded: bool = False):
+        """``coded``: in place of its class's number, a word without a number of its own gets ``_RARE`` + its hash."""
         super().__init__()
+        self.coded = coded
         self.frequent = {w: i for i, w in enumerate(words)}
         self.classes, self.room = size - len(words), 250_000
 
@@ -56,7 +62,9 @@ class Vocabulary(dict):
         plain = bare(word)
         number = self.frequent.get(plain)
         if number is None:
-            number = len(self.frequent) + xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) % self.classes
+            number = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | _RARE
+            if not self.coded:
+                number = len(self.frequent) + number % self.classes
         if len(word) <= 48:
             if len(self) >= self.room:
                 self.clear()
@@ -191,12 +199,12 @@ class WindowNetwork:
 
 
 def _numbered(texts: pa.Array, vocabulary: Vocabulary, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Documents in groups of about ``most`` tokens: first row, rows, token numbers, owning row in the group."""
+    """Documents in groups of about ``most`` tokens: first row, rows, token numbers (or codes), owning row in the group."""
     parts, first = [], 0
     size = 0
     for i in range(len(texts)):
         words = tokens(texts[i].as_py())
-        parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+        parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint64 if vocabulary.coded else np.int32, len(words)))
         size += len(words)
         if size >= most or i == len(texts) - 1:
             counts = [len(p) for p in parts]
@@ -292,7 +300,8 @@ def fit(docs: DataFrame, *, text_col: str = "text", side: int = 64, width: int =
 def score(docs: DataFrame, words: list[str], network: WindowNetwork, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``pseudo_log_likelihood``, ``mean_log_probability`` for every document.
 
-    A text without tokens has a likelihood of 0 and a null mean.
+    A text without tokens has a likelihood of 0 and a null mean. The words of a
+    hash class count as one word here: the documents need not be those of the fit.
     """
     shared = docs.sparkSession.sparkContext.broadcast((words, network))
 
@@ -315,12 +324,111 @@ def score(docs: DataFrame, words: list[str], network: WindowNetwork, *, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_WITHIN = pa.schema([("group", pa.int64()), ("class", pa.int32()), ("values", pa.binary()), ("rows", pa.binary()), ("documents", pa.binary())])
+
+
+def _shares(hashes: np.ndarray, prior: float) -> np.ndarray:
+    """log P(word | class) for every token of one class: its word's count, with ``prior`` added to each word and to one unseen."""
+    _, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    return (np.log(counts + prior) - np.log(len(hashes) + prior * (len(counts) + 1)))[which]
+
+
+def _within(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by class: the groups' tokens of a class become sums for the groups' documents; the documents' own rows pass."""
+    held, key = [], None
+
+    def out() -> pa.RecordBatch:
+        groups, hashes, rows = zip(*held, strict=True)
+        logs = np.split(_shares(np.concatenate(hashes), prior), np.cumsum([len(h) for h in hashes])[:-1])
+        firsts = [np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in rows]
+        sums = [np.add.reduceat(own, first).tobytes() for own, first in zip(logs, firsts, strict=True)]
+        own = [x[first].tobytes() for x, first in zip(rows, firsts, strict=True)]
+        return pa.RecordBatch.from_pydict({"group": groups, "class": [key] * len(held), "values": sums, "rows": own, "documents": [None] * len(held)}, _WITHIN)
+
+    for batch in batches:
+        for i, number in enumerate(batch.column(1).to_pylist()):
+            if number != key:
+                if held:
+                    yield out()
+                held, key = [], number
+            if number < 0:
+                yield batch.slice(i, 1)
+            else:
+                group, _, values, rows, _ = (c[i].as_py() for c in batch.columns)
+                held.append((group, np.frombuffer(values, np.uint64), np.frombuffer(rows, np.int32)))
+    if held:
+        yield out()
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group, its documents' own row first: the documents with the sums of their classes added."""
+    documents, total = None, None
+
+    def out() -> pa.RecordBatch:
+        counts = documents.column(1).to_numpy()
+        mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
+        return pa.RecordBatch.from_arrays([documents.column(0), documents.column(1), pa.array(total), mean], names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"])
+
+    for batch in batches:
+        for _, number, values, rows, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if number < 0:
+                if documents is not None:
+                    yield out()
+                documents = pa.ipc.open_stream(own).read_next_batch()
+                total = documents.column(2).to_numpy().copy()
+            else:
+                total[np.frombuffer(rows, np.int32)] += np.frombuffer(values, np.float64)
+    if documents is not None:
+        yield out()
+
+
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5) -> DataFrame:
     """Fit on all documents, then score each of them.
 
-    Null and empty texts have no tokens; null ids stay null; repeated rows are
-    scored each; other columns are ignored, whatever their names; an empty table
-    gives no rows.
+    ``doc_id``, ``n_tokens``, ``pseudo_log_likelihood``, ``mean_log_probability``,
+    as ``score`` gives them, but each word of a hash class by its own probability
+    within the class. Null and empty texts have no tokens; null ids stay null;
+    repeated rows are scored each; other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
-    words, network = fit(docs, text_col=text_col)
-    return score(docs, words, network, id_col=id_col, text_col=text_col)
+    fitted = fit(docs, text_col=text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, network = shared.value
+        vocabulary, group = Vocabulary(words, network.size, coded=True), TaskContext.get().partitionId() << 32
+        classes = np.uint64(vocabulary.classes)
+        for batch in batches:
+            for first, n, codes, owner in _numbered(batch.column(1), vocabulary):
+                rare = np.flatnonzero(codes >= _RARE)
+                number = (codes[rare] % classes).astype(np.uint16 if classes < 1 << 16 else np.int32)
+                ids = codes.astype(np.int32)
+                ids[rare] = number.astype(np.int32) + len(words)
+                logs = network.log_probability(ids, network.around(ids, owner))
+                own = pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, n), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(np.bincount(owner, weights=logs, minlength=n))],
+                    names=["doc_id", "n_tokens", "log"],
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_batch(own)
+                by = np.argsort(number, kind="stable")
+                rare, number = rare[by], number[by]
+                starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                of = number[starts].tolist() if len(rare) else []
+                hashes, rows = (np.split(x, starts[1:]) if len(rare) else [] for x in (codes[rare], owner[rare].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([group] * (len(of) + 1), pa.int64()), pa.array([-1 - group % 4093, *of], pa.int32()),
+                        pa.array([None, *(x.tobytes() for x in hashes)], pa.binary()), pa.array([None, *(x.tobytes() for x in rows)], pa.binary()),
+                        pa.array([sink.getvalue().to_pybytes(), *[None] * len(of)], pa.binary()),
+                    ],
+                    schema=_WITHIN,
+                )
+                group += 1
+
+    schema = "group long, class int, values binary, rows binary, documents binary"
+    parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    parts = parts.repartition("class").sortWithinPartitions("class").mapInArrow(lambda batches: _within(batches, prior), schema)
+    parts = parts.repartition("group").sortWithinPartitions("group", "class")
+    return parts.mapInArrow(_added, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from tarnwood.llm import cotrain
 from tarnwood.llm.common import table
 from tarnwood.llm.cotrain import score_quality
 from tarnwood.llm.feistel import Permutation, shard_rows
-from tarnwood.llm.pseudo_lm import Vocabulary, WindowNetwork, fit, score, score_documents, tokens
+from tarnwood.llm.pseudo_lm import Vocabulary, WindowNetwork, bare, fit, score, score_documents, tokens
 
 from .conftest import SCHEMA, words
 
@@ -121,6 +123,37 @@ def test_every_token_is_a_training_target(spark):
     assert np.array_equal(by_default, whole) and not np.allclose(by_default, strided, atol=1e-3)
 
 
+def test_words_of_a_class_have_probabilities_of_their_own(spark):
+    """More words than the vocabulary holds: each token's probability is its class's times its share of the class's tokens."""
+    common = [f"common{i}" for i in range(3584)]
+    rows = [(i, " ".join(common[i::8]) + " " + " ".join(common[i::8])) for i in range(8)]
+    rng = random.Random(3)
+    rows += [(10 + i, " ".join(f"rare{rng.randint(0, 3000)}" for _ in range(200))) for i in range(6)]
+    rows += [(20, "common1 often"), (21, "common1 often,"), (22, None)]
+    rows += [(23, f"common1 {twin_of('often')}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in score_documents(docs).collect()}
+    classes = {r.doc_id: r.pseudo_log_likelihood for r in score(docs, *fit(docs)).collect()}
+    known = Vocabulary(fit(docs)[0], 4096)
+    counts = Counter(bare(w) for _, text in rows for w in tokens(text) if known[w] >= 3584)
+    assert len(counts) > 600
+    for d, text in rows:
+        within = 0.0
+        for w in map(bare, tokens(text)):
+            if w in counts:
+                mates = [n for v, n in counts.items() if known[v] == known[w]]
+                within += math.log((counts[w] + 0.5) / (sum(mates) + 0.5 * (len(mates) + 1)))
+        assert got[d].pseudo_log_likelihood == pytest.approx(classes[d] + within, rel=1e-5, abs=1e-9) and got[d].n_tokens == len(tokens(text))
+    assert classes[20] == pytest.approx(classes[23]) and got[20].pseudo_log_likelihood > got[23].pseudo_log_likelihood + 0.5
+    assert got[20].pseudo_log_likelihood == pytest.approx(got[21].pseudo_log_likelihood) and got[22].mean_log_probability is None
+
+
+def twin_of(word: str) -> str:
+    """Another word of the same hash class."""
+    known = Vocabulary([], 512)
+    return next(w for w in (f"other{i}" for i in range(100_000)) if known[w] == known[word])
+
+
 def test_score_odd_cases(docs, none):
     got = {r.doc_id: r for r in score_documents(docs).collect()}
     assert got[1].n_tokens == 0 and got[1].pseudo_log_likelihood == 0 and got[1].mean_log_probability is None
