@@ -50,12 +50,17 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _permuted(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of the 32-bit numbers, in place."""
+#: Two permutations of the 32-bit numbers: multipliers, and the shift between them.
+_FIRST = (np.uint32(0x85EBCA6B), np.uint32(13), np.uint32(0xC2B2AE35))
+_SECOND = (np.uint32(0x7FEB352D), np.uint32(15), np.uint32(0x846CA68B))
+
+
+def _permuted(x: np.ndarray, by: tuple[np.uint32, np.uint32, np.uint32]) -> np.ndarray:
+    """One of the fixed permutations of the 32-bit numbers, in place."""
     x ^= x >> np.uint32(16)
-    x *= np.uint32(0x7FEB352D)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x846CA68B)
+    x *= by[0]
+    x ^= x >> by[1]
+    x *= by[2]
     x ^= x >> np.uint32(16)
     return x
 
@@ -75,10 +80,10 @@ class CirculantMinHash:
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         """One uint32 for each shift; of an empty set, the largest number."""
-        first = _permuted((shingles ^ (shingles >> _S32)).astype(np.uint32))
+        first = _permuted((shingles ^ (shingles >> _S32)).astype(np.uint32), _FIRST)
         best = np.full(len(self.shifts), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(first), self.chunk):
-            np.minimum(best, _permuted(first[at : at + self.chunk] - self.shifts).min(axis=1), out=best)
+            np.minimum(best, _permuted(first[at : at + self.chunk] - self.shifts, _SECOND).min(axis=1), out=best)
         return best
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:

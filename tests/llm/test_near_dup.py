@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
-from tarnwood.llm import near_dup
+from tarnwood.llm import near_dup, shingles
 from tarnwood.llm.near_dup import near_duplicates
+from tarnwood.llm.shingles import CirculantMinHash
 
 from .conftest import words
 
@@ -60,5 +62,18 @@ def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_signatures_come_from_two_permutations():
+    """On few numbers the shifted permutation is told apart from the first by its values."""
+    minhash = CirculantMinHash(2, 3)
+    for value in (1, 7, 123_456_789, 2**32 - 1):
+        low = np.array([value], np.uint32)
+        first = shingles._permuted(low.copy(), shingles._FIRST)
+        want = [shingles._permuted(first - np.uint32(k), shingles._SECOND)[0] for k in range(6)]
+        assert list(minhash.signature(np.array([value], np.uint64))) == want
+        assert first[0] != shingles._permuted(low.copy(), shingles._SECOND)[0]
+    for by in (shingles._FIRST, shingles._SECOND):
+        assert len(np.unique(shingles._permuted(np.arange(1 << 20, dtype=np.uint32), by))) == 1 << 20
+
+
 def test_nothing(none):
     assert near_duplicates(none).collect() == []
