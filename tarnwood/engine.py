@@ -54,6 +54,7 @@ class Engine:
             ).select("id", "score")
         best = retrieval.federated(found, limit)
         if session_id is not None:
+            best = self.spark.createDataFrame(best.collect(), best.schema)  # at most ``limit`` rows, searched for once
             log = best.select(
                 F.lit(session_id).alias("session_id"), "source_table", F.col("id").alias("source_id"), F.lit("search").alias("interaction_type"),
                 F.col("score").alias("relevance_score"), F.lit(now).cast("timestamp").alias("accessed_at"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pandas as pd
@@ -16,30 +17,36 @@ _LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _STRONG = re.compile(r"(\*\*|__|\*|_)(?=\S)(.+?)(?<=\S)\1")
 
 
+def _unquoted(text: str) -> str:
+    """Without the blanks, then the double, then the single quotes around it."""
+    return text.strip().strip('"').strip("'")
+
+
 def scalar(value: str):
-    """A frontmatter value by its look: integer, number, boolean, or the text without its quotes."""
-    if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'":
-        return value[1:-1]
-    if _INTEGER.fullmatch(value):
+    """A frontmatter value by its look, quotes aside: 64-bit integer, finite number, boolean, or text."""
+    value = _unquoted(value)
+    if _INTEGER.fullmatch(value) and -(1 << 63) <= int(value) < 1 << 63:
         return int(value)
-    if _NUMBER.fullmatch(value):
+    if _NUMBER.fullmatch(value) and math.isfinite(float(value)):
         return float(value)
     low = value.lower()
     return low == "true" if low in ("true", "false") else value
 
 
 def split_frontmatter(raw: str) -> tuple[dict, str]:
-    """``key: value`` lines between a leading ``---`` and the next one, and the rest; without them all is body."""
-    if not raw.startswith("---"):
-        return {}, raw
-    end = raw.find("\n---", 3)
-    if end < 0:
+    """``key: value`` lines between a leading ``---`` and the next one, and the rest; without them all is body.
+
+    White space may stand before the first ``---``; comments and lines without a colon are left out.
+    """
+    start = len(raw) - len(raw.lstrip())
+    end = raw.find("\n---", start + 3)
+    if not raw.startswith("---", start) or end < 0:
         return {}, raw
     fields = {}
-    for line in raw[3:end].splitlines():
+    for line in map(str.strip, raw[start + 3 : end].splitlines()):
         key, colon, value = line.partition(":")
-        if colon and key.strip() and not line.lstrip().startswith("#"):
-            fields[key.strip()] = scalar(value.strip())
+        if colon and not line.startswith("#"):
+            fields[_unquoted(key)] = scalar(value)
     return fields, raw[end + 4 :].lstrip("\n")
 
 

@@ -48,9 +48,13 @@ def unseen_archives(spark, d):
     "SELECT c.conv_id::VARCHAR AS session_id, c.role, strlen(c.text)::BIGINT AS size, 'talk ' || c.conv_id AS title FROM conversations c",
 )
 def tagged_parts(spark, d):
-    talks = table(spark, d, "conversations")
-    parts = talks.select(F.lit("part").alias("kind"), F.col("conv_id").cast("string").alias("session_id"), "role", "text", F.lit(None).cast("string").alias("title"))
-    heads = talks.select("conv_id").distinct().select(F.lit("session").alias("kind"), F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("title"))
+    talks, none = table(spark, d, "conversations"), F.lit(None).cast("string")
+    place = [F.pmod("conv_id", F.lit(7)).alias("file"), (F.col("conv_id") * 10_000 + F.col("turn") + 1).alias("line_no")]
+    parts = talks.select(F.lit("part").alias("kind"), *place, none.alias("session_id"), "role", "text", none.alias("title"))
+    name = F.col("conv_id").cast("string")
+    heads = talks.select("conv_id").distinct().withColumn("turn", F.lit(-1)).select(
+        F.lit("session").alias("kind"), *place, name.alias("session_id"), none.alias("role"), none.alias("text"), F.concat(F.lit("talk "), name).alias("title")
+    )
     return sessions.session_parts(heads.unionByName(parts)).select("session_id", "role", F.octet_length("text").cast("long").alias("size"), "title")
 
 
@@ -245,9 +249,9 @@ def missing_vectors(spark, d):
     return rows.where("embedding is null").select("doc_id")
 
 
-@query("fil06_ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%STEEL%' OR p_brand ILIKE '%STEEL%' OR p_type ILIKE '%STEEL%'")
+@query("fil06_ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%WIDGET%' OR p_brand ILIKE '%WIDGET%' OR p_type ILIKE '%WIDGET%'")
 def ilike(spark, d):
-    like = reduce(lambda a, b: a | b, [F.col(c).ilike("%STEEL%") for c in ("p_name", "p_brand", "p_type")])
+    like = reduce(lambda a, b: a | b, [F.col(c).ilike("%WIDGET%") for c in ("p_name", "p_brand", "p_type")])
     return table(spark, d, "part").where(like).select("p_partkey")
 
 
@@ -354,9 +358,9 @@ def union_all(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id")).unionByName(table(spark, d, "pages").select(F.col("page_id").alias("id")))
 
 
-@query("set03_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set03_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
 @query("set04_symmetric", "SELECT page_id AS id, 'missing' AS status FROM pages WHERE page_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'extra' FROM embeddings WHERE vec_id NOT IN (SELECT page_id FROM pages)")

@@ -11,8 +11,9 @@ from . import cdc, store
 from .fixtures import AS_OF, MEMORIES, SCORED, as_of, bm25_sql, memories, query_vector, table
 from .fixtures import vectors as stored_vectors
 
-QUERY = "hean stion"
-KW = bm25_sql(["hean", "stion"])
+#: Two words that occur together at every scale, in documents on both sides of the fusion and with equal scores among them.
+QUERY = "thth hest"
+KW = bm25_sql(["hest", "thth"])
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
 VEC20 = f"(SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {SCORED} WHERE score > 0 ORDER BY score DESC, id LIMIT 20)"
 KW20 = f"(SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {KW} ORDER BY score DESC, id LIMIT 20)"
@@ -80,9 +81,19 @@ def trigram(spark, d):
     return textindex.trigram_topk(part, text, 25, id_col="p_partkey", text_col="p_name")
 
 
-@query("ret02_fallback", "SELECT doc_id AS id, 0.0::DOUBLE AS score FROM documents WHERE false")
+#: Trigrams of a part's name, and of a query that no name holds as a word.
+_GRAMS = """list_distinct(flatten(list_transform(list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')),
+         lambda x: list_transform(range(1, len('  ' || x || ' ') - 1), lambda i: substr('  ' || x || ' ', i, 3)))))"""
+
+
+@query(
+    "ret02_fallback",
+    f"""WITH w AS (SELECT p_partkey AS id, {_GRAMS.format("p_name")} AS t, {_GRAMS.format("'cold widge'")} AS q FROM part),
+       s AS (SELECT id, round(len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q)))::DOUBLE, 9) AS score FROM w)
+       SELECT id, score FROM s WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 40""",
+)
 def fallback(spark, d):
-    return textindex.keyword_topk(memories(spark, d), "zzzqqqxxx wwwvvvuuu", 10)
+    return textindex.keyword_topk(table(spark, d, "part"), "cold widge", 40, id_col="p_partkey", text_col="p_name")
 
 
 @query(

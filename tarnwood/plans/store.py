@@ -1,15 +1,20 @@
-"""Tables as versioned folders, and the row changes that need more than an append.
+"""Tables as versioned sets of folders, and the row changes that need more than an append.
 
 Plain Parquet cannot be merged into, so a change is a new version: old and new
-rows meet in a full outer join on the key, the result goes to a new folder, and
-a small pointer file names the current one. Readers of the old version are never
-disturbed, and a failed write leaves the pointer where it was.
+rows meet in a full outer join on the key and the result goes to a new folder.
+An append writes its own rows only. A version is one small file that lists the
+table's folders; it is created only if no other writer took its number, so of
+two writers one tries again on top of the other. Readers of an old version are
+never disturbed, and a failed write leaves no version behind.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,32 +24,86 @@ SCHEMA_VERSION = 13
 class Store:
     """Named tables under one root folder, on any file system that Spark writes to."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    def __init__(self, spark: SparkSession, root: str, *, most_parts: int = 64):
+        """``most_parts``: an append to a table of so many folders rewrites it as one."""
+        self.spark, self.root, self.most_parts = spark, root.rstrip("/"), most_parts
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _listed(self, name: str) -> dict[int, int]:
+        """Number and length of each version's file; one of length 0 is being written, or its writer failed."""
+        log = self._at(f"{self.root}/{name}/_versions")
+        return {int(s.getPath().getName()): s.getLen() for s in self._fs.listStatus(log) if s.getPath().getName().isdigit()} if self._fs.exists(log) else {}
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(v for v, length in self._listed(name).items() if length)
+
+    def _folders(self, name: str, version: int) -> list[str]:
+        return [r["value"] for r in self.spark.read.text(f"{self.root}/{name}/_versions/{version:012d}").collect()]
+
+    def _commit(self, name: str, folders: Callable[[int | None], list[str]], patience: float = 5.0) -> None:
+        """The next version, of the folders that ``folders`` gives for the current one; again if another writer was first.
+
+        A version that stays empty for ``patience`` seconds is a failed writer's and is passed over.
+        """
+        waited = 0.0
+        while True:
+            listed = self._listed(name)
+            newest = max(listed, default=-1)
+            if newest >= 0 and not listed[newest] and waited < patience:
+                time.sleep(0.1)
+                waited += 0.1
+                continue
+            text = "\n".join(folders(max((v for v, length in listed.items() if length), default=None)))
+            try:
+                out = self._fs.create(self._at(f"{self.root}/{name}/_versions/{newest + 1:012d}"), False)
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                waited = 0.0
+                continue
+            out.write(bytearray(text.encode()))
+            out.close()
+            return
+
+    def _written(self, name: str, rows: DataFrame) -> str:
+        folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.spark.read.text(self._pointer(name)).orderBy(F.desc("value")).first()["value"].split("\t")[1])
+        return self.spark.read.parquet(*self._folders(name, self._versions(name)[-1]))
 
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self._versions(name))
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Make ``rows`` the table's next version."""
-        folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        last = self.spark.read.text(self._pointer(name)).count() if self.exists(name) else 0
-        self.spark.range(1).select(F.lit(f"{last:012d}\t{folder}").alias("value")).coalesce(1).write.mode("append").text(self._pointer(name))
+        folder = self._written(name, rows)
+        self._commit(name, lambda _: [folder])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows) if self.exists(name) else rows)
+        """Add ``rows``; what is there stays as it is, until the table has ``most_parts`` folders."""
+        versions = self._versions(name)
+        if versions and len(self._folders(name, versions[-1])) >= self.most_parts:
+            self.write(name, self.read(name).unionByName(rows))
+            return
+        folder = self._written(name, rows)
+        self._commit(name, lambda last: ([] if last is None else self._folders(name, last)) + [folder])
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], **how) -> None:
         self.write(name, merged(self.read(name), rows, keys, **how) if self.exists(name) else rows)
 
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` versions, and the folders that none of these lists; no writer may be at work."""
+        versions = self._versions(name)
+        used = {f.rsplit("/", 1)[-1] for v in versions[-keep:] for f in self._folders(name, v)}
+        for v in versions[:-keep]:
+            self._fs.delete(self._at(f"{self.root}/{name}/_versions/{v:012d}"), False)
+        for s in self._fs.listStatus(self._at(f"{self.root}/{name}")):
+            if s.getPath().getName().startswith("v-") and s.getPath().getName() not in used:
+                self._fs.delete(s.getPath(), True)
+
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], *, update: dict[str, str] | None = None) -> DataFrame:
     """``old`` with ``new`` merged in by ``keys``.
@@ -111,10 +170,16 @@ def deduplicated(rows: DataFrame, keys: list[str], ts: str, tie: str) -> DataFra
 
 
 def bundle(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines in key order, and a manifest row with their count, bytes and a digest of the rows' own digests."""
-    lines = rows.select(key, F.to_json(F.struct(*sorted(rows.columns))).alias("value")).orderBy(key)
-    digest = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(key, F.sha2("value", 256).alias("d")))), lambda x: x["d"])), 256)
-    return lines.select("value"), lines.agg(F.count("*").alias("records"), F.sum(F.octet_length("value") + 1).alias("bytes"), digest.alias("sha256"))
+    """JSON lines in key order, and a manifest row with their count, bytes and a digest of all rows.
+
+    The digest is that of the sums of the rows' own digests, in four parts: it
+    does not depend on their order and is added up before it is shuffled.
+    """
+    lines = rows.select(key, F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
+    hashed = lines.withColumn("d", F.sha2("value", 256))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(4)]
+    manifest = hashed.agg(F.count("*").alias("records"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.sha2(F.concat_ws(",", *sums), 256).alias("sha256"))
+    return lines.orderBy(key).select("value"), manifest
 
 
 def restored(archive: DataFrame, bundles: DataFrame, limit: int) -> DataFrame:

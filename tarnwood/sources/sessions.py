@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import agent_name, model_name, preview
@@ -54,9 +54,15 @@ def tagged_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def session_parts(records: DataFrame) -> DataFrame:
-    """Parts with their session, by the id that both carry; the order of the lines does not matter."""
-    sessions = records.where("kind = 'session'").select("session_id", "title")
-    return records.where("kind = 'part'").select("session_id", "role", "text").join(sessions, "session_id")
+    """Parts (``role``, ``text``) with the ``session_id`` and ``title`` of the last session record before them in their file.
+
+    Records carry ``file`` and ``line_no``; what ids a part itself names does not
+    count, and parts before a file's first session are left out.
+    """
+    head = F.when(F.col("kind") == "session", F.struct("session_id", "title"))
+    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = records.withColumn("head", F.last(head, ignorenulls=True).over(before))
+    return placed.where("kind = 'part' and head is not null").select("head.session_id", "role", "text", "head.title")
 
 
 def rollup(parts: DataFrame, *, least: int = 50, in_bytes: bool = True) -> DataFrame:

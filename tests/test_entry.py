@@ -26,3 +26,14 @@ def test_query(spark, small, name):
         assert run(spark, small).count() > 0
     else:
         assert compare(spark, connect(small), small, run, sql) == ""
+
+
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_twin_is_not_empty(name):
+    assert connect("/root/testdata/sf0.01").execute(plans.oracle_sql()[name]).fetchone() is not None
+
+
+@pytest.mark.parametrize("name", ["ret05_rrf", "ret06_rsf", "ret07_hybrid"])
+def test_fusion_has_both_sides(spark, name):
+    found = plans.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    assert any(r.vec_rank and r.kw_rank for r in found) and any(r.kw_rank and not r.vec_rank for r in found) and any(r.vec_rank and not r.kw_rank for r in found)

@@ -209,8 +209,21 @@ def test_store(spark, tmp_path):
     assert before.count() == 2
     s.append("t", spark.createDataFrame([(4, "d", 4)], "id long, name string, n int"))
     assert s.read("t").count() == 4 and not s.exists("other")
+    untouched = set(s._folders("t", 1))
+    assert len(s._folders("t", 2)) == 2 and untouched < set(s._folders("t", 2))
+    s._fs.create(s._at(f"{tmp_path}/t/_versions/{3:012d}"), False).close()  # a writer that failed
+    s._commit("t", lambda last: s._folders("t", last), patience=0.2)
+    assert s._versions("t") == [0, 1, 2, 4] and s.read("t").count() == 4
+    s.vacuum("t", keep=1)
+    assert s._versions("t") == [4] and s.read("t").count() == 4
+    tight = store.Store(spark, f"{tmp_path}/tight", most_parts=2)
+    for k in range(4):
+        tight.append("t", old.withColumn("n", F.lit(k)))
+    assert tight.read("t").count() == 8 and len(tight._folders("t", tight._versions("t")[-1])) <= 2
     lines, manifest = store.bundle(s.read("t"), "id")
     assert lines.count() == manifest.first().records == 4 and len(manifest.first().sha256) == 64
+    assert store.bundle(s.read("t").repartition(3), "id")[1].first() == manifest.first()
+    assert store.bundle(s.read("t").withColumn("n", F.lit(5)), "id")[1].first().sha256 != manifest.first().sha256
     kept, gone = store.archived(old, old.where("id = 1"), ["id"])
     assert (kept.count(), gone.count()) == (1, 1)
 
