@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,22 +44,51 @@ def blocks(text: str, size: int = LONG_TEXT) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which the driver and all executors share.
+
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local
+    master gets a temporary folder, as in tests; a cluster gets an error, as its
+    machines would not see each other's files.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base and not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written rows.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session has none, as in tests. The shuffle files behind
-    what is written are of no more use; they go when the driver's JVM collects
-    its garbage, which is asked for here, as loops would else hold them all.
+    The shuffle files behind what is written are of no more use; they go when the
+    driver's JVM collects its garbage, which is asked for here, as loops would
+    else hold them all.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+    shared_folder(df.sparkSession)
     written = df.checkpoint(eager=True)
-    sc._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return written
 
 
+class Written:
+    """A DataFrame as Parquet in the shared folder: written once, read as often as wanted, deleted by ``drop``."""
+
+    def __init__(self, df: DataFrame, by: tuple[str, ...] = ()):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/rows-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that turns each batch into one."""
 

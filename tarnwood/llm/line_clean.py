@@ -39,7 +39,7 @@ class LineRules:
     ``min_open`` words or more without any mark that ends or divides a sentence.
     """
 
-    def __init__(self, max_symbols=0.3, min_bars=2, notice_words=30, min_shout=4, max_upper=0.7, min_open=400):
+    def __init__(self, max_symbols=0.3, min_bars=2, notice_words=30, min_shout=4, max_upper=0.7, min_open=10):
         self.max_symbols, self.min_bars, self.notice_words = max_symbols, min_bars, notice_words
         self.min_shout, self.max_upper, self.min_open = min_shout, max_upper, min_open
 
@@ -129,9 +129,11 @@ def clean_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A document is kept unless it has under ten words, over a fifth of its words
     repeat in 5-word windows, or its failing lines hold more than ``max_lost``
     of its word characters. Null and empty texts have no words and are not kept;
-    their ``clean_text`` is empty. Null ids stay null; repeated rows are judged
-    each; other columns are ignored, whatever their names; an empty table gives
-    no rows. Narrow: no shuffle.
+    their ``clean_text`` is empty. A line that equals an earlier one fails, the
+    first of them stays. Null ids stay null; repeated rows are judged each, alike;
+    other columns are ignored, whatever their names; an empty table gives no rows.
+    Texts of any length are judged whole, in memory of some 100 bytes a word.
+    Narrow: no shuffle.
     """
     rules = rules or LineRules()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text"]

@@ -73,7 +73,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS
   len(regexp_extract_all(line, '\s[|>»•·/]\s')) AS bars, len(regexp_extract_all(line, '\p{{Lu}}')) AS upper, len(regexp_extract_all(line, '\p{{L}}')) AS letters FROM l WHERE len(lw) > 0),
 f AS (SELECT doc_id, sum(repeated::INT) AS dup, sum(CASE WHEN repeated OR symbols >= 0.3 * len(lw) + 1 OR (bars >= 2 AND 2 * bars >= len(lw) // 2)
     OR (len(lw) <= 30 AND regexp_matches(line, '(?i){_NOTICES}')) OR (len(lw) >= 4 AND upper > 0.7 * letters AND upper > 0)
-    OR (len(lw) >= 400 AND NOT regexp_matches(line, '[.!?,;:。！？]')) THEN length(array_to_string(lw, '')) ELSE 0 END) AS lost FROM r GROUP BY doc_id),
+    OR (len(lw) >= 10 AND NOT regexp_matches(line, '[.!?,;:。！？]')) THEN length(array_to_string(lw, '')) ELSE 0 END) AS lost FROM r GROUP BY doc_id),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5))),
 h AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM g WHERE twice) GROUP BY doc_id),
 b AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,

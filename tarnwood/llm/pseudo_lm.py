@@ -12,30 +12,38 @@ A word of a class has the class's conditional probability times its own within
 the class, from the counts of all words of all documents, smoothed (class-based
 models: Brown et al., 1992). Words are told apart there by 63-bit hashes.
 
-Training is numpy in the tasks: each partition of the documents trains a copy
-from one common start, over its own tokens, and the copies are averaged,
-weighted by their tokens, block of parameters by block (one-shot averaging:
-Zinkevich et al., 2010). What is gathered, word counts and models, grows with
-the partitions of the input; the driver sees one averaged model of fixed size.
+Training is numpy in the tasks, in rounds (local steps and averaging: McMahan et
+al., "Communication-efficient learning of deep networks from decentralized data",
+2017). Documents are dealt into shards of about ``shard_tokens`` tokens and into
+rounds by a hash of id and text. In a round every shard starts from the common
+model, trains on its documents of that round, and the copies are averaged,
+weighted by their tokens. Every token is a target in exactly one round. Shards
+depend on the rows alone, so how a table is cut into files or partitions changes
+nothing, and a shard's work does not shrink as the corpus grows. The first model
+is the unigram distribution: its output biases are the words' log-frequencies.
+What is gathered, word counts and models, grows with the corpus; the driver sees
+one averaged model of fixed size a round.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, lower_ascii
+from .common import ASCII_WORD, Written, lower_ascii
 
 _BLOCKS = 32
 _MERGE = 64
 _RARE = 1 << 63
+_MARKS = ".,;:!?\"'()"
 
 
 def tokens(text: str | None) -> list[str]:
@@ -45,7 +53,7 @@ def tokens(text: str | None) -> list[str]:
 
 def bare(word: str) -> str:
     """A word without the marks around it; marks alone stay."""
-    return word.strip(".,;:!?\"'()") or word
+    return word.strip(_MARKS) or word
 
 
 class Vocabulary(dict):
@@ -58,13 +66,17 @@ class Vocabulary(dict):
         self.frequent = {w: i for i, w in enumerate(words)}
         self.classes, self.room = size - len(words), 250_000
 
-    def __missing__(self, word: str) -> int:
-        plain = bare(word)
+    def number(self, plain: str) -> int:
+        """The number, or code, of a word without marks."""
         number = self.frequent.get(plain)
         if number is None:
             number = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | _RARE
             if not self.coded:
                 number = len(self.frequent) + number % self.classes
+        return number
+
+    def __missing__(self, word: str) -> int:
+        number = self.number(bare(word))
         if len(word) <= 48:
             if len(self) >= self.room:
                 self.clear()
@@ -95,6 +107,15 @@ class WindowNetwork:
             at += n
         self.get("embed")[self.size] = 0
 
+    def start_at(self, counts: np.ndarray) -> None:
+        """Output biases from the words' counts, and small weights: the unigram distribution, near enough."""
+        by_group = (counts + 0.5).reshape(self.side, self.side)
+        own = by_group.sum(axis=1)
+        self.get("group_bias")[:] = np.log(own / own.sum())
+        self.get("word_bias")[:] = np.log(by_group / own[:, None])
+        for name in ("group", "word"):
+            self.get(name)[:] *= 0.1
+
     def get(self, name: str, flat: np.ndarray | None = None) -> np.ndarray:
         at, shape = self.names[name]
         return (self.flat if flat is None else flat)[at : at + int(np.prod(shape))].reshape(shape)
@@ -198,18 +219,33 @@ class WindowNetwork:
             self.flat -= step
 
 
-def _numbered(texts: pa.Array, vocabulary: Vocabulary, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Documents in groups of about ``most`` tokens: first row, rows, token numbers (or codes), owning row in the group."""
-    parts, first = [], 0
-    size = 0
-    for i in range(len(texts)):
-        words = tokens(texts[i].as_py())
-        parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint64 if vocabulary.coded else np.int32, len(words)))
-        size += len(words)
-        if size >= most or i == len(texts) - 1:
-            counts = [len(p) for p in parts]
-            yield first, len(parts), np.concatenate(parts), np.repeat(np.arange(len(parts)), counts)
-            parts, first, size = [], i + 1, 0
+def _groups(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """Texts some ``most`` bytes at a time, each group with its first row; a longer text is a group of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many tokens each text has, and all of them end to end: lower-cased words, with the marks around them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    full = np.asarray(pc.binary_length(words)) > 0  # blanks at a text's ends leave empty ones
+    owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))[full]
+    return np.bincount(owner, minlength=len(texts)), words.filter(pa.array(full)).dictionary_encode()
+
+
+def _numbered(texts: pa.Array, vocabulary: Vocabulary, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Documents in groups: first row, tokens of each, token numbers (or codes)."""
+    kind = np.uint64 if vocabulary.coded else np.int32
+    for first, part in _groups(texts, most):
+        counts, words = split_words(part)
+        codes = np.fromiter(map(vocabulary.__getitem__, words.dictionary.to_pylist()), kind, len(words.dictionary))
+        yield first, counts, codes[words.indices.to_numpy()] if len(words) else np.empty(0, kind)
 
 
 def _weighted_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,88 +271,188 @@ def _weighted_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield row()
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", side: int = 64, width: int = 16, reach: int = 2, classes: int = 512, every: int = 1, rate: float = 0.1):
-    """(words of the vocabulary, trained network) for all documents; every token is a training target, or every ``every``-th."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("text"))
+class Fitted(NamedTuple):
+    """The vocabulary's words, the network, and tokens and distinct words of each hash class in the documents of the fit."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    words: list[str]
+    network: WindowNetwork
+    class_tokens: np.ndarray
+    class_types: np.ndarray
 
-        def out() -> pa.RecordBatch:
-            plain: Counter = Counter()
-            for w, n in counts.items():
-                plain[bare(w)] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(plain)), pa.array(list(plain.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            column = batch.column(0)
-            for i in range(len(column)):
-                counts.update(tokens(column[i].as_py()))
-                if len(counts) > 250_000:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, texts in _groups(batch.column(0), 8 << 20):
+            _, words = split_words(texts)
+            plain = pc.utf8_trim(words.dictionary, characters=_MARKS)
+            plain = pc.if_else(pc.equal(pc.binary_length(plain), 0), words.dictionary, plain)
+            n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            yield pa.RecordBatch.from_arrays([plain, pa.array(n, pa.int64())], names=["word", "n"])
 
-    counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    size = side * side
-    words = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size - classes).collect()]
-    shared = spark.sparkContext.broadcast(words)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, vocabulary = WindowNetwork(side, width, reach), Vocabulary(shared.value, size)
-        squares, seen = np.zeros_like(network.flat), 0
+def _frequent(counted: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The ``most`` most frequent words, ties by word.
+
+    A histogram by size finds a count that little more than ``most`` words reach,
+    so tasks send those only and not the best of each.
+    """
+    size = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, 0
+    for r in sorted(counted.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held, least = held + r["words"], r["size"]
+        if held >= most:
+            break
+    return [(r["word"], r["n"]) for r in counted.where(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def _class_totals(counted: DataFrame, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each hash class."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(words, size)
+        tokens_, types = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            for _, _, ids, owner in _numbered(batch.column(0), vocabulary):
-                near = network.around(ids, owner)
-                at = np.arange(seen % every, len(ids), every)
-                network.train(ids[at], near[at], squares, rate)
-                seen += len(ids)
-        if seen:
+            number = np.fromiter(map(vocabulary.number, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            np.add.at(tokens_, number, batch.column(1).to_numpy())
+            np.add.at(types, number, 1)
+        own = np.arange(len(words), size)
+        yield pa.RecordBatch.from_arrays([pa.array(own - len(words)), pa.array(tokens_[own]), pa.array(types[own])], names=["class", "tokens", "types"])
+
+    sums = counted.mapInArrow(tally, "class long, tokens long, types long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    out = np.zeros((2, size - len(words)), np.int64)
+    for r in sums.collect():
+        out[:, r["class"]] = r["tokens"], r["types"]
+    return out[0], out[1]
+
+
+def _averaged(models: DataFrame, shards: int) -> dict[int, np.ndarray]:
+    """The weighted mean of the shards' models, by a tree: no task holds more than some dozen copies of a block."""
+    schema = "block int, part int, weight double, parameters binary"
+    while True:
+        last = shards <= _MERGE
+        group = F.lit(0) if last else F.floor(F.col("part") / _MERGE).cast("int")
+        models = models.select("block", group.alias("part"), "weight", "parameters", F.col("part").alias("from"))
+        models = models.repartition("block", "part").sortWithinPartitions("block", "part", "from").drop("from").mapInArrow(_weighted_means, schema)
+        if last:
+            return {r["block"]: np.frombuffer(r["parameters"], np.float32) for r in models.collect()}
+        shards = -(-shards // _MERGE)
+
+
+def _learner(shared, side: int, width: int, reach: int, rate: float, chunk: int, most: int = 200_000):
+    """Rows (``shard``, ``ids``) come sorted by shard: each shard's tokens train a copy of the shared model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, key, squares = WindowNetwork(side, width, reach), None, None
+        held: list[np.ndarray] = []
+        size = seen = 0
+
+        def step() -> None:
+            nonlocal size
+            if size:
+                ids = np.concatenate(held).astype(np.int32)
+                owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+                network.train(ids, network.around(ids, owner), squares, rate, chunk)
+            held.clear()
+            size = 0
+
+        def out() -> pa.RecordBatch:
             parts = np.array_split(network.flat, _BLOCKS)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(_BLOCKS), pa.int32()), pa.array([part] * _BLOCKS, pa.int32()),
+                    pa.array(range(_BLOCKS), pa.int32()), pa.array([key] * _BLOCKS, pa.int32()),
                     pa.array([float(seen)] * _BLOCKS), pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
                 names=["block", "part", "weight", "parameters"],
             )
 
-    schema = "block int, part int, weight double, parameters binary"
-    models = texts.mapInArrow(learn, schema)
-    # First within groups of partitions, then over the groups, so no task holds more than some dozen copies of a block.
-    for group in (F.floor(F.col("part") / _MERGE).cast("int"), F.lit(0)):
-        models = models.select("block", group.alias("part"), "weight", "parameters", F.col("part").alias("from"))
-        models = models.repartition("block", "part").sortWithinPartitions("block", "part", "from").drop("from").mapInArrow(_weighted_means, schema)
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != key:
+                    if key is not None:
+                        step()
+                        yield out()
+                    key, seen, squares = shard, 0, np.zeros_like(network.flat)
+                    network.flat[:] = shared.value
+                own = np.frombuffer(ids.as_buffer(), np.uint16)
+                held.append(own)
+                size, seen = size + len(own), seen + len(own)
+                if size >= most:
+                    step()
+        if key is not None:
+            step()
+            yield out()
+
+    return run
+
+
+def fit(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", side: int = 64, width: int = 16, reach: int = 2, classes: int = 512,
+    rate: float = 0.3, rounds: int = 4, shard_tokens: int = 2_000_000, least_shards: int = 8,
+) -> Fitted:
+    """The model of all documents; each of their tokens is a training target once.
+
+    ``side`` is at most 256. Equal rows train alike; words of equal counts at the
+    vocabulary's edge are taken in their order.
+    """
+    spark, size = docs.sparkSession, side * side
+    texts = docs.select(F.col(text_col).alias("text"))
+    counted = Written(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    found = _frequent(counted.read(), size - classes)
+    words = [w for w, _ in found]
+    class_tokens, class_types = _class_totals(counted.read(), words, size)
+    counted.drop()
+    total = sum(n for _, n in found) + int(class_tokens.sum())
     network = WindowNetwork(side, width, reach)
-    blocks = {r["block"]: np.frombuffer(r["parameters"], np.float32) for r in models.collect()}
-    if blocks:
-        network.flat[:] = np.concatenate([blocks[k] for k in range(_BLOCKS)])
-    return words, network
+    network.start_at(np.concatenate([[n for _, n in found], class_tokens, np.zeros(size - len(words) - len(class_tokens))]))
+    if not total:
+        return Fitted(words, network, class_tokens, class_types)
 
+    shards = max(least_shards, -(-total // shard_tokens))
+    chunk = int(np.clip(total // (shards * rounds * 32), 128, 4096))  # some 32 steps a shard and round, or more
+    vocabulary_words = spark.sparkContext.broadcast(words)
 
-def score(docs: DataFrame, words: list[str], network: WindowNetwork, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(vocabulary_words.value, size)
+        for batch in batches:
+            for first, counts, ids in _numbered(batch.column(1), vocabulary):
+                parts = np.split(ids.astype(np.uint16), np.cumsum(counts)[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["deal", "ids"])
+
+    deal = F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal")
+    dealt = docs.select(deal, F.col(text_col).alias("text")).mapInArrow(number, "deal long, ids binary").where("octet_length(ids) > 0")
+    by = {"shard": F.pmod("deal", F.lit(shards)).cast("int"), "round": F.pmod(F.shiftright("deal", 40), F.lit(rounds)).cast("int")}
+    rows = Written(dealt.withColumns(by), ("round",))
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(network.flat)
+        own = rows.read().where(F.col("round") == k).select("shard", "ids", "deal").repartition("shard").sortWithinPartitions("shard", "deal", "ids")
+        models = own.select("shard", "ids").mapInArrow(_learner(shared, side, width, reach, rate, chunk), "block int, part int, weight double, parameters binary")
+        blocks = _averaged(models, shards)
+        if blocks:
+            network.flat = np.concatenate([blocks[k] for k in range(_BLOCKS)])
+        shared.unpersist()
+    rows.drop()
+    return Fitted(words, network, class_tokens, class_types)
+
+
+def score(docs: DataFrame, fitted: Fitted, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``pseudo_log_likelihood``, ``mean_log_probability`` for every document.
 
     A text without tokens has a likelihood of 0 and a null mean. The words of a
     hash class count as one word here: the documents need not be those of the fit.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, network))
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.words, fitted.network))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network = shared.value
         vocabulary = Vocabulary(words, network.size)
         for batch in batches:
-            ids_ = batch.column(0)
-            for first, n, ids, owner in _numbered(batch.column(1), vocabulary):
+            for first, counts, ids in _numbered(batch.column(1), vocabulary):
+                owner = np.repeat(np.arange(len(counts)), counts)
                 logs = network.log_probability(ids, network.around(ids, owner))
-                counts = np.bincount(owner, minlength=n)
-                sums = np.bincount(owner, weights=logs, minlength=n)
+                sums = np.bincount(owner, weights=logs, minlength=len(counts))
                 mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [ids_.slice(first, n), pa.array(counts.astype(np.int64)), pa.array(sums), mean],
+                    [batch.column(0).slice(first, len(counts)), pa.array(counts.astype(np.int64)), pa.array(sums), mean],
                     names=["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"],
                 )
 
@@ -324,26 +460,27 @@ def score(docs: DataFrame, words: list[str], network: WindowNetwork, *, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
-_WITHIN = pa.schema([("group", pa.int64()), ("class", pa.int32()), ("values", pa.binary()), ("rows", pa.binary()), ("documents", pa.binary())])
+_WITHIN = pa.schema([("group", pa.int64()), ("bucket", pa.int32()), ("values", pa.binary()), ("rows", pa.binary()), ("documents", pa.binary())])
 
 
-def _shares(hashes: np.ndarray, prior: float) -> np.ndarray:
-    """log P(word | class) for every token of one class: its word's count, with ``prior`` added to each word and to one unseen."""
+def _shares(hashes: np.ndarray, tokens_: np.ndarray, types: np.ndarray, prior: float) -> np.ndarray:
+    """log P(word | class) for every token of a bucket: its word's count, with ``prior`` added to each word and to one unseen."""
     _, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    return (np.log(counts + prior) - np.log(len(hashes) + prior * (len(counts) + 1)))[which]
+    own = (hashes % np.uint64(len(tokens_))).astype(np.int64)
+    return np.log(counts + prior)[which] - np.log(tokens_ + prior * (types + 1))[own]
 
 
-def _within(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by class: the groups' tokens of a class become sums for the groups' documents; the documents' own rows pass."""
+def _within(batches: Iterator[pa.RecordBatch], shared, prior: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket: the groups' rarer tokens become sums for the groups' documents; the documents' own rows pass."""
     held, key = [], None
 
     def out() -> pa.RecordBatch:
         groups, hashes, rows = zip(*held, strict=True)
-        logs = np.split(_shares(np.concatenate(hashes), prior), np.cumsum([len(h) for h in hashes])[:-1])
+        logs = np.split(_shares(np.concatenate(hashes), *shared.value[2:], prior), np.cumsum([len(h) for h in hashes])[:-1])
         firsts = [np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in rows]
         sums = [np.add.reduceat(own, first).tobytes() for own, first in zip(logs, firsts, strict=True)]
         own = [x[first].tobytes() for x, first in zip(rows, firsts, strict=True)]
-        return pa.RecordBatch.from_pydict({"group": groups, "class": [key] * len(held), "values": sums, "rows": own, "documents": [None] * len(held)}, _WITHIN)
+        return pa.RecordBatch.from_pydict({"group": groups, "bucket": [key] * len(held), "values": sums, "rows": own, "documents": [None] * len(held)}, _WITHIN)
 
     for batch in batches:
         for i, number in enumerate(batch.column(1).to_pylist()):
@@ -382,40 +519,47 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5, bucket_tokens: int = 500_000, **how) -> DataFrame:
     """Fit on all documents, then score each of them.
 
     ``doc_id``, ``n_tokens``, ``pseudo_log_likelihood``, ``mean_log_probability``,
     as ``score`` gives them, but each word of a hash class by its own probability
     within the class. Null and empty texts have no tokens; null ids stay null;
-    repeated rows are scored each; other columns are ignored, whatever their
-    names; an empty table gives no rows.
+    repeated rows are scored each, alike; words of equal counts at the
+    vocabulary's edge are taken in their order; other columns are ignored,
+    whatever their names; an empty table gives no rows. Texts of any length are
+    scored whole, a task holding one text, or 2 MB of them, at a time. Scores do
+    not depend on how the rows are partitioned. Rarer words are counted in
+    buckets by hash of about ``bucket_tokens`` tokens; a word is never split, and
+    one outside a vocabulary of v words has at most 1 / v of all tokens.
     """
-    fitted = fit(docs, text_col=text_col)
+    fitted = fit(docs, id_col=id_col, text_col=text_col, **how)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    buckets = max(256, -(-int(fitted.class_tokens.sum()) // bucket_tokens))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network = shared.value
+        words, network, tokens_, _ = shared.value
         vocabulary, group = Vocabulary(words, network.size, coded=True), TaskContext.get().partitionId() << 32
         classes = np.uint64(vocabulary.classes)
         for batch in batches:
-            for first, n, codes, owner in _numbered(batch.column(1), vocabulary):
+            for first, counts, codes in _numbered(batch.column(1), vocabulary):
+                n, owner = len(counts), np.repeat(np.arange(len(counts)), counts)
                 rare = np.flatnonzero(codes >= _RARE)
-                number = (codes[rare] % classes).astype(np.uint16 if classes < 1 << 16 else np.int32)
                 ids = codes.astype(np.int32)
-                ids[rare] = number.astype(np.int32) + len(words)
+                ids[rare] = (codes[rare] % classes).astype(np.int32) + len(words)
+                bucket = (codes[rare] // classes % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
                 logs = network.log_probability(ids, network.around(ids, owner))
                 own = pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(np.bincount(owner, minlength=n).astype(np.int64)), pa.array(np.bincount(owner, weights=logs, minlength=n))],
+                    [batch.column(0).slice(first, n), pa.array(counts.astype(np.int64)), pa.array(np.bincount(owner, weights=logs, minlength=n))],
                     names=["doc_id", "n_tokens", "log"],
                 )
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, own.schema) as writer:
                     writer.write_batch(own)
-                by = np.argsort(number, kind="stable")
-                rare, number = rare[by], number[by]
-                starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-                of = number[starts].tolist() if len(rare) else []
+                by = np.argsort(bucket, kind="stable")
+                rare, bucket = rare[by], bucket[by]
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                of = bucket[starts].tolist() if len(rare) else []
                 hashes, rows = (np.split(x, starts[1:]) if len(rare) else [] for x in (codes[rare], owner[rare].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -427,8 +571,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 )
                 group += 1
 
-    schema = "group long, class int, values binary, rows binary, documents binary"
+    schema = "group long, bucket int, values binary, rows binary, documents binary"
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
-    parts = parts.repartition("class").sortWithinPartitions("class").mapInArrow(lambda batches: _within(batches, prior), schema)
-    parts = parts.repartition("group").sortWithinPartitions("group", "class")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _within(batches, shared, prior), schema)
+    parts = parts.repartition("group").sortWithinPartitions("group", "bucket")
     return parts.mapInArrow(_added, "doc_id long, n_tokens long, pseudo_log_likelihood double, mean_log_probability double")

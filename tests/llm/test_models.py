@@ -8,15 +8,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnwood.llm import cotrain
+from tarnwood.llm import cotrain, pseudo_lm
 from tarnwood.llm.common import table
 from tarnwood.llm.cotrain import score_quality
 from tarnwood.llm.feistel import Permutation, shard_rows
-from tarnwood.llm.pseudo_lm import Vocabulary, WindowNetwork, bare, fit, score, score_documents, tokens
+from tarnwood.llm.pseudo_lm import Vocabulary, WindowNetwork, bare, fit, score, score_documents, split_words, tokens
 
 from .conftest import SCHEMA, words
 
@@ -101,40 +102,110 @@ def test_network_gradient():
     assert np.allclose(measured[where], np.abs(numeric[where]), atol=2e-3)
 
 
+def test_probabilities_by_plain_loops():
+    """The two-level softmax is a distribution over the vocabulary, and log_probability its logarithm."""
+    net = WindowNetwork(side=4, width=3, reach=2)
+    rng = np.random.default_rng(3)
+    net.flat[:] = rng.normal(0, 1, len(net.flat))
+    net.get("embed")[net.size] = 0
+    ids, owner = rng.integers(0, 16, 9).astype(np.int32), np.repeat([0, 1, 2], [1, 5, 3])
+    near, got = net.around(ids, owner), net.log_probability(ids, net.around(ids, owner))
+    soft = lambda z: [math.exp(x) / sum(math.exp(y) for y in z) for x in z]
+    for t in range(len(ids)):
+        h = []
+        for k in range(3):
+            total = 0.0
+            for slot, step in enumerate((-2, -1, 1, 2)):
+                u = t + step
+                inside = 0 <= u < len(ids) and owner[u] == owner[t]
+                assert near[t, slot] == (ids[u] if inside else net.size)
+                total += net.get("embed")[near[t, slot], k] * net.get("place")[slot, k]
+            h.append(math.tanh(total))
+        groups = soft([sum(h[k] * net.get("group")[k, g] for k in range(3)) + net.get("group_bias")[g] for g in range(4)])
+        p = [groups[g] * q for g in range(4) for q in soft([sum(h[k] * net.get("word")[g, k, w] for k in range(3)) + net.get("word_bias")[g, w] for w in range(4)])]
+        assert sum(p) == pytest.approx(1) and got[t] == pytest.approx(math.log(p[ids[t]]), rel=1e-4)
+
+
 def test_scores_prefer_held_out_text_in_its_order(spark):
     rng = random.Random(1)
     rule = ["ka lo mi ten", "ra su vo el", "an the is ka"]
     text = lambda: " ".join(rng.choice(rule) for _ in range(60))
     train = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
-    vocabulary, net = fit(train, side=8, classes=8, every=1, rate=0.3)
+    fitted = fit(train, side=8, classes=8, least_shards=2)
     test = [text() for _ in range(20)]
     mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in test]
-    got = {r.doc_id: r for r in score(spark.createDataFrame(list(enumerate(test + mixed)), "doc_id long, text string"), vocabulary, net).collect()}
+    got = {r.doc_id: r for r in score(spark.createDataFrame(list(enumerate(test + mixed)), "doc_id long, text string"), fitted).collect()}
     assert all(got[i].mean_log_probability > got[i + 20].mean_log_probability for i in range(20))
+    net = fitted.network
     for i in range(40):
-        ids = np.array([Vocabulary(vocabulary, 64)[w] for w in tokens((test + mixed)[i])], np.int32)
+        ids = np.array([Vocabulary(fitted.words, 64)[w] for w in tokens((test + mixed)[i])], np.int32)
         alone = net.log_probability(ids, net.around(ids, np.zeros(len(ids)))).sum()
         assert got[i].pseudo_log_likelihood == pytest.approx(alone, rel=1e-5) and got[i].n_tokens == len(ids)
 
 
-def test_every_token_is_a_training_target(spark):
-    docs = spark.createDataFrame([(i, words(random.Random(i), i)) for i in range(1, 41)], "doc_id long, text string").coalesce(1)
-    by_default, whole, strided = (fit(docs, side=8, classes=8, **given)[1].flat for given in ({}, {"every": 1}, {"every": 4}))
-    assert np.array_equal(by_default, whole) and not np.allclose(by_default, strided, atol=1e-3)
+def test_words_are_those_of_the_contract():
+    odd = ["  a b\x0b c\u3000d \x1f e\n", None, "", "É\u00a0x ÀB\tAb", "\r\n"]
+    counts, words = split_words(pa.array(odd))
+    assert words.to_pylist() == [w for t in odd for w in tokens(t)] and counts.tolist() == [len(tokens(t)) for t in odd]
+
+
+def test_every_token_is_a_target_once(spark, monkeypatch):
+    """The shards' weights of all rounds add up to the tokens of the table."""
+    docs = spark.createDataFrame([(i, words(random.Random(i), 1 + i % 30)) for i in range(300)] + [(400, None), (401, "")], "doc_id long, text string").repartition(5)
+    seen = []
+    averaged = pseudo_lm._averaged
+
+    def watched(models, shards):
+        seen.append(models.where("block = 0").agg({"weight": "sum"}).first()[0])
+        return averaged(models, shards)
+
+    monkeypatch.setattr(pseudo_lm, "_averaged", watched)
+    fit(docs, side=8, classes=8)
+    assert len(seen) == 4 and min(seen) > 0 and sum(seen) == sum(len(tokens(r.text)) for r in docs.collect())
+
+
+def test_held_out_beats_unigrams_and_partitions_do_not_matter(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    known, unseen = docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
+    few, many = (fit(known.repartition(n)) for n in (8, 64))
+    assert few.words == many.words and np.array_equal(few.network.flat, many.network.flat)
+    vocabulary = Vocabulary(few.words, 4096)
+    counts = np.full(4096, 0.5)
+    for r in known.collect():
+        np.add.at(counts, [vocabulary[w] for w in tokens(r.text)], 1)
+    logs, got = np.log(counts / counts.sum()), score(unseen, few).agg({"pseudo_log_likelihood": "sum", "n_tokens": "sum"}).first()
+    unigram = sum(logs[vocabulary[w]] for r in unseen.collect() for w in tokens(r.text))
+    assert got["sum(pseudo_log_likelihood)"] > unigram + 0.1 * got["sum(n_tokens)"]
+
+
+def test_averages_do_not_depend_on_the_tree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(9, pseudo_lm._BLOCKS, 3)).astype(np.float32)
+    rows = [(b, p, float(p + 1), values[p, b].tobytes()) for p in range(9) for b in range(pseudo_lm._BLOCKS)]
+    models = spark.createDataFrame(rows, "block int, part int, weight double, parameters binary").repartition(4)
+    want = np.average(values, axis=0, weights=np.arange(1, 10))
+    for merge in (64, 2):
+        monkeypatch.setattr(pseudo_lm, "_MERGE", merge)
+        got = pseudo_lm._averaged(models, 9)
+        assert np.allclose([got[b] for b in range(pseudo_lm._BLOCKS)], want, atol=1e-6)
 
 
 def test_words_of_a_class_have_probabilities_of_their_own(spark):
     """More words than the vocabulary holds: each token's probability is its class's times its share of the class's tokens."""
     common = [f"common{i}" for i in range(3584)]
-    rows = [(i, " ".join(common[i::8]) + " " + " ".join(common[i::8])) for i in range(8)]
+    rows = [(i, " ".join(common[i::8] * 6)) for i in range(8)]
     rng = random.Random(3)
     rows += [(10 + i, " ".join(f"rare{rng.randint(0, 3000)}" for _ in range(200))) for i in range(6)]
     rows += [(20, "common1 often"), (21, "common1 often,"), (22, None)]
-    rows += [(23, f"common1 {twin_of('often')}")]
+    rows += [(23, f"common1 {twin_of('often')}"), (None, "common1 often"), (20, "common1 often")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in score_documents(docs).collect()}
-    classes = {r.doc_id: r.pseudo_log_likelihood for r in score(docs, *fit(docs)).collect()}
-    known = Vocabulary(fit(docs)[0], 4096)
+    scored = score_documents(docs).collect()
+    assert sorted(map(tuple, scored), key=str) == sorted(map(tuple, score_documents(docs.repartition(7)).collect()), key=str) and len(scored) == len(rows)
+    same = [r for r in scored if r.doc_id in (20, None)]
+    assert len(same) == 3 and len({r.pseudo_log_likelihood for r in same}) == 1
+    got, fitted = {r.doc_id: r for r in scored}, fit(docs)
+    classes = {r.doc_id: r.pseudo_log_likelihood for r in score(docs, fitted).collect()}
+    known = Vocabulary(fitted.words, 4096)
     counts = Counter(bare(w) for _, text in rows for w in tokens(text) if known[w] >= 3584)
     assert len(counts) > 600
     for d, text in rows:

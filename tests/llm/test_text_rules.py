@@ -63,6 +63,16 @@ def test_line_rules(line, why):
     assert LineRules().failure(line, line.split(), False) == why
 
 
+def test_lines_without_marks_fail():
+    good, open_ = "This is a sentence of plain words that should stay here.", "these are ten plain words and there is no mark"
+    assert LineRules().failure(open_, open_.split(), False) == "punctuation"
+    short = " ".join(open_.split()[:9])
+    assert LineRules().failure(short, short.split(), False) is None
+    assert all(LineRules().failure(open_ + m, open_.split(), False) is None for m in ".!?,;:。！？")
+    assert judge(f"{good}\n{open_}", LineRules(), 0.5)[-3:] == (sum(map(len, open_.split())), True, good)
+    assert judge("\n".join([open_, open_.upper() + ".", good]), LineRules(), 0.5)[-2:] == (False, good)
+
+
 def test_a_text_that_loses_too_much_goes():
     good = "This is a sentence of plain words that should stay here."
     assert judge(f"{good}\nHome | About | Help", LineRules(), 0.5)[-2:] == (True, good)
