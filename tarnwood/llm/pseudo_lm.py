@@ -56,32 +56,31 @@ def bare(word: str) -> str:
     return word.strip(_MARKS) or word
 
 
-class Vocabulary(dict):
+def without_marks(words: pa.Array) -> pa.Array:
+    """``bare`` for an array of words."""
+    plain = pc.utf8_trim(words, characters=_MARKS)
+    return pc.if_else(pc.equal(pc.binary_length(plain), 0), words, plain)
+
+
+class Vocabulary:
     """Word -> number: frequent words have their own, others share ``classes`` by hash. Marks around a word do not count."""
 
-    def __init__(self, words: list[str], size: int, coded: bool = False):
-        """``coded``: in place of its class's number, a word without a number of its own gets ``_RARE`` + its hash."""
-        super().__init__()
-        self.coded = coded
-        self.frequent = {w: i for i, w in enumerate(words)}
-        self.classes, self.room = size - len(words), 250_000
-
-    def number(self, plain: str) -> int:
-        """The number, or code, of a word without marks."""
-        number = self.frequent.get(plain)
-        if number is None:
-            number = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | _RARE
-            if not self.coded:
-                number = len(self.frequent) + number % self.classes
-        return number
-
-    def __missing__(self, word: str) -> int:
-        number = self.number(bare(word))
-        if len(word) <= 48:
-            if len(self) >= self.room:
-                self.clear()
-            self[word] = number
-        return number
+    def __init__(self, words: list[str], size: int):
+        self.frequent = pa.array(words, pa.string())
+        self.first, self.classes = len(words), size - len(words)
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """For words without marks: the number of a frequent one, ``_RARE`` + 63 bits of hash for any other."""
+        place = pc.index_in(words, value_set=self.frequent)
+        rare = np.asarray(place.is_null())
+        out = place.fill_null(0).to_numpy().astype(np.uint64)
+        others = words.filter(pa.array(rare)).cast(pa.binary()).to_pylist()
+        out[rare] = np.fromiter(map(xxhash.xxh3_64_intdigest, others), np.uint64, len(others)) | np.uint64(_RARE)
+        return out
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers of codes: that of a hash class for a rare one."""
+        return np.where(codes >= _RARE, codes % np.uint64(self.classes or 1) + np.uint64(self.first), codes).astype(np.int32)
 
 
 class WindowNetwork:
@@ -239,13 +238,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return np.bincount(owner, minlength=len(texts)), words.filter(pa.array(full)).dictionary_encode()
 
 
-def _numbered(texts: pa.Array, vocabulary: Vocabulary, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Documents in groups: first row, tokens of each, token numbers (or codes)."""
-    kind = np.uint64 if vocabulary.coded else np.int32
+def _coded(texts: pa.Array, vocabulary: Vocabulary, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Documents in groups: first row, tokens of each, all tokens' codes."""
     for first, part in _groups(texts, most):
         counts, words = split_words(part)
-        codes = np.fromiter(map(vocabulary.__getitem__, words.dictionary.to_pylist()), kind, len(words.dictionary))
-        yield first, counts, codes[words.indices.to_numpy()] if len(words) else np.empty(0, kind)
+        yield first, counts, vocabulary.codes(without_marks(words.dictionary))[words.indices.to_numpy()]
 
 
 def _weighted_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +281,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in _groups(batch.column(0), 8 << 20):
             _, words = split_words(texts)
-            plain = pc.utf8_trim(words.dictionary, characters=_MARKS)
-            plain = pc.if_else(pc.equal(pc.binary_length(plain), 0), words.dictionary, plain)
             n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-            yield pa.RecordBatch.from_arrays([plain, pa.array(n, pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([without_marks(words.dictionary), pa.array(n, pa.int64())], names=["word", "n"])
 
 
 def _frequent(counted: DataFrame, most: int) -> list[tuple[str, int]]:
@@ -312,7 +307,7 @@ def _class_totals(counted: DataFrame, words: list[str], size: int) -> tuple[np.n
         vocabulary = Vocabulary(words, size)
         tokens_, types = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            number = np.fromiter(map(vocabulary.number, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            number = vocabulary.numbers(vocabulary.codes(batch.column(0)))
             np.add.at(tokens_, number, batch.column(1).to_numpy())
             np.add.at(types, number, 1)
         own = np.arange(len(words), size)
@@ -414,8 +409,8 @@ def fit(
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(vocabulary_words.value, size)
         for batch in batches:
-            for first, counts, ids in _numbered(batch.column(1), vocabulary):
-                parts = np.split(ids.astype(np.uint16), np.cumsum(counts)[:-1])
+            for first, counts, codes in _coded(batch.column(1), vocabulary):
+                parts = np.split(vocabulary.numbers(codes).astype(np.uint16), np.cumsum(counts)[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["deal", "ids"])
 
     deal = F.xxhash64(F.col(id_col), F.col(text_col)).alias("deal")
@@ -446,7 +441,8 @@ def score(docs: DataFrame, fitted: Fitted, *, id_col: str = "doc_id", text_col:
         words, network = shared.value
         vocabulary = Vocabulary(words, network.size)
         for batch in batches:
-            for first, counts, ids in _numbered(batch.column(1), vocabulary):
+            for first, counts, codes in _coded(batch.column(1), vocabulary):
+                ids = vocabulary.numbers(codes)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 logs = network.log_probability(ids, network.around(ids, owner))
                 sums = np.bincount(owner, weights=logs, minlength=len(counts))
@@ -539,14 +535,13 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network, tokens_, _ = shared.value
-        vocabulary, group = Vocabulary(words, network.size, coded=True), TaskContext.get().partitionId() << 32
+        vocabulary, group = Vocabulary(words, network.size), TaskContext.get().partitionId() << 32
         classes = np.uint64(vocabulary.classes)
         for batch in batches:
-            for first, counts, codes in _numbered(batch.column(1), vocabulary):
+            for first, counts, codes in _coded(batch.column(1), vocabulary):
                 n, owner = len(counts), np.repeat(np.arange(len(counts)), counts)
                 rare = np.flatnonzero(codes >= _RARE)
-                ids = codes.astype(np.int32)
-                ids[rare] = (codes[rare] % classes).astype(np.int32) + len(words)
+                ids = vocabulary.numbers(codes)
                 bucket = (codes[rare] // classes % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
                 logs = network.log_probability(ids, network.around(ids, owner))
                 own = pa.RecordBatch.from_arrays(

@@ -138,7 +138,7 @@ def test_scores_prefer_held_out_text_in_its_order(spark):
     assert all(got[i].mean_log_probability > got[i + 20].mean_log_probability for i in range(20))
     net = fitted.network
     for i in range(40):
-        ids = np.array([Vocabulary(fitted.words, 64)[w] for w in tokens((test + mixed)[i])], np.int32)
+        ids = numbers(Vocabulary(fitted.words, 64), (test + mixed)[i])
         alone = net.log_probability(ids, net.around(ids, np.zeros(len(ids)))).sum()
         assert got[i].pseudo_log_likelihood == pytest.approx(alone, rel=1e-5) and got[i].n_tokens == len(ids)
 
@@ -172,9 +172,9 @@ def test_held_out_beats_unigrams_and_partitions_do_not_matter(spark):
     vocabulary = Vocabulary(few.words, 4096)
     counts = np.full(4096, 0.5)
     for r in known.collect():
-        np.add.at(counts, [vocabulary[w] for w in tokens(r.text)], 1)
+        np.add.at(counts, numbers(vocabulary, r.text), 1)
     logs, got = np.log(counts / counts.sum()), score(unseen, few).agg({"pseudo_log_likelihood": "sum", "n_tokens": "sum"}).first()
-    unigram = sum(logs[vocabulary[w]] for r in unseen.collect() for w in tokens(r.text))
+    unigram = sum(logs[numbers(vocabulary, r.text)].sum() for r in unseen.collect())
     assert got["sum(pseudo_log_likelihood)"] > unigram + 0.1 * got["sum(n_tokens)"]
 
 
@@ -205,8 +205,9 @@ def test_words_of_a_class_have_probabilities_of_their_own(spark):
     assert len(same) == 3 and len({r.pseudo_log_likelihood for r in same}) == 1
     got, fitted = {r.doc_id: r for r in scored}, fit(docs)
     classes = {r.doc_id: r.pseudo_log_likelihood for r in score(docs, fitted).collect()}
-    known = Vocabulary(fitted.words, 4096)
-    counts = Counter(bare(w) for _, text in rows for w in tokens(text) if known[w] >= 3584)
+    every = sorted({bare(w) for _, text in rows for w in tokens(text)})
+    known = dict(zip(every, numbers(Vocabulary(fitted.words, 4096), " ".join(every)).tolist(), strict=True))
+    counts = Counter(bare(w) for _, text in rows for w in tokens(text) if known[bare(w)] >= 3584)
     assert len(counts) > 600
     for d, text in rows:
         within = 0.0
@@ -221,8 +222,13 @@ def test_words_of_a_class_have_probabilities_of_their_own(spark):
 
 def twin_of(word: str) -> str:
     """Another word of the same hash class."""
-    known = Vocabulary([], 512)
-    return next(w for w in (f"other{i}" for i in range(100_000)) if known[w] == known[word])
+    others = [f"other{i}" for i in range(100_000)]
+    found = numbers(Vocabulary([], 512), " ".join([word, *others]))
+    return others[int(np.argmax(found[1:] == found[0]))]
+
+
+def numbers(vocabulary: Vocabulary, text: str | None) -> np.ndarray:
+    return vocabulary.numbers(vocabulary.codes(pa.array([bare(w) for w in tokens(text)], pa.string())))
 
 
 def test_score_odd_cases(docs, none):
