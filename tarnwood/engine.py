@@ -107,10 +107,14 @@ class Engine:
         if critical:
             importance, tags = max(importance, 0.9), tags + ["critical"] * ("critical" not in tags)
         vector = [float(x) for x in self.embed(content)] if self.embed else None
-        return self._insert("memories", {
+        key = self._insert("memories", {
             "content": content, "content_type": "text", "embedding": vector, "importance": importance, "tags": tags, "session_id": session_id,
             "access_count": 0, "storage_tier": "active", "created_at": now, "updated_at": now,
         })
+        if vector:
+            row = self.spark.createDataFrame([("memories", key, vector, now)], TABLES["embeddings"])
+            self.store.append("embeddings", row)
+        return key
 
     def memory_initialize(self, memories: list[str], now: datetime.datetime) -> list[str]:
         """Several memories, those there already left out."""
@@ -140,6 +144,13 @@ class Engine:
         done = {"status": F.lit("completed"), "summary": F.lit(summary), "ended_at": F.lit(now)}
         self.store.write("sessions", tables.updated(self.table("sessions"), F.col("id") == key, done))
 
+    def session_embedding(self, key: str, vector: list[float]) -> None:
+        value = F.array(*map(F.lit, vector)).cast("array<float>")
+        self.store.write("sessions", tables.updated(self.table("sessions"), F.col("id") == key, {"embedding": value}))
+
+    def trading_result_store(self, strategy: str, now: datetime.datetime, *, symbol: str | None = None, notes: str | None = None, pnl: float | None = None) -> str:
+        return self._insert("trading_results", {"strategy": strategy, "symbol": symbol, "notes": notes, "pnl": pnl, "created_at": now})
+
     def session_context(self, key: str, limit: int = 50) -> DataFrame:
         """What a session looked at, newest first."""
         return self.table("access_log").where(F.col("session_id") == key).orderBy(F.desc("accessed_at"), "source_table", "source_id").limit(limit)

@@ -152,6 +152,12 @@ def without_surrogates(text: Column) -> Column:
     return F.regexp_replace(text, r"[\uD800-\uDFFF]", "?")
 
 
+def without_surrogate_escapes(json: Column) -> Column:
+    """Escapes of lone surrogates in JSON text become question marks, as JSON parsers refuse them; pairs stay."""
+    high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    return F.regexp_replace(F.regexp_replace(json, f"{high}(?!{low})", "?"), f"(?<!{high}){low}", "?")
+
+
 def truthy(value: Column) -> Column:
     """A setting's text as a boolean: ``true``, ``1`` and ``yes`` in any case."""
     return F.lower(F.trim(F.coalesce(value, F.lit("")))).isin("true", "1", "yes")

@@ -38,6 +38,12 @@ def postings(docs: DataFrame, *, id_col: str = "id", text_col: str = "content")
     return counted.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
+def updated_postings(index: DataFrame, changed: DataFrame, *, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """The index with the postings of ``changed`` rows in place of those that they had; the other rows' are not read again."""
+    fresh = postings(changed, id_col=id_col, text_col=text_col)
+    return index.join(changed.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").select(*index.columns).unionByName(fresh)
+
+
 def _bm25(tf: Column, length: Column, df: float, n: float, mean: float, k1: float, b: float) -> Column:
     weight = math.log(1 + (n - df + 0.5) / (df + 0.5))
     return F.lit(weight) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(mean, 1e-9)))

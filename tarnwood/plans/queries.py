@@ -730,7 +730,7 @@ def daily_windows(spark, d):
 
 def queries() -> dict:
     """Name -> function of a session and a data directory."""
-    from . import more_queries  # noqa: F401  registers itself
+    from . import file_queries, more_queries  # noqa: F401  register themselves
 
     return dict(_QUERIES)
 

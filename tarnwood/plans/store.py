@@ -126,6 +126,16 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], *, update: dict[str,
     return both.select(*columns)
 
 
+def cached(puts: DataFrame, now: Column) -> DataFrame:
+    """(``key``, ``value``) of a cache as of ``now``: the last of the ``puts`` (``key``, ``value``, ``put_at``, ``turn``, ``ttl`` seconds) of each key.
+
+    A put of null deletes the key, and one whose time to live is over has no value any more.
+    """
+    last = puts.groupBy("key").agg(F.max_by(F.struct("value", "put_at", "ttl"), F.struct("put_at", "turn")).alias("r")).select("key", "r.*")
+    until = F.timestamp_add("SECOND", F.col("ttl").cast("int"), F.col("put_at"))
+    return last.where(F.col("value").isNotNull() & (until > now)).select("key", "value")
+
+
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti").select(*rows.columns)
 

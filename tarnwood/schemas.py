@@ -12,5 +12,6 @@ TABLES = {
     "procedures": "id string, name string, description string, steps string, times_used int, success_rate double, created_at timestamp, updated_at timestamp",
     "trading_results": "id string, agent_id string, session_id string, strategy string, symbol string, notes string, pnl double, embedding array<float>, created_at timestamp",
     "contradictions": "id string, memory_a string, memory_b string, content_a string, content_b string, similarity double, signals int, resolved boolean, created_at timestamp",
+    "embeddings": "source_table string, source_id string, embedding array<float>, updated_at timestamp",
     "access_log": "session_id string, source_table string, source_id string, interaction_type string, relevance_score double, accessed_at timestamp",
 }

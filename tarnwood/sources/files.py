@@ -44,7 +44,7 @@ def vault(spark: SparkSession, root: str, max_files: int | None = None) -> DataF
 
 def new_notes(spark: SparkSession, root: str, known: DataFrame, limit: int | None = None) -> DataFrame:
     """The scripts' variant: blank files and known paths are left out, files at the root have no section."""
-    rows = scan(spark, root, "*.md").where(F.trim("text") != "").join(known.select("path"), "path", "left_anti")
+    rows = scan(spark, root, "*.md").where(F.col("text").rlike(r"\S")).join(known.select("path"), "path", "left_anti")
     rows = rows.select("path", vault_section_or_null(F.col("path")).alias("section"), markup.title(F.col("text"), F.col("path")).alias("title"), "text", "checksum")
     return rows if limit is None else rows.orderBy("path").limit(limit)
 
