@@ -7,9 +7,11 @@ live in a level array of ``window`` entries, so a placement costs one pass over
 the levels and no search over windows.
 
 Every scan partition packs its own rows: no shuffle, and an executor's loss
-repeats only its partitions. Windows still open at a partition's end, or beyond
-``max_open`` of them, are cut again into full windows, so a partition pads at
-most one window.
+repeats only its partitions. At a partition's end some windows are still open.
+As many of them, the fullest, as are needed to hold all open pieces stay as they
+were placed; the others are taken apart, and their pieces fill the gaps, cut
+where they must be. So a partition pads less than one window, and its open
+windows hold no more than its own ids, whatever its size.
 """
 
 from __future__ import annotations
@@ -156,12 +158,30 @@ class SumOfSquares:
         self.counts[level] += 1
         return None
 
-    def drain(self) -> list:
-        """All pieces in open windows, which are closed."""
-        pieces = [p for level in sorted(self.open, reverse=True) for content in self.open[level] for p in content]
+    def finish(self) -> list[list]:
+        """The contents of all open windows with their gaps filled, which are closed.
+
+        Pieces are (document, start, ids as 4 bytes each, total). The emptiest
+        windows are taken apart, their pieces go into the others' gaps, the largest
+        gaps first, and are cut where a gap ends. Only the last windows can have a
+        gap left, less than a window in all.
+        """
+        levels = [(level, content) for level in sorted(self.open, reverse=True) for content in self.open[level]]
         self.open.clear()
         self.counts[:] = 0
-        return pieces
+        stay = -(-sum(level for level, _ in levels) // self.window)
+        loose = [p for _, content in levels[stay:] for p in content]
+        loose.sort(key=lambda p: len(p[2]))
+        for level, content in reversed(levels[:stay]):
+            gap = self.window - level
+            while gap and loose:
+                doc, start, ids, total = loose.pop()
+                take = min(gap, len(ids) // 4)
+                content.append((doc, start, ids[: 4 * take], total))
+                gap -= take
+                if len(ids) > 4 * take:
+                    loose.append((doc, start + take, ids[4 * take :], total))
+        return [content for _, content in levels[:stay]]
 
 
 _OUT = pa.schema(
@@ -172,12 +192,12 @@ _OUT = pa.schema(
 )
 
 
-def _packer(path: str, window: int, eos: bytes, max_open: int):
+def _packer(path: str, window: int, eos: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         levels, base = SumOfSquares(window), TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
-        made = size = opened = 0
+        made = size = 0
 
         def close(content: list) -> None:
             nonlocal made, size
@@ -189,19 +209,6 @@ def _packer(path: str, window: int, eos: bytes, max_open: int):
                 size += len(ids) + 64
             made += 1
 
-        def again(pieces: list) -> list:
-            """Cut pieces end to end into full windows; the rest comes back."""
-            content, fill = [], 0
-            for doc, start, ids, total in pieces:
-                while ids:
-                    take = min(window - fill, len(ids) // 4)
-                    content.append((doc, start, ids[: 4 * take], total))
-                    ids, start, fill = ids[4 * take :], start + take, fill + take
-                    if fill == window:
-                        close(content)
-                        content, fill = [], 0
-            return content
-
         def flush() -> pa.RecordBatch:
             nonlocal size
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
@@ -221,16 +228,12 @@ def _packer(path: str, window: int, eos: bytes, max_open: int):
                     full = levels.place((doc, start, ids[4 * start :], total), total - start)
                     if full:
                         close(full)
-                    opened += 1
-                    if opened % 512 == 0 and levels.counts.sum() > max_open:
-                        for content in [again(levels.drain())]:
-                            for piece in content:
-                                levels.place(piece, len(piece[2]) // 4)
                 if size > 4 << 20:
                     yield flush()
-        rest = again(levels.drain())
-        if rest:
-            close(rest)
+        for content in levels.finish():
+            close(content)
+            if size > 4 << 20:
+                yield flush()
         if rows:
             yield flush()
 
@@ -239,7 +242,7 @@ def _packer(path: str, window: int, eos: bytes, max_open: int):
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-    window: int = 2048, eos_id: int = 1, max_open: int = 2048,
+    window: int = 2048, eos_id: int = 1,
 ) -> DataFrame:
     """Pack every document into sequences of at most ``window`` tokens, one output row per piece.
 
@@ -248,10 +251,12 @@ def pack_documents(
     (scan partition and running number), ``offset`` in the sequence, ``ids``
     (little-endian uint32 bytes). A null or empty text is the closing token
     alone; a null id stays null; repeated rows are packed each; other columns
-    are ignored, whatever their names; an empty table gives no rows.
+    are ignored, whatever their names; an empty table gives no rows. Texts of any
+    length are packed whole; full windows are cut from a long one first, and its
+    rest is placed. Of levels that are equally good the fullest is taken.
     """
     schema = T.StructType(
         [T.StructField(n, T.LongType()) for n in _OUT.names[:-1]] + [T.StructField("ids", T.BinaryType())]
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer_path, window, np.uint32(eos_id).tobytes(), max_open), schema)
+    return rows.mapInArrow(_packer(tokenizer_path, window, np.uint32(eos_id).tobytes()), schema)

@@ -63,11 +63,35 @@ def test_level_choice_minimises_the_sum_of_squares():
         assert levels.counts[0] == levels.counts[40] == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 63), max_size=80))
+def test_open_windows_are_filled_up(sizes):
+    """Every token lies in one piece, the windows that stay keep their pieces, and less than a window is padded."""
+    levels, closed = SumOfSquares(64), []
+    for doc, n in enumerate(sizes):
+        full = levels.place((doc, 0, np.arange(n, dtype="<u4").tobytes(), n), n)
+        closed += [full] if full else []
+    before = [content[:] for contents in levels.open.values() for content in contents]
+    finished = levels.finish()
+    found, fills = defaultdict(list), []
+    for content in closed + finished:
+        fills.append(sum(len(p[2]) // 4 for p in content))
+        for doc, start, ids, total in content:
+            found[doc].append((start, np.frombuffer(ids, "<u4").tolist()))
+            assert total == sizes[doc]
+    assert {d: [x for s, ids in sorted(parts) for x in ids] for d, parts in found.items()} == {d: list(range(n)) for d, n in enumerate(sizes)}
+    assert all(s == ids[0] for parts in found.values() for s, ids in parts)
+    assert max(fills, default=0) <= 64 and sum(64 - f for f in fills) < 64
+    assert sum(any(f[: len(b)] == b for b in before) for f in finished) == len(finished)
+    assert not levels.open and not levels.counts.any()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_has_the_library_s_ids_and_count(text):
-    for path, mine in ((BYTES, lambda t: len(CODER.encode(t)) // 4), (WORDS, COUNTER.count), (WORDS, lambda t: COUNTER.count(t, 3))):
-        assert mine(text) == len(LIBRARY[path].encode(text, add_special_tokens=False).ids)
+    assert np.frombuffer(CODER.encode(text), "<u4").tolist() == LIBRARY[BYTES].encode(text, add_special_tokens=False).ids
+    for mine in (COUNTER.count, lambda t: COUNTER.count(t, 3)):
+        assert mine(text) == len(LIBRARY[WORDS].encode(text, add_special_tokens=False).ids)
 
 
 LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
