@@ -8,10 +8,12 @@
    links become components by alternating stars.
 3. Classes joined by buckets form families. Where a family still has two
    components or more, candidates in different ones are left to compare. The
-   family is dealt into blocks of about ``_BLOCK`` classes, by component where
-   one is large, and each two blocks make one row: all intersections between
-   them are one matrix product over the shingles that both hold. Blocks of one
-   component are never paired, and no row is made for a pair of classes.
+   family is dealt into blocks of some ``_BLOCK`` classes, neighbours together:
+   by component where one is large, else by the smallest member met in a bucket.
+   Two blocks are compared only if a bucket holds classes of different
+   components from both, which is found out from numbers alone, before any set
+   is moved. They make one row: all intersections between them are one matrix
+   product over the shingles that both hold. No row is made for a pair of classes.
 
 Every comparison is exact, on the full sets.
 
@@ -122,26 +124,39 @@ def _block_comparer(percent: int):
     return work
 
 
-def _across(classes: DataFrame, sets: DataFrame, families: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of one family."""
+def _across(keyed: DataFrame, members: DataFrame, classes: DataFrame, sets: DataFrame, families: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one family.
+
+    ``keyed`` has a row (``rep``, ``key``) for each class and bucket, ``members``
+    (``rep``, ``pivot``) the smallest members of a class's buckets.
+    """
     named = families.select(F.col("node").alias("rep"), F.col("label").alias("family"))
     named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     split = named.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("family")
-    apart = settle(named.join(split, "family"))
-    sizes = apart.groupBy("family", "label").agg(F.count("*").alias("size"))
+    near = members.groupBy("rep").agg(F.min("pivot").alias("near"))
+    apart = settle(named.join(split, "family").join(near, "rep"))
     # A component of a block or more has blocks of its own; the others share some.
-    large = F.when(F.col("size") >= _BLOCK, F.col("label"))
-    sizes = sizes.withColumn("own", large)
+    sizes = apart.groupBy("family", "label").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("own", F.when(F.col("size") >= _BLOCK, F.col("label")))
     parts = sizes.groupBy("family", "own").agg(F.ceil(F.sum("size") / _BLOCK).cast("int").alias("blocks"))
-    blocks = parts.select("family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-    left, right = (blocks.select("family", F.col("own").alias(f"own_{x}"), F.col("block").alias(f"block_{x}")) for x in "xy")
-    order = F.struct(F.coalesce("own_x", F.lit(-(1 << 62))), "block_x") <= F.struct(F.coalesce("own_y", F.lit(-(1 << 62))), "block_y")
-    pairs = left.join(right, "family").where(order & (F.col("own_x").isNull() | F.col("own_y").isNull() | (F.col("own_x") != F.col("own_y"))))
-    members = apart.join(sizes.select("family", "label", "own"), ["family", "label"])
-    members = members.join(parts, (members["family"] == parts["family"]) & members["own"].eqNullSafe(parts["own"])).select(
-        members["family"], members["own"], "label", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
-    )
-    whole = members.join(sets, "rep").join(classes.select("rep", "n", "bands"), "rep")
+    placed = apart.join(sizes.select("family", "label", "own"), ["family", "label"])
+    placed = placed.join(parts, (placed["family"] == parts["family"]) & placed["own"].eqNullSafe(parts["own"])).drop(parts["family"]).drop(parts["own"])
+    # Classes with one smallest member lie together, as many as fit into a block.
+    crowd = placed.groupBy("family", "own", "near").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("cells"))
+    crowd = crowd.select(F.col("family").alias("f"), F.col("own").alias("o"), F.col("near").alias("m"), "cells")
+    on = (F.col("family") == F.col("f")) & F.col("own").eqNullSafe(F.col("o")) & (F.col("near") == F.col("m"))
+    cell = F.pmod(F.xxhash64("rep"), F.col("cells"))
+    block = F.pmod(F.xxhash64("near", cell), F.col("blocks")).cast("int")
+    placed = settle(placed.join(crowd, on).select("family", F.col("own"), "label", "rep", block.alias("block")))
+
+    met = keyed.join(placed, "rep").groupBy("key", "family", "own", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    held = met.groupBy("key", "family").agg(F.sort_array(F.collect_list(F.struct("own", "block", "lo", "hi"))).alias("x"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    held = held.where("lo < hi").select("family", F.posexplode("x").alias("i", "a"), F.col("x"))
+    held = held.select("family", "a", F.explode(F.slice("x", F.col("i") + 1, F.size("x"))).alias("b"))
+    differ = ~((F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo")))
+    pairs = held.where(differ).select("family", *[F.col(f"{side}.{c}").alias(f"{c}_{x}") for side, x in (("a", "x"), ("b", "y")) for c in ("own", "block")]).distinct()
+
+    whole = placed.join(sets, "rep").join(classes.select("rep", "n", "bands"), "rep")
     packed = settle(
         whole.groupBy("family", "own", "block").agg(
             F.struct(*[F.collect_list(c).alias(c) for c in ("rep", "n", "label", "bands", "shingles")]).alias("rows")
@@ -165,7 +180,8 @@ def near_duplicates(
     and are kept. ``component_id`` is the smallest id reachable. Rows without an
     id cannot be named and are linked with nothing: null component, kept.
     Repeated ids are nodes of one name; equal texts are linked. Other columns
-    are ignored, whatever their names; an empty table gives no rows.
+    are ignored, whatever their names; an empty table gives no rows. Texts of any
+    length are taken whole: a set is 8 bytes a shingle, in a task of its own row.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     least = math.ceil(percent / max(100 - percent, 1))
@@ -189,7 +205,7 @@ def near_duplicates(
     links = settle(_verified(_pairs(members, percent), sets, percent))
     labels = components(links)
     families = components(members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    more = settle(_across(classes.where("bands is not null"), sets, families, labels, percent))
+    more = settle(_across(keyed.select("rep", "key"), members, classes.where("bands is not null"), sets, families, labels, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

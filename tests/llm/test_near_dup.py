@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnwood.llm import near_dup, shingles
@@ -62,6 +63,31 @@ def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_blocks_without_a_common_bucket_are_not_paired(spark, monkeypatch):
+    """A chain whose neighbours share three fifths of their text: one family, but few blocks that touch."""
+    rng = random.Random(8)
+    line = words(rng, 40 * 60 + 90).split()
+    rows = [(i, " ".join(line[40 * i : 40 * i + 130])) for i in range(60)]
+    monkeypatch.setattr(near_dup, "_BLOCK", 3)
+    want = {d: c for d, (_, c) in brute(rows, 2).items()}
+    made = []
+
+    def counted(percent):
+        def work(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * batch.num_rows, pa.int64())] * 2, names=["a", "b"])
+
+        return work
+
+    settled = near_dup.settle
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, width=2).collect()} == want == {i: i for i in range(60)}
+    monkeypatch.setattr(near_dup, "_block_comparer", counted)
+    monkeypatch.setattr(near_dup, "settle", lambda df: (made.append(df.where("a = -1").count()) if df.columns == ["a", "b"] else None, settled(df))[1])
+    near_duplicates(docs, width=2).collect()
+    assert 10 < max(made) < 20 * 21 / 4
+
+
 def test_signatures_come_from_two_permutations():
     """On few numbers the shifted permutation is told apart from the first by its values."""
     minhash = CirculantMinHash(2, 3)
