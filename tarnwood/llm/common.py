@@ -77,12 +77,12 @@ class Written:
     """A DataFrame as Parquet in the shared folder: written once, read as often as wanted, deleted by ``drop``."""
 
     def __init__(self, df: DataFrame, by: tuple[str, ...] = ()):
-        self.spark = df.sparkSession
+        self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_folder(self.spark)}/rows-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -131,22 +131,23 @@ def plain_overlaps(text: str | None, items: list[tuple], width: int) -> tuple:
     return len(w), len(hit), sorted(who)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 200])
-def test_overlaps(spark, docs, none, block, monkeypatch):
-    if block == 200:
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_overlaps(spark, docs, none, most, monkeypatch):
+    """By an index in every task, and by a shuffled join with all words counted: the same rows."""
+    if not most:
         monkeypatch.setattr(decontaminate, "_VOCABULARY", 7)
     texts = [r.text for r in docs.where("doc_id is not null").orderBy("doc_id").collect()]
     items = [(1, texts[-1][20:200]), (2, "one"), (3, None), (4, ""), (2, "one"), (10, "NAÏVE café"), (11, texts[9]), (12, "absent words only here and there but nowhere else at all")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = find_overlaps(docs, benchmark, block_bytes=block).collect()
+    got = find_overlaps(docs, benchmark, broadcast_bytes=most, carry="whole").collect()
     assert len(got) == docs.count()
     real = [i for i in items if i[1]]
     by_id = {r.doc_id: r for r in docs.collect()}
     for r in got:
         assert (r.n_words, r.n_hit, r["items"]) == plain_overlaps(by_id[r.doc_id].text, real, 10)
-        assert r.contaminated == (r.n_hit > 0)
-    assert find_overlaps(none, benchmark).collect() == []
-    assert not any(r.contaminated for r in find_overlaps(docs, benchmark.limit(0)).collect())
+        assert r.contaminated == (r.n_hit > 0) and r.whole == by_id[r.doc_id]
+    assert find_overlaps(none, benchmark, broadcast_bytes=most).collect() == []
+    assert not any(r.contaminated for r in find_overlaps(docs, benchmark.limit(0), broadcast_bytes=most).collect())
     assert decontaminate.windows_of([], 10) == set()
 
 
