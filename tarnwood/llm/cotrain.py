@@ -1,97 +1,141 @@
 """Quality and toxicity by co-training of two views.
 
-One view sees what a text says (its words, their beginnings and their shapes), the
-other only the page's metadata (language, source, lengths, lines). Each starts
-from the labelled documents; over rounds each gives the other the documents of
-an unlabelled pool that it is surest of, with its verdict as their label (Blum
-and Mitchell, "Combining labeled and unlabeled data with co-training", 1998).
-The two views' scores are then calibrated and combined on labelled documents
-that neither has been fitted on, and the combination scores every document.
-
-Fitting uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled
-documents, those of the smallest hashed ids; scoring reads all documents once,
-without a shuffle.
+One view sees what a text says: its words, their beginnings and their shapes. The
+other sees what is known of the page besides: language, source, and its build,
+such as lengths, lines, variety of words, marks, bars and capitals. Each starts
+from the labelled documents. In a round, each hands the other the unlabelled
+documents that it is surest of, with its verdict as their label (Blum and
+Mitchell, "Combining labeled and unlabeled data with co-training", 1998). The
+views' scores are then calibrated and combined on labelled documents that neither
+has been fitted on, and the combination scores every document.
+
+All unlabelled documents take part: a hash of the id deals each into one round,
+where the tasks score it with both views. A histogram of the scores tells from
+where on a view's verdicts are among its surest, and only the documents beyond
+that come to the driver, about ``handed`` a view and round, as in the algorithm as
+published. So the rounds together read the documents once, and scoring reads them
+a second time; no text is shuffled but those few. The labelled documents for the
+fit are at most some ``max_labelled``, by a hash of the id.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_WORD, by_batch, carried, ddl, resident
+from .common import Written, carried, ddl
 
 _BITS = 20
+_MASK = np.uint64((1 << _BITS) - 1)
 #: Turns a feature's number into that of the same feature met in three distinct words or more.
 _OFTEN = 0x5A5A5
-_BATCH = 256
-_RUNS = [(re.compile(r"[^\W\d_]*[^\W\d_A-Z]+[^\W\d_]*"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
-_META = 64
+_GROUP = 4 << 20
+_MARKS = "#*$%&|<>"
+#: Runs of letters, capitals, digits and marks that stand for one each in a word's shape.
+_RUNS = ((r"\p{L}*[\p{Ll}\p{Lo}]\p{L}*", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0"), (r"([#*$%&|<>!?.])[#*$%&|<>!?.]+", r"\1+"))
+#: Places in the metadata vector: languages, sources, six binned figures of ten bins, and variety of words by length.
+_LANGS, _SOURCES, _BINS, _FIGURES = 16, 32, 10, 8
+_META = _LANGS + _SOURCES + _FIGURES * _BINS + 100 + 1
+TARGETS = ("quality", "toxic")
+
+
+def _hashed(words: pa.Array, kind: int) -> np.ndarray:
+    """Feature numbers of strings; ``kind`` keeps words, shapes and beginnings apart."""
+    found = pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False)
+    return ((found ^ np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & _MASK).astype(np.int64)
+
+
+def word_features(words: pa.Array) -> np.ndarray:
+    """For each word the numbers of itself, its shape, and its first three and five letters; -1 where it is no longer than these."""
+    plain = pc.utf8_trim(pc.utf8_lower(words), characters=".,;:!?\"'()" + _MARKS)
+    shape = words
+    for pattern, by in _RUNS:
+        shape = pc.replace_substring_regex(shape, pattern, by)
+    out = [_hashed(plain, 0), _hashed(pc.utf8_slice_codeunits(shape, 0, 12), 1)]
+    length = pc.utf8_length(plain).to_numpy()
+    for n in (3, 5):
+        out.append(np.where(length > n, _hashed(pc.utf8_slice_codeunits(plain, 0, n), n), -1))
+    return np.stack(out, 1)
 
 
-def _shape(word: str) -> str:
-    for pattern, by in _RUNS:
-        word = pattern.sub(by, word)
-    return word[:12]
-
-
-class Features(dict):
-    """Word -> the numbers of its features: the word, its first three and five letters, and its shape."""
-
-    def __init__(self, capacity: int = 150_000):
-        self.capacity = capacity
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        mask = (1 << _BITS) - 1
-        plain = word.lower().strip(".,;:!?\"'()*#$%&|<>")
-        names = ["w " + plain, "s " + _shape(word), *(f"{n} {plain[:n]}" for n in (3, 5) if len(plain) > n)]
-        found = tuple(xxhash.xxh3_64_intdigest(n) & mask for n in names)
-        if len(word) <= 48:
-            if len(self) >= self.capacity:
-                self.clear()
-            self[word] = found
-        return found
-
-
-def content(text: str) -> np.ndarray:
-    """The distinct feature numbers of a text; a repetition rate adds numbers of its own."""
-    words = ASCII_WORD.findall(text)
-    if not words:
-        return np.zeros(1, np.int64)
-    distinct = set(words)
-    counts = Counter(chain.from_iterable(map(resident(("features",), Features).__getitem__, distinct)))
-    found = set(counts)
-    found.update(n ^ _OFTEN for n, c in counts.items() if c >= 3)
-    variety = int(10 * len(distinct) / len(words)) * 8 + min(7, len(words).bit_length() // 2)
-    again = int(10 * sum(map(eq, words, words[1:])) / len(words))
-    shouted = int(10 * sum(map(str.isupper, words)) / len(words))
-    marked = int(10 * sum(map(str.count, [text] * 8, "#*$%&|<>")) / len(words))
-    found |= {xxhash.xxh3_64_intdigest(f"{k} {v}") & ((1 << _BITS) - 1) for k, v in (("variety", variety), ("again", again), ("shouted", shouted), ("marked", min(marked, 30)))}
-    return np.fromiter(found, np.int64, len(found))
-
-
-def metadata(lang: str | None, source: str | None, text: str) -> np.ndarray:
-    """A small vector of what is known of a page besides its words."""
-    out = np.zeros(_META, np.float32)
-    out[xxhash.xxh3_64_intdigest(f"l {lang}") % 16] = 1
-    out[16 + xxhash.xxh3_64_intdigest(f"s {source}") % 32] = 1
-    n, lines = len(text), text.count("\n") + 1
-    out[48 + min(9, n.bit_length() // 2)] = 1
-    out[60] = np.log1p(n) / 12
-    out[61] = np.log1p(lines) / 8
-    out[62] = np.log1p(n / lines) / 10
-    out[63] = 1
-    return out
+@dataclass
+class Measured:
+    """Documents with their distinct words, and the metadata vectors."""
+
+    documents: int
+    words: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    meta: np.ndarray
+
+    def features(self, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(document, feature number) once each, in order; a feature of three distinct words or more has a second number.
+
+        ``used`` marks the numbers that matter; features without a mark on either of theirs are left out.
+        """
+        table = self.words
+        if used is not None:
+            table = np.where((table >= 0) & (used[table] | used[table ^ _OFTEN]), table, -1)
+        some = (table >= 0).any(axis=1)[self.word]
+        found = table[self.word[some]]
+        key = (self.doc[some, None] << _BITS | found)[found >= 0]
+        key, counts = np.unique(key, return_counts=True)
+        often = key[counts >= 3] ^ _OFTEN
+        key = np.union1d(key, often) if len(often) else key
+        return key >> _BITS, key & ((1 << _BITS) - 1)
+
+
+def _binned(x: np.ndarray) -> np.ndarray:
+    return np.clip((x * _BINS).astype(np.int64), 0, _BINS - 1)
+
+
+def measure(langs: list, sources: list, texts: pa.Array) -> Measured:
+    """What both views see of some documents. A null text is empty."""
+    texts = texts.fill_null("")
+    n = len(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    full = np.asarray(pc.binary_length(flat)) > 0
+    owner = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists)))[full]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    which, distinct = coded.indices.to_numpy(), max(1, len(coded.dictionary))
+    pairs = np.unique(owner * distinct + which) if len(which) else np.empty(0, np.int64)
+    doc, word = pairs // distinct, pairs % distinct
+
+    count = np.maximum(np.bincount(owner, minlength=n), 1)
+    same = (which[1:] == which[:-1]) & (owner[1:] == owner[:-1])
+    upper = np.asarray(pc.utf8_is_upper(coded.dictionary)) if len(coded.dictionary) else np.zeros(1, bool)
+    marks = sum(pc.count_substring(texts, m).to_numpy() for m in _MARKS)
+    bars = pc.count_substring(texts, " | ").to_numpy()
+    ended = pc.count_substring_regex(texts, r"[.!?。！？][\"')]*(\n|$)").to_numpy()
+    lines = pc.count_substring(texts, "\n").to_numpy() + 1
+    size = pc.utf8_length(texts).to_numpy()
+    figures = [
+        np.bincount(owner[1:][same], minlength=n) / count, np.bincount(owner, weights=upper[which], minlength=n) / count,
+        marks / count, np.minimum(bars / lines, 0.99), np.minimum(ended / lines, 0.99), np.bincount(doc, minlength=n) / count,
+        np.log2(size + 1) / 20, np.log2(size / lines + 1) / 16,
+    ]
+    meta = np.zeros((n, _META), np.float32)
+    rows, at = np.arange(n), _LANGS + _SOURCES
+    meta[rows, [hash_of(f"l {x}") % _LANGS for x in langs]] = 1
+    meta[rows, [_LANGS + hash_of(f"s {x}") % _SOURCES for x in sources]] = 1
+    for k, figure in enumerate(figures):
+        meta[rows, at + k * _BINS + _binned(figure)] = 1
+    meta[rows, at + _FIGURES * _BINS + 10 * _binned(figures[5]) + np.clip(np.log2(count).astype(np.int64) - 3, 0, 9)] = 1
+    meta[:, -1] = 1
+    return Measured(n, word_features(coded.dictionary) if len(coded.dictionary) else np.full((1, 4), -1), doc, word, meta)
+
+
+def hash_of(text: str) -> int:
+    return int(pd.util.hash_array(np.array([text], object), categorize=False)[0])
 
 
 @dataclass
@@ -106,6 +150,9 @@ class Rows:
         sizes = np.array([len(r) for r in rows], np.int64)
         return cls(np.concatenate(rows) if rows else np.empty(0, np.int64), np.cumsum(sizes) - sizes)
 
+    def plus(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.index, other.index]), np.concatenate([self.begin, other.begin + len(self.index)]))
+
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(self.index))))
 
@@ -190,140 +237,228 @@ class Verdict:
         return _sigmoid(self.mix[0] * c + self.mix[1] * m + self.mix[2])
 
 
-def cotrain(rows: Rows, meta: np.ndarray, labels: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.95) -> Verdict | None:
-    """Fit on rows whose label is 0 or 1; those with -1 are the pool. None if a class is missing.
+class CoTraining:
+    """Two views of one target, their labelled documents, and what they have been handed.
 
-    Every fifth labelled row is held back for the calibration. A view labels a
-    pool row for the other only if it gives one class ``sure`` probability, at
-    most ``share`` of the pool a round, in the classes' proportion, and only
-    where such verdicts of its hold for that part of the rows held back too: a
-    view that knows little beyond the classes' proportion teaches nothing.
+    Every fifth labelled document is held back, for the test of a teacher and the
+    calibration. A view may teach a label only where its verdicts of ``sure``
+    probability hold for that part of the documents held back.
     """
-    known = labels >= 0
-    held = np.zeros(len(labels), bool)
-    held[np.flatnonzero(known)[::5]] = True
-    fit = known & ~held
-    if len(np.unique(labels[fit])) < 2:
-        return None
-    views = (ContentView(), MetaView())
-    data = (rows, meta)
-    own = [labels.astype(float).clip(0), labels.astype(float).clip(0)]
-    used = [fit.copy(), fit.copy()]
-    rate = labels[fit].mean()
-    for _ in range(rounds):
-        for view, x, y, u in zip(views, data, own, used, strict=True):
+
+    def __init__(self, rows: Rows, meta: np.ndarray, labels: np.ndarray, sure: float = 0.95):
+        self.data, self.sure, self.labels = [rows, meta], sure, labels
+        self.held = np.zeros(len(labels), bool)
+        self.held[::5] = True
+        self.own = [labels.astype(float), labels.astype(float)]
+        self.used = [~self.held, ~self.held]
+        self.views = (ContentView(), MetaView())
+        self.rate = labels[~self.held].mean()
+        #: Documents handed over, by (teacher's number, label).
+        self.handed = {(k, label): 0 for k in (0, 1) for label in (0, 1)}
+        self.fit()
+
+    def fit(self) -> None:
+        for view, x, y, u in zip(self.views, self.data, self.own, self.used, strict=True):
             view.fit(x, y, u)
-        for k, view in enumerate(views):
-            free = np.flatnonzero(~known & ~used[1 - k])
-            p = _sigmoid(view.score(data[k]))
-            for label, part in ((1.0, rate), (0.0, 1 - rate)):
-                certain = p if label else 1 - p
-                tried = held & (certain >= sure)
-                if tried.sum() < 5 or (labels[tried] == label).mean() < sure:
-                    continue
-                best = free[np.argsort(-certain[free], kind="stable")][: int(len(free) * share * part)]
-                best = best[certain[best] >= sure]
-                own[1 - k][best] = label
-                used[1 - k][best] = True
-    for view, x, y, u in zip(views, data, own, used, strict=True):
-        view.fit(x, y, u)
-    both = np.stack([views[0].score(rows), views[1].score(meta), np.ones(len(labels))], 1)[held]
-    target = labels[held]
-    mix = np.array([1.0, 0.0, 0.0])
-    if len(np.unique(target)) == 2:
-        start = np.array([1.0, 0.0, 0.0])
-        scale = np.maximum(np.abs(both).max(axis=0), 1e-9)
-        z = both / scale
-        mix = (_adam(lambda w: z.T @ (_sigmoid(z @ (w + start * scale)) - target) / len(target) + 1e-3 * w / scale, 3, 300, 0.1) + start * scale) / scale
-        mix[0] = max(mix[0], 0.05)
-    return Verdict(*views, mix)
-
-
-def _measured(batch: pa.RecordBatch, lang: int, source: int, text: int) -> tuple[Rows, np.ndarray]:
-    texts = [t or "" for t in batch.column(text).to_pylist()]
-    langs, sources = batch.column(lang).to_pylist(), batch.column(source).to_pylist()
-    meta = np.stack([metadata(*x) for x in zip(langs, sources, texts, strict=True)])
-    return Rows.of([content(t) for t in texts]), meta
-
-
-def _fit_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> tuple[Rows, np.ndarray, dict[str, np.ndarray]]:
-    """Features and labels of the bounded sample, at the driver."""
-    first = F.xxhash64("doc_id")
-    sure = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    marked = sure.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.orderBy(first, "doc_id").limit(max_labelled)
-    # Both sides are bounded by the two parameters, so they may be broadcast.
-    pool = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    pool = pool.orderBy(first, "doc_id").limit(max_pool).distinct().withColumns({"quality": F.lit(-1), "toxic": F.lit(-1)})
-    picked = docs.join(F.broadcast(marked.unionByName(pool)), "doc_id").select("doc_id", "quality", "toxic", "lang", "source", "text")
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, meta = _measured(batch, 3, 4, 5)
-        parts = np.split(rows.index, rows.begin[1:])
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())), pa.array(list(meta), pa.list_(pa.float32()))],
-            names=["doc_id", "quality", "toxic", "words", "meta"],
-        )
-
-    found = picked.mapInArrow(by_batch(work), "doc_id long, quality int, toxic int, words array<int>, meta array<float>").toArrow()
-    found = found.combine_chunks()
-    ids, first = np.unique(found["doc_id"].to_numpy(), return_index=True)  # of rows with one id, the first
-    found = found.take(pa.array(first))
-    words, sizes = found["words"].combine_chunks(), pc.list_value_length(found["words"]).to_numpy().astype(np.int64)
-    index = words.flatten().to_numpy()
-    # No view uses a feature of so few rows.
-    common = (np.bincount(index, minlength=1 << _BITS) >= ContentView().least)[index]
-    owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[common]
-    begin = np.searchsorted(owner, np.arange(len(ids)))
-    meta = found["meta"].combine_chunks().flatten().to_numpy().reshape(-1, _META)
-    return Rows(index[common], begin), meta, {c: found[c].to_numpy() for c in ("quality", "toxic")}
+
+    def may_teach(self, k: int, label: int) -> bool:
+        p = _sigmoid(self.views[k].score(self.data[k]))[: len(self.labels)][self.held]
+        tried = (p if label else 1 - p) >= self.sure
+        return tried.sum() >= 5 and (self.labels[self.held][tried] == label).mean() >= self.sure
+
+    def take(self, rows: Rows, meta: np.ndarray, given: list[np.ndarray]) -> None:
+        """New documents, with the labels that each view is given for them; -1 for none."""
+        self.data = [self.data[0].plus(rows), np.concatenate([self.data[1], meta])]
+        for k in (0, 1):
+            self.own[k] = np.append(self.own[k], np.maximum(given[k], 0))
+            self.used[k] = np.append(self.used[k], given[k] >= 0)
+            for label in (0, 1):
+                self.handed[1 - k, label] += int((given[k] == label).sum())
+
+    def verdict(self) -> Verdict:
+        """The fitted views and the weights of their scores, by logistic regression on the documents held back."""
+        n, held = len(self.labels), self.held
+        both = np.stack([v.score(x)[:n] for v, x in zip(self.views, self.data, strict=True)] + [np.ones(n)], 1)[held]
+        target, mix = self.labels[held], np.array([0.5, 0.5, 0.0])
+        if len(np.unique(target)) == 2:
+            scale = np.maximum(np.abs(both).max(axis=0), 1e-9)
+            z, start = both / scale, mix * scale
+            mix = (_adam(lambda w: z.T @ (_sigmoid(z @ (w + start)) - target) / len(target) + 1e-3 * w / scale, 3, 300, 0.1) + start) / scale
+        return Verdict(*self.views, mix)
+
+
+def _groups(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows of some ``_GROUP`` bytes of text at a time; a longer text is a group of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _GROUP, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _gathered(picked: DataFrame) -> tuple[np.ndarray, Rows, np.ndarray]:
+    """Ids, content features and metadata of a bounded set of documents, at the driver; of rows with one id, the least."""
+    once = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "source", "text")).alias("r")).select("doc_id", "r.*")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _groups(batch, 3):
+                m = measure(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3))
+                doc, feature = m.features()
+                parts = np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, m.documents)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(parts, pa.list_(pa.int32())), pa.array(list(m.meta), pa.list_(pa.float32()))], names=["doc_id", "words", "meta"]
+                )
+
+    found = once.mapInArrow(work, "doc_id long, words array<int>, meta array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    if not len(found):
+        return np.empty(0, np.int64), Rows.of([]), np.zeros((0, _META), np.float32)
+    words, meta = (found[c].combine_chunks() for c in ("words", "meta"))
+    sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
+    return found["doc_id"].to_numpy(), Rows(words.flatten().to_numpy().astype(np.int64), np.cumsum(sizes) - sizes), meta.flatten().to_numpy().reshape(-1, _META)
+
+
+def _scorer(shared, raw: bool, names: list[str]):
+    """Each document's scores of both views for both targets; with ``raw`` those alone, else the calibrated probabilities before them.
+
+    Columns: doc_id, lang, source, text, and any more, which come along.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdicts, constant = shared.value
+        known = [v for v in verdicts.values() if v]
+        used = np.zeros(1 << _BITS, bool)
+        for v in known:
+            used |= v.content.weights != 0
+        for batch in batches:
+            for part in _groups(batch, 3):
+                m = measure(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3))
+                doc, feature = m.features(used)
+                views, whole = [], []
+                for t in TARGETS:
+                    v = verdicts[t]
+                    c = np.bincount(doc, weights=v.content.weights[feature], minlength=m.documents) + v.content.bias if v else np.zeros(m.documents)
+                    x = v.meta.score(m.meta) if v else np.zeros(m.documents)
+                    views += [c, x] if raw else [_sigmoid(c), _sigmoid(x)]
+                    whole.append(v.probability(c, x) if v else np.full(m.documents, constant[t]))
+                flat = [pa.array(c, pa.float64()) for c in (views if raw else whole + views)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *flat, *part.columns[4:]], names=names)
+
+    return work
+
+
+def _surest(scored: DataFrame, teachers: dict[str, tuple[str, int, int, float]], sure: float, handed: int) -> list[Column] | None:
+    """Which documents each teacher hands over: a flag a teacher, or None if none of them is sure of any.
+
+    ``teachers``: name -> (column of scores, sign, label, share). The best ``handed`` x share documents are taken by
+    their bin of the score, and of the last bin as many as are still wanted, by a hash of the id.
+    """
+    bins = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(2 * sign * F.col(column)).cast("int").alias("bin")) for name, (column, sign, _, _) in teachers.items()])
+    least = np.log(sure / (1 - sure))
+    tall = scored.select(F.explode(bins).alias("b")).select("b.*").where(F.col("bin") >= int(np.ceil(2 * least)))
+    counts: dict[str, dict[int, int]] = {name: {} for name in teachers}
+    for r in tall.groupBy("name", F.least("bin", F.lit(80)).alias("bin")).agg(F.count("*").alias("n")).collect():
+        counts[r["name"]][r["bin"]] = r["n"]
+    flags = []
+    for name, (column, sign, _, part) in teachers.items():
+        wanted, last, share = max(1, round(handed * part)), None, 1.0
+        for k in sorted(counts[name], reverse=True):
+            last, share = k, min(1.0, wanted / counts[name][k])
+            wanted -= counts[name][k]
+            if wanted <= 0:
+                break
+        if last is None:
+            flags.append(F.lit(False).alias(name))
+            continue
+        own = F.least(F.floor(2 * sign * F.col(column)), F.lit(80))
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 24)) < int(share * (1 << 24))
+        flags.append(((own > last) | ((own == last) & drawn)).alias(name))
+    return flags if any(counts.values()) else None
+
+
+def _exchange(slim: DataFrame, labels: DataFrame, rows: Rows, meta: np.ndarray, known: dict[str, np.ndarray], rounds: int, handed: int, sure: float) -> dict[str, CoTraining]:
+    """Co-training over all unlabelled documents, one part of them a round."""
+    spark = slim.sparkSession
+    trained = {t: CoTraining(rows, meta, y, sure) for t, y in known.items() if len(np.unique(y)) == 2 and len(np.unique(y[np.arange(len(y)) % 5 > 0])) == 2}
+    names = ["doc_id", "content_quality", "meta_quality", "content_toxic", "meta_toxic"]
+    for k in range(rounds):
+        teachers = {}
+        for t, c in trained.items():
+            for view, title in enumerate(("content", "meta")):
+                for label in (0, 1):
+                    if c.may_teach(view, label):
+                        teachers[f"{title}_{t}_{label}"] = (f"{title}_{t}", 1 if label else -1, label, c.rate if label else 1 - c.rate)
+        if not teachers:
+            break
+        shared = spark.sparkContext.broadcast(({t: Verdict(*trained[t].views, np.zeros(3)) if t in trained else None for t in TARGETS}, dict.fromkeys(TARGETS, 0.0)))
+        mine = slim.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)) == k)).select("doc_id", "lang", "source", "text")
+        scores = Written(mine.mapInArrow(_scorer(shared, True, names), ddl("doc_id long, " + ", ".join(f"{n} double" for n in names[1:]))))
+        scored = scores.read().join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+        flags = _surest(scored, teachers, sure, handed)
+        if flags is not None:
+            chosen = scored.select("doc_id", *flags)
+            some = " or ".join(f"`{n}`" for n in teachers)
+            chosen = chosen.where(some).groupBy("doc_id").agg(*[F.bool_or(n).alias(n) for n in teachers]).toArrow()  # a small multiple of ``handed``
+            picked = mine.join(F.broadcast(spark.createDataFrame(chosen.select(["doc_id"]))), "doc_id")
+            ids, new_rows, new_meta = _gathered(picked)
+            order = pc.index_in(pa.array(ids), value_set=chosen["doc_id"].combine_chunks())
+            for t, c in trained.items():
+                given = [np.full(len(ids), -1), np.full(len(ids), -1)]
+                for name, (column, _, label, _) in teachers.items():
+                    if column.endswith(f"_{t}"):
+                        told = chosen[name].combine_chunks().take(order).to_numpy(zero_copy_only=False)
+                        given[1 if column.startswith("content") else 0][told.astype(bool)] = label
+                c.take(new_rows, new_meta, given)
+                c.fit()
+        scores.drop()
+        shared.unpersist()
+    return trained
 
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    max_labelled: int = 6000, max_pool: int = 3000, rounds: int = 3, least_quality: float = 0.3, most_toxic: float = 0.3,
-    carry: str | None = None,
+    max_labelled: int = 6000, rounds: int = 3, handed: int = 300, sure: float = 0.95, least_quality: float = 0.3, most_toxic: float = 0.3,
+    carry: str | None = None, watch: dict | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``quality``, ``toxicity``, each view's scores, ``kept``.
 
     ``quality`` and ``toxicity`` are calibrated probabilities; kept are documents
     of ``least_quality`` or more and under ``most_toxic``. Null texts count as
     empty, null languages and sources as values of their own; null ids and
-    labels take no part in fitting; of repeated labels the strictest holds.
-    Where a label has one class only, its probability is that class, and no
-    document is rejected for it when there are no labels. Repeated rows are
-    scored each; other columns are ignored, but with ``carry`` the whole input
-    row comes along as a struct of that name; an empty table gives no rows.
+    labels take no part in fitting; of repeated labels the strictest holds, of
+    documents with one id the least takes part in the fit. Equal scores at the
+    edge of what is handed over are drawn by a hash of the id. Where a label has
+    one class only, its probability is that class, and no document is rejected
+    for it when there are no labels. Repeated rows are scored each; texts of any
+    length are read whole; other columns are ignored, but with ``carry`` the
+    whole input row comes along as a struct of that name; an empty table gives
+    no rows. ``watch`` gets the co-trainings, for their counts of what was handed over.
     """
     along, more = carried(docs, carry)
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *along,
     )
-    rows, meta, known = _fit_sample(slim, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"), max_labelled, max_pool)
-    verdicts = {name: cotrain(rows, meta, y, rounds) for name, y in known.items()}
-    constant = {"quality": 1.0, "toxic": 0.0}
-    for name, y in known.items():
-        if (y >= 0).any() and verdicts[name] is None:
-            constant[name] = float(y[y >= 0].mean())
-    shared = slim.sparkSession.sparkContext.broadcast(verdicts)
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
+    sure_ones = labels.where("doc_id is not null and quality is not null and toxic is not null")
+    marked = sure_ones.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    # A hash of the id draws the sample, so no task or driver sorts the labels.
+    part = min(1.0, max_labelled / max(1, marked.count()))
+    if part < 1:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 24)) < int(part * (1 << 24)))
+    marks = marked.toArrow()  # some ``max_labelled`` rows
+    picked = slim.join(F.broadcast(slim.sparkSession.createDataFrame(marks.select(["doc_id"])) if len(marks) else marked.select("doc_id").limit(0)), "doc_id")
+    ids, rows, meta = _gathered(picked.select("doc_id", "lang", "source", "text"))
+    order = pc.index_in(pa.array(ids), value_set=marks["doc_id"].combine_chunks()) if len(ids) else None
+    known = {t: marks[t].combine_chunks().take(order).to_numpy().astype(np.int64) if len(ids) else np.empty(0, np.int64) for t in TARGETS}
+    trained = _exchange(slim, labels, rows, meta, known, rounds, handed, sure) if len(ids) else {}
+    if watch is not None:
+        watch.update(trained)
+    constant = {"quality": 1.0, "toxic": 0.0} | {t: float(y.mean()) for t, y in known.items() if len(y) and t not in trained}
+    verdicts = {t: trained[t].verdict() if t in trained else None for t in TARGETS}
+    shared = slim.sparkSession.sparkContext.broadcast((verdicts, constant))
     names = ["doc_id", "quality", "toxicity", "content_quality", "meta_quality", "content_toxicity", "meta_toxicity"]
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """By few rows at a time: the features of long texts are large."""
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for at in range(0, batch.num_rows, _BATCH):
-            x, m = _measured(batch.slice(at, _BATCH), 1, 2, 3)
-            for k, name in enumerate(("quality", "toxic")):
-                v = shared.value[name]
-                c = v.content.score(x) if v else np.zeros(len(m))
-                s = v.meta.score(m) if v else np.zeros(len(m))
-                columns[k].append(v.probability(c, s) if v else np.full(len(m), constant[name]))
-                columns[2 + 2 * k].append(_sigmoid(c))
-                columns[3 + 2 * k].append(_sigmoid(s))
-        flat = [pa.array(np.concatenate(c) if c else np.empty(0), pa.float64()) for c in columns]
-        return pa.RecordBatch.from_arrays([batch.column(0), *flat, *batch.columns[4:]], names=names + more.names)
-
     schema = ddl("doc_id long, " + ", ".join(f"{n} double" for n in names[1:]))
-    out = slim.mapInArrow(by_batch(work), T.StructType(schema.fields + more.fields))
+    out = slim.mapInArrow(_scorer(shared, False, names + more.names), T.StructType(schema.fields + more.fields))
     return out.withColumn("kept", (F.col("quality") >= least_quality) & (F.col("toxicity") < most_toxic))

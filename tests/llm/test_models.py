@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +46,66 @@ def test_shards(docs, none):
     assert shard_rows(none).collect() == []
 
 
-def test_classifier_on_held_out_labels(spark, monkeypatch):
-    sf = "/root/testdata/sf0.1"
-    labels = table(spark, sf, "labels")
-    docs = table(spark, sf, "documents").where("doc_id < 6000")
-    given_ = labels.where("doc_id < 4500")
-    truth = {r.doc_id: r for r in labels.where("doc_id >= 4500 and doc_id < 6000").collect()}
-    got = {r.doc_id: r for r in score_quality(docs, given_).collect()}
+def test_classifier_on_held_out_labels(spark):
+    """Labels of every fifth id are set aside; both views of quality teach, both labels, and the content view that of toxicity."""
+    sf, watch = "/root/testdata/sf0.1", {}
+    labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents").where("doc_id < 6000")
+    truth = {r.doc_id: r for r in labels.where("pmod(xxhash64(doc_id, 99), 5) = 0 and doc_id < 6000").collect()}
+    got = {r.doc_id: r for r in score_quality(docs, labels.where("pmod(xxhash64(doc_id, 99), 5) <> 0"), watch=watch).collect()}
     assert len(got) == docs.count()
     clean = [got[d].kept for d, t in truth.items() if t.quality and not t.toxic]
     poor = [got[d].kept for d, t in truth.items() if not t.quality]
     toxic = [got[d].kept for d, t in truth.items() if t.toxic]
-    assert np.mean(clean) > 0.97 and np.mean(poor) < 0.2 and np.mean(toxic) < 0.3
+    assert np.mean(clean) > 0.97 and np.mean(poor) < 0.1 and np.mean(toxic) < 0.2
+    assert min(watch["quality"].handed.values()) > 0
+    assert min(watch["toxic"].handed[0, label] for label in (0, 1)) > 0
+
+
+def plain_measure(lang, source, text):
+    """One document's features and bins by loops over its words."""
+    text = text or ""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    names = Counter()
+    for w in dict.fromkeys(found):
+        names.update(n for n in cotrain.word_features(pa.array([w]))[0].tolist() if n >= 0)
+    features = set(names) | {n ^ cotrain._OFTEN for n, c in names.items() if c >= 3}
+    n, lines = max(1, len(found)), text.count("\n") + 1
+    figures = [
+        sum(a == b for a, b in zip(found, found[1:])) / n, sum(w.isupper() for w in found) / n, sum(text.count(m) for m in "#*$%&|<>") / n,
+        min(text.count(" | ") / lines, 0.99), min(len(re.findall(r"[.!?。！？][\"')]*(?:\n|\Z)", text)) / lines, 0.99), len(set(found)) / n,
+        math.log2(len(text) + 1) / 20, math.log2(len(text) / lines + 1) / 16,
+    ]
+    bins = [min(9, int(f * 10)) for f in figures]
+    at = cotrain._LANGS + cotrain._SOURCES
+    places = {cotrain.hash_of(f"l {lang}") % 16, 16 + cotrain.hash_of(f"s {source}") % 32, cotrain._META - 1}
+    places |= {at + 10 * k + b for k, b in enumerate(bins)} | {at + 80 + 10 * bins[5] + min(9, max(0, int(math.log2(n)) - 3))}
+    return features, places
+
+
+def test_measures_by_plain_loops(docs):
+    rows = docs.collect() + [SimpleNamespace(lang="en", source="s", text=t) for t in ("BUY BUY BUY now!! ### $$$\nHome | About | Help\nEnd.", "a." * 3 + "\n\n" + "W | x\n" * 9)]
+    m = cotrain.measure([r.lang for r in rows], [r.source for r in rows], pa.array([r.text for r in rows], pa.string()))
+    doc, feature = m.features()
+    for i, r in enumerate(rows):
+        features, places = plain_measure(r.lang, r.source, r.text)
+        assert set(feature[doc == i].tolist()) == features and set(np.flatnonzero(m.meta[i]).tolist()) == places
+    used = np.zeros(1 << 20, bool)
+    used[feature[::3]] = True
+    some = {(d, f) for d, f in zip(*(x.tolist() for x in m.features(used)), strict=True) if used[f]}
+    assert some == {(d, f) for d, f in zip(doc.tolist(), feature.tolist(), strict=True) if used[f]}
+
+
+def test_the_surest_of_all_documents_are_handed_over(spark):
+    rng = random.Random(2)
+    scored = spark.createDataFrame([(i, rng.uniform(-12, 12)) for i in range(5000)], "doc_id long, s double").repartition(7)
+    rows = {r.doc_id: r.s for r in scored.collect()}
+    flags = cotrain._surest(scored, {"good": ("s", 1, 1, 0.5), "bad": ("s", -1, 0, 0.1)}, 0.95, 400)
+    got = scored.select("doc_id", *flags).collect()
+    good, bad = ([r.doc_id for r in got if r[name]] for name in ("good", "bad"))
+    assert 150 < len(good) < 250 and 20 < len(bad) < 60
+    edge = min(math.floor(2 * rows[d]) for d in good)
+    assert all(d in set(good) for d, x in rows.items() if math.floor(2 * x) > edge) and edge / 2 > math.log(19)
+    assert cotrain._surest(scored.where("abs(s) < 1"), {"good": ("s", 1, 1, 0.5)}, 0.95, 400) is None
 
 
 def test_classifier_odd_cases(spark, docs, none):
@@ -69,16 +119,25 @@ def test_classifier_odd_cases(spark, docs, none):
 
 
 def test_views_teach_each_other():
+    """Each view alone knows one half of the cases; what it is handed teaches it the other's."""
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 400)
+    y = rng.integers(0, 2, 600)
     rows = cotrain.Rows.of([np.array([10 + label, 20 + rng.integers(5)]) for label in y])
-    meta = np.zeros((400, cotrain._META), np.float32)
-    meta[np.arange(400), y] = 1
-    labels = np.where(np.arange(400) < 60, y, -1)
-    verdict = cotrain.cotrain(rows, meta, labels)
+    meta = np.zeros((600, cotrain._META), np.float32)
+    meta[np.arange(600), y] = 1
+    first = cotrain.Rows.of([rows.index[b : b + 2] for b in rows.begin[:100]])
+    both = cotrain.CoTraining(first, meta[:100], y[:100])
+    assert all(both.may_teach(k, label) for k in (0, 1) for label in (0, 1))
+    more = cotrain.Rows.of([rows.index[b : b + 2] for b in rows.begin[100:]])
+    given = [np.where(rng.random(500) < 0.3, y[100:], -1) for _ in (0, 1)]
+    both.take(more, meta[100:], given)
+    both.fit()
+    verdict = both.verdict()
     p = verdict.probability(verdict.content.score(rows), verdict.meta.score(meta))
     assert ((p > 0.5) == y).mean() > 0.95
-    assert cotrain.cotrain(rows, meta, np.full(400, -1)) is None
+    assert both.handed == {(1 - k, label): int((given[k] == label).sum()) for k in (0, 1) for label in (0, 1)}
+    blind = cotrain.CoTraining(first, np.ones((100, cotrain._META), np.float32), y[:100])
+    assert not blind.may_teach(1, 0) and not blind.may_teach(1, 1)
 
 
 def test_network_gradient():
