@@ -34,8 +34,10 @@ from .common import Written, carried, ddl, lower_ascii, resident
 
 #: Words of this contract: ASCII digits and letters, and everything beyond ASCII.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Words of the benchmark that are broadcast; with more of them, all words of the documents are counted.
-_VOCABULARY = 200_000
+#: Bytes of the benchmark's words that are broadcast, alone and with their counts; beyond, counts come by shuffled joins.
+_VOCABULARY = 4 << 20
+#: Words that a task counts before it sends them on.
+_HELD = 200_000
 #: Bits of the field that tells rarest words from others, and of a piece of it.
 _FIELD, _PIECE = 1 << 26, 1 << 16
 
@@ -75,8 +77,8 @@ def _window_rows(width: int):
 
 def _counts(rows: DataFrame, words: DataFrame) -> DataFrame:
     """(``word``, ``n``): how often each of ``words`` stands in the texts; those that do not are left out."""
-    known = None
-    if words.count() <= _VOCABULARY:
+    known, size = None, words.agg(F.coalesce(F.sum(F.octet_length("word") + 16), F.lit(0))).first()[0]
+    if size <= _VOCABULARY:
         known = rows.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in words.toLocalIterator()))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +92,14 @@ def _counts(rows: DataFrame, words: DataFrame) -> DataFrame:
             for i in range(len(texts)):
                 found = words_of(texts[i].as_py())
                 counts.update(filter(known.value.__contains__, found) if known else found)
-                if len(counts) > _VOCABULARY:
+                if len(counts) > _HELD:
                     yield out()
                     counts.clear()
         if counts:
             yield out()
 
     counted = rows.select("text").mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted if known else counted.join(words, "word", "left_semi")
+    return F.broadcast(counted) if known else counted.join(words, "word", "left_semi")
 
 
 def _rarest(windows: DataFrame, counted: DataFrame) -> DataFrame:
