@@ -7,14 +7,13 @@ read again, and all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwood.llm.common import table
+from tarnwood.llm.common import shared_folder, table
 from tarnwood.llm.cotrain import score_quality
 from tarnwood.llm.decontaminate import find_overlaps
 from tarnwood.llm.near_dup import near_duplicates
@@ -71,17 +70,9 @@ STAGES = [
 ]
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors share; a temporary one only where none is set."""
-    context = spark.sparkContext
-    where = context._jsc.sc().getCheckpointDir()
-    base = where.get() if where.isDefined() else context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-")
-    return f"{base}/corpus-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), _folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
