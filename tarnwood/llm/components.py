@@ -14,18 +14,24 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
-def _step(edges: DataFrame, up: bool) -> DataFrame:
-    """Link neighbours of each node to the smallest of them: those above it, or those below it and itself."""
-    if up:
-        arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        arcs = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = arcs.join(least, "u")
-    if up:
-        out = joined.where("v > u").select("m", "v")
-    else:
-        out = joined.select("m", "v").unionByName(least.select("m", F.col("u").alias("v")))
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link the larger neighbours of each node to the smallest node next to it.
+
+    An edge changes only at a node that has both smaller and larger neighbours.
+    A star's centre has none smaller, so its many edges meet no row here, and as
+    stars form the nodes in between become few and are sent to the edges.
+    """
+    arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    between = arcs.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")).where("m < u and u < x").select("u", "m")
+    moved = edges.join(between, F.col("a") == F.col("u"), "left")
+    return moved.select(F.coalesce("m", "a").alias("a"), "b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link the smaller neighbours of each node, and itself, to the smallest of them."""
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    joined = edges.join(least, "b").select(F.col("m"), F.col("a").alias("v"))
+    out = joined.unionByName(least.select("m", F.col("b").alias("v")))
     return out.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
@@ -43,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == last or not now["n"]:
             break
         last = now
-        edges = settle(_step(_step(edges, True), False))
+        edges = settle(_small_star(_large_star(edges)))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     )

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tarnwood.llm import near_dup, shingles
+from tarnwood.llm.components import components
 from tarnwood.llm.near_dup import near_duplicates
 from tarnwood.llm.shingles import CirculantMinHash
 
@@ -103,3 +104,16 @@ def test_signatures_come_from_two_permutations():
 
 def test_nothing(none):
     assert near_duplicates(none).collect() == []
+
+
+def test_components_of_any_links(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
+    group = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+    for a, b in links:
+        if a != b and group[a] != group[b]:
+            lo, hi = sorted((group[a], group[b]))
+            group = {n: lo if g == hi else g for n, g in group.items()}
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {r.node: r.label for r in got} == group and len(got) == len(group)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
