@@ -148,13 +148,13 @@ class Rows:
     @classmethod
     def of(cls, rows: list[np.ndarray]) -> Rows:
         sizes = np.array([len(r) for r in rows], np.int64)
-        return cls(np.concatenate(rows) if rows else np.empty(0, np.int64), np.cumsum(sizes) - sizes)
+        return cls(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32), np.cumsum(sizes) - sizes)
 
     def plus(self, other: Rows) -> Rows:
         return Rows(np.concatenate([self.index, other.index]), np.concatenate([self.begin, other.begin + len(self.index)]))
 
     def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(self.index))))
+        return np.repeat(np.arange(len(self.begin), dtype=np.int32), np.diff(np.append(self.begin, len(self.index))))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -172,28 +172,36 @@ def _adam(gradient, size: int, steps: int, rate: float) -> np.ndarray:
 
 
 class ContentView:
-    """Logistic regression on the features that tell the classes apart best."""
+    """Logistic regression on the features that tell the classes apart best; few of the numbers have a weight."""
 
     def __init__(self, keep: int = 2000, least: int = 4, steps: int = 250):
         self.keep, self.least, self.steps = keep, least, steps
-        self.weights = np.zeros(1 << _BITS, np.float32)
+        self.chosen, self.values = np.empty(0, np.int32), np.empty(0, np.float32)
         self.bias = 0.0
 
+    def weights(self) -> np.ndarray:
+        """The weight of every feature number."""
+        out = np.zeros(1 << _BITS, np.float32)
+        out[self.chosen] = self.values
+        return out
+
     def fit(self, rows: Rows, y: np.ndarray, used: np.ndarray) -> None:
         owner = rows.owner()
         mine = used[owner]
         index, owner = rows.index[mine], owner[mine]
+        del mine
         there = np.bincount(index, minlength=1 << _BITS).astype(float)
-        positive = np.bincount(index, weights=y[owner], minlength=1 << _BITS)
+        positive = np.bincount(index[y[owner] > 0], minlength=1 << _BITS)
         n, p = used.sum(), y[used].sum()
         expected = there * p / n
         chi = np.where(there >= self.least, (positive - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - there / (n + 1)), 1e-9), 0)
         chosen = np.argsort(-chi, kind="stable")[: self.keep]
         chosen = chosen[chi[chosen] > 10.8]  # the 0.1 % level at one degree of freedom
-        slot = np.full(1 << _BITS, -1)
+        slot = np.full(1 << _BITS, -1, np.int32)
         slot[chosen] = np.arange(len(chosen))
         s = slot[index]
         s, o = s[s >= 0], owner[s >= 0]
+        del index, owner, there, positive, expected, chi, slot
         k = len(chosen)
 
         def gradient(w: np.ndarray) -> np.ndarray:
@@ -202,12 +210,10 @@ class ContentView:
             return np.append(np.bincount(s, weights=e[o], minlength=k), e.sum()) / n + np.append(3e-5 * w[:k], 0)
 
         w = _adam(gradient, k + 1, self.steps, 0.2)
-        self.weights[:] = 0
-        self.weights[chosen] = w[:k]
-        self.bias = float(w[k])
+        self.chosen, self.values, self.bias = chosen.astype(np.int32), w[:k].astype(np.float32), float(w[k])
 
     def score(self, rows: Rows) -> np.ndarray:
-        return np.bincount(rows.owner(), weights=self.weights[rows.index], minlength=len(rows.begin)) + self.bias
+        return np.bincount(rows.owner(), weights=self.weights()[rows.index], minlength=len(rows.begin)) + self.bias
 
 
 class MetaView:
@@ -316,7 +322,7 @@ def _gathered(picked: DataFrame) -> tuple[np.ndarray, Rows, np.ndarray]:
         return np.empty(0, np.int64), Rows.of([]), np.zeros((0, _META), np.float32)
     words, meta = (found[c].combine_chunks() for c in ("words", "meta"))
     sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
-    return found["doc_id"].to_numpy(), Rows(words.flatten().to_numpy().astype(np.int64), np.cumsum(sizes) - sizes), meta.flatten().to_numpy().reshape(-1, _META)
+    return found["doc_id"].to_numpy(), Rows(words.flatten().to_numpy().copy(), np.cumsum(sizes) - sizes), meta.flatten().to_numpy().reshape(-1, _META).copy()
 
 
 def _scorer(shared, raw: bool, names: list[str]):
@@ -328,9 +334,9 @@ def _scorer(shared, raw: bool, names: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verdicts, constant = shared.value
         known = [v for v in verdicts.values() if v]
-        used = np.zeros(1 << _BITS, bool)
+        used, weights = np.zeros(1 << _BITS, bool), {t: v.content.weights() for t, v in verdicts.items() if v}
         for v in known:
-            used |= v.content.weights != 0
+            used[v.content.chosen] = True
         for batch in batches:
             for part in _groups(batch, 3):
                 m = measure(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3))
@@ -338,7 +344,7 @@ def _scorer(shared, raw: bool, names: list[str]):
                 views, whole = [], []
                 for t in TARGETS:
                     v = verdicts[t]
-                    c = np.bincount(doc, weights=v.content.weights[feature], minlength=m.documents) + v.content.bias if v else np.zeros(m.documents)
+                    c = np.bincount(doc, weights=weights[t][feature], minlength=m.documents) + v.content.bias if v else np.zeros(m.documents)
                     x = v.meta.score(m.meta) if v else np.zeros(m.documents)
                     views += [c, x] if raw else [_sigmoid(c), _sigmoid(x)]
                     whole.append(v.probability(c, x) if v else np.full(m.documents, constant[t]))
@@ -412,7 +418,7 @@ def _exchange(slim: DataFrame, labels: DataFrame, rows: Rows, meta: np.ndarray,
                 c.take(new_rows, new_meta, given)
                 c.fit()
         scores.drop()
-        shared.unpersist()
+        shared.destroy()
     return trained
 
 
