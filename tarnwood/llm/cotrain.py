@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, carried, ddl
+from .common import Written, carried, ddl, resident
 
 _BITS = 20
 _MASK = np.uint64((1 << _BITS) - 1)
 #: Turns a feature's number into that of the same feature met in three distinct words or more.
 _OFTEN = 0x5A5A5
-_GROUP = 4 << 20
+_GROUP = 2 << 20
 _MARKS = "#*$%&|<>"
 #: Runs of letters, capitals, digits and marks that stand for one each in a word's shape.
 _RUNS = ((r"\p{L}*[\p{Ll}\p{Lo}]\p{L}*", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0"), (r"([#*$%&|<>!?.])[#*$%&|<>!?.]+", r"\1+"))
@@ -150,6 +150,12 @@ class Rows:
         sizes = np.array([len(r) for r in rows], np.int64)
         return cls(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32), np.cumsum(sizes) - sizes)
 
+    def without_rare(self, least: int) -> Rows:
+        """Without features of fewer than ``least`` rows."""
+        common = (np.bincount(self.index, minlength=1 << _BITS) >= least)[self.index]
+        owner = self.owner()[common]
+        return Rows(self.index[common], np.searchsorted(owner, np.arange(len(self.begin))))
+
     def plus(self, other: Rows) -> Rows:
         return Rows(np.concatenate([self.index, other.index]), np.concatenate([self.begin, other.begin + len(self.index)]))
 
@@ -272,9 +278,9 @@ class CoTraining:
         tried = (p if label else 1 - p) >= self.sure
         return tried.sum() >= 5 and (self.labels[self.held][tried] == label).mean() >= self.sure
 
-    def take(self, rows: Rows, meta: np.ndarray, given: list[np.ndarray]) -> None:
-        """New documents, with the labels that each view is given for them; -1 for none."""
-        self.data = [self.data[0].plus(rows), np.concatenate([self.data[1], meta])]
+    def take(self, data: list, given: list[np.ndarray]) -> None:
+        """The documents with new ones after them, and the labels that each view is given for the new ones; -1 for none."""
+        self.data = data
         for k in (0, 1):
             self.own[k] = np.append(self.own[k], np.maximum(given[k], 0))
             self.used[k] = np.append(self.used[k], given[k] >= 0)
@@ -308,6 +314,7 @@ def _gathered(picked: DataFrame) -> tuple[np.ndarray, Rows, np.ndarray]:
     once = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "source", "text")).alias("r")).select("doc_id", "r.*")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(("measures",), tuple)
         for batch in batches:
             for part in _groups(batch, 3):
                 m = measure(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3))
@@ -322,7 +329,10 @@ def _gathered(picked: DataFrame) -> tuple[np.ndarray, Rows, np.ndarray]:
         return np.empty(0, np.int64), Rows.of([]), np.zeros((0, _META), np.float32)
     words, meta = (found[c].combine_chunks() for c in ("words", "meta"))
     sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
-    return found["doc_id"].to_numpy(), Rows(words.flatten().to_numpy().copy(), np.cumsum(sizes) - sizes), meta.flatten().to_numpy().reshape(-1, _META).copy()
+    out = found["doc_id"].to_numpy().copy(), Rows(words.flatten().to_numpy().copy(), np.cumsum(sizes) - sizes), meta.flatten().to_numpy().reshape(-1, _META).copy()
+    del found, words, meta
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _scorer(shared, raw: bool, names: list[str]):
@@ -332,6 +342,7 @@ def _scorer(shared, raw: bool, names: list[str]):
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident(("measures",), tuple)  # lets go of what an operator before this one keeps
         verdicts, constant = shared.value
         known = [v for v in verdicts.values() if v]
         used, weights = np.zeros(1 << _BITS, bool), {t: v.content.weights() for t, v in verdicts.items() if v}
@@ -409,13 +420,17 @@ def _exchange(slim: DataFrame, labels: DataFrame, rows: Rows, meta: np.ndarray,
             picked = mine.join(F.broadcast(spark.createDataFrame(chosen.select(["doc_id"]))), "doc_id")
             ids, new_rows, new_meta = _gathered(picked)
             order = pc.index_in(pa.array(ids), value_set=chosen["doc_id"].combine_chunks())
+            before = next(iter(trained.values())).data
+            data = [before[0].plus(new_rows), np.concatenate([before[1], new_meta])]  # one for both targets
             for t, c in trained.items():
                 given = [np.full(len(ids), -1), np.full(len(ids), -1)]
                 for name, (column, _, label, _) in teachers.items():
                     if column.endswith(f"_{t}"):
                         told = chosen[name].combine_chunks().take(order).to_numpy(zero_copy_only=False)
                         given[1 if column.startswith("content") else 0][told.astype(bool)] = label
-                c.take(new_rows, new_meta, given)
+                c.take(data, given)
+            del before, data, new_rows, new_meta
+            for c in trained.values():
                 c.fit()
         scores.drop()
         shared.destroy()
@@ -457,6 +472,7 @@ def score_quality(
     picked = slim.join(F.broadcast(slim.sparkSession.createDataFrame(marks.select(["doc_id"])) if len(marks) else marked.select("doc_id").limit(0)), "doc_id")
     ids, rows, meta = _gathered(picked.select("doc_id", "lang", "source", "text"))
     order = pc.index_in(pa.array(ids), value_set=marks["doc_id"].combine_chunks()) if len(ids) else None
+    rows = rows.without_rare(ContentView().least)  # which no view uses
     known = {t: marks[t].combine_chunks().take(order).to_numpy().astype(np.int64) if len(ids) else np.empty(0, np.int64) for t in TARGETS}
     trained = _exchange(slim, labels, rows, meta, known, rounds, handed, sure) if len(ids) else {}
     if watch is not None:

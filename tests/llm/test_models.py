@@ -130,7 +130,7 @@ def test_views_teach_each_other():
     assert all(both.may_teach(k, label) for k in (0, 1) for label in (0, 1))
     more = cotrain.Rows.of([rows.index[b : b + 2] for b in rows.begin[100:]])
     given = [np.where(rng.random(500) < 0.3, y[100:], -1) for _ in (0, 1)]
-    both.take(more, meta[100:], given)
+    both.take([first.plus(more), meta], given)
     both.fit()
     verdict = both.verdict()
     p = verdict.probability(verdict.content.score(rows), verdict.meta.score(meta))
