@@ -124,4 +124,14 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {shards})::INT AS shard, (x
 """
 
 
-SQL: dict[str, str] = {"op5_shard": _shards(8, 20240201), "op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS}
+_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+  WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+SQL: dict[str, str] = {"op5_shard": _shards(8, 20240201), "op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS, "op13_hard_negatives": _NEGATIVES}

@@ -10,7 +10,9 @@ from .common import table
 from .cotrain import score_quality
 from .decontaminate import find_overlaps
 from .feistel import shard_rows
+from .hard_negatives import mine_hard_negatives
 from .line_clean import clean_lines
+from .merge_replay import decode_documents, encode_documents
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .pseudo_lm import score_documents
@@ -68,6 +70,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
 def queries() -> dict:
     """Name -> function of a session and a data directory."""
     return {
@@ -81,6 +94,8 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_clean": op9_line_clean,
         "op10_decontaminate": op10_decontaminate,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
