@@ -37,7 +37,7 @@ _CACHED_CHARS = 64
 #: Words of more bytes are merged one by one.
 _LONG_WORD = 256
 #: Characters of text whose words are replayed together, and bytes of ids in one output batch.
-_RUN = 4 << 20
+_RUN = 2 << 20
 _OUT = 8 << 20
 
 
@@ -215,7 +215,7 @@ class MergeReplay:
 class Encoder:
     """Texts to ids; what it has met stays in two generations of at most ``capacity`` words each."""
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 300_000):
         self.replay = MergeReplay(read_ranks(path))
         self.kinds, self.capacity = Kinds(), capacity
         self.known: dict[str, bytes] = {}
@@ -263,8 +263,14 @@ def _runs(texts: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, parts
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_tokens``, ``ids`` (little-endian uint32 bytes).
+def _decoded(ids: bytes, bytes_of: dict[int, bytes]) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode_documents(
+    docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, carry: str | None = None,
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_tokens``, ``ids`` (little-endian uint32 bytes), and with ``decode`` ``decoded``, the bytes of the ids.
 
     Ids are those that the tiktoken library gives with the public pattern and no
     special tokens; strings like those of special tokens are ordinary text. A null
@@ -276,14 +282,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id"
     a word of any length is one. Of equal ranks in a word the leftmost goes first.
     """
     along, more = carried(docs, carry)
+    plain = ddl("doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = resident(("replay", ranks_path), lambda: Encoder(ranks_path))
 
         def out(batch: pa.RecordBatch, first: int, made: list[bytes]) -> pa.RecordBatch:
             part = batch.slice(first, len(made))
-            counts = pa.array([len(i) // 4 for i in made], pa.int64())
-            return pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(made, pa.binary()), *part.columns[2:]], names=["doc_id", "n_tokens", "ids", *more.names])
+            columns = [part.column(0), pa.array([len(i) // 4 for i in made], pa.int64()), pa.array(made, pa.binary())]
+            if decode:
+                columns.append(pa.array([_decoded(ids, code.replay.bytes_of) for ids in made], pa.binary()))
+            return pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=[*plain.names, *more.names])
 
         for batch in batches:
             done, open_, size = 0, [], 0  # rows given out, ids of the rows after them, their bytes
@@ -300,20 +309,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id"
                 yield out(batch, done, [b"".join(x) for x in open_])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *along)
-    return rows.mapInArrow(run, T.StructType(ddl("doc_id long, n_tokens long, ids binary").fields + more.fields))
+    return rows.mapInArrow(run, T.StructType(plain.fields + more.fields))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """The rows of ``encoded`` with ``to``: the bytes that the ids of ``ids_col`` stand for; null stays null, an unknown id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = resident(("replay", ranks_path), lambda: Encoder(ranks_path)).replay.bytes_of
+        table = resident(("bytes", ranks_path), lambda: {i: t for t, i in read_ranks(ranks_path).items()})
         for batch in batches:
             at, column, first, texts, size = batch.schema.get_field_index("_ids"), None, 0, [], 0
             column = batch.column(at)
             for k in range(batch.num_rows):
                 ids = column[k].as_py()
-                texts.append(None if ids is None else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())))
+                texts.append(None if ids is None else _decoded(ids, table))
                 size += len(texts[-1] or b"")
                 if size >= _OUT or k == batch.num_rows - 1:
                     part = batch.slice(first, len(texts))

@@ -12,7 +12,7 @@ from .decontaminate import find_overlaps
 from .feistel import shard_rows
 from .hard_negatives import mine_hard_negatives
 from .line_clean import clean_lines
-from .merge_replay import decode_documents, encode_documents
+from .merge_replay import encode_documents
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .pseudo_lm import score_documents
@@ -71,8 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
+    both = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decode=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
