@@ -134,4 +134,19 @@ SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS
   WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 3
 """
 
-SQL: dict[str, str] = {"op5_shard": _shards(8, 20240201), "op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS, "op13_hard_negatives": _NEGATIVES}
+_PHRASES = rf"""
+WITH p AS (SELECT lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+o AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS around FROM (SELECT lang, w, a, k, n, unnest(range(1, k - n + 2)) AS i FROM c, (VALUES (2), (3)) AS t(n) WHERE n < k) GROUP BY ALL),
+d AS (SELECT c.* FROM c LEFT JOIN o ON o.lang = c.lang AND o.phrase = c.phrase WHERE 100::HUGEINT * coalesce(around, 0) < 80::HUGEINT * a),
+x AS (SELECT d.lang, d.phrase, d.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * d.a // (l.f + r.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM d) d
+  JOIN g l ON l.lang = d.lang AND l.phrase = array_to_string(w[:cut], ' ') JOIN g r ON r.lang = d.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN t ON t.lang = b.lang QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op5_shard": _shards(8, 20240201), "op8_suffix_dedup": _REPEATS, "op9_line_clean": _LINES, "op2_near_duplicates": _NEAR_DUPLICATES, "op6_secrets": _SECRETS, "op10_decontaminate": _OVERLAPS, "op11_phrases": _PHRASES, "op13_hard_negatives": _NEGATIVES}

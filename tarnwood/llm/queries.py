@@ -15,6 +15,7 @@ from .line_clean import clean_lines
 from .merge_replay import encode_documents
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .phrases import mine_phrases
 from .pseudo_lm import score_documents
 from .secrets_scan import KINDS, find_secrets, written
 from .suffix_dedup import remove_repeats
@@ -70,6 +71,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), decode=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -93,6 +98,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_line_clean": op9_line_clean,
         "op10_decontaminate": op10_decontaminate,
+        "op11_phrases": op11_phrases,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_hard_negatives": op13_hard_negatives,
     }
