@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +33,8 @@ from .common import Written
 
 #: The marks that end a piece.
 _CUT = re.compile(rb"[.,;:!?\x0A-\x0D]+")
-#: Word places, and distinct words, that a task holds before it gives out their counts.
-_PLACES, _WORDS = 1 << 21, 1 << 19
+#: Bytes of pieces that a task holds before it gives out their counts.
+_BYTES = 12 << 20
 #: Cells of 64 bits in the field of frequent parts: 8 MB.
 _CELLS = 1 << 20
 #: Memory of one bucket's count; beyond it duckdb spills.
@@ -60,20 +61,6 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([found[x] for x in part], pa.int64())], names=["lang", "piece", "m"])
 
 
-class _Words(dict):
-    """Word -> its number in the task's list; new words are put on the list."""
-
-    def __init__(self, lang: str, names: list[str], langs: list[str], hashes: list[int]):
-        self.lang, self.names, self.langs, self.hashes = lang, names, langs, hashes
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.names)
-        self.names.append(word)
-        self.langs.append(self.lang)
-        self.hashes.append(xxhash.xxh3_64_intdigest(f"{self.lang}\t{word}"))
-        return number
-
-
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One hash of two."""
     x = (left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xBF58476D1CE4E5B9)
@@ -88,7 +75,7 @@ def _set(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A place of each distinct key, the sum of its weights, and each place's key number."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     fresh = np.ones(len(keys), bool)
     fresh[1:] = keys[order[1:]] != keys[order[:-1]]
     starts = np.nonzero(fresh)[0]
@@ -97,64 +84,71 @@ def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[starts], np.add.reduceat(weights[order], starts) if len(starts) else weights[:0], number
 
 
+def _hash(lang: str, word: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{lang}\t{word}")
+
+
+def _counted(lang: str, pieces: pa.Array, weights: np.ndarray, first: int, last: int, field: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The weighted sequences of some pieces of one language, those of equal words added up."""
+    lists = pc.split_pattern(pieces, " ")
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    code, words = found.indices.to_numpy().astype(np.int64), found.dictionary
+    weight = np.repeat(weights, size)
+    room = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # words from here to the piece's end
+    reach, whole = min(first - 1, 2) or 1, np.ones(len(code), bool)
+    if field is not None:
+        hashed = np.fromiter((_hash(lang, w) for w in words.to_pylist()), np.uint64, len(words))[code]
+        if reach == 2:
+            whole[:-1] = _set(field, _mixed(hashed[:-1], hashed[1:]))
+        else:
+            whole = _set(field, hashed)
+    open_, number = whole & (room >= reach), code  # number: of the sequence from here, among those of its length
+    for n in range(1, last + 1):
+        if n > reach:  # the part that ends with the sequence
+            open_[: len(code) - n + reach] &= whole[n - reach :]
+            open_[max(0, len(code) - n + reach) :] = False
+            open_ &= room >= n
+        at = np.nonzero(open_)[0]
+        if not len(at):
+            return
+        if n > 1:
+            key = number[at] << 31 | code[at + n - 1]
+            number = np.zeros(len(code), np.int64)
+            chosen, sums, number[at] = _grouped(key, weight[at])
+        elif first == 1:
+            chosen, sums, _ = _grouped(code[at], weight[at])
+        if n < first:
+            continue
+        at = at[chosen]
+        for k in range(0, len(at), _ROWS):
+            parts = [words.take(pa.array(code[at[k : k + _ROWS] + i])) for i in range(n)]
+            phrases = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(sums[k : k + _ROWS])], names=["lang", "phrase", "n"])
+
+
 def _sequences(first: int, last: int, field: Broadcast | None):
     """Weighted sequences of ``first`` to ``last`` words whose parts of ``first - 1`` words, two at the most, are all in ``field``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, langs, hashes, of_lang = [], [], [], {}
-        places: list[int] = []
-        sizes: list[int] = []
-        weights: list[int] = []
-
-        def rows(at: np.ndarray, n: int, codes: list[int], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(at), _ROWS):
-                part = at[k : k + _ROWS].tolist()
-                phrases = [" ".join(map(names.__getitem__, codes[i : i + n])) for i in part]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[codes[i]] for i in part]), pa.array(phrases), pa.array(sums[k : k + _ROWS])], names=["lang", "phrase", "n"])
+        held: dict[str, list[pa.RecordBatch]] = {}
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            code, size = np.array(places, np.int64), np.array(sizes, np.int64)
-            weight = np.repeat(np.array(weights, np.int64), size)
-            room = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # words from here to the piece's end
-            hashed = np.array(hashes, np.uint64)[code]
-            if first <= 2:
-                whole = np.ones(len(code), bool) if field is None else _set(field.value, hashed)
-                reach = 1
-            else:
-                whole = np.zeros(len(code), bool)
-                whole[:-1] = _set(field.value, _mixed(hashed[:-1], hashed[1:]))
-                reach = 2
-            open_, number = whole & (room >= reach), code  # number: of the sequence from here, among those of its length
-            for n in range(1, last + 1):
-                if n > reach:  # the part that ends with the sequence
-                    open_[: len(code) - n + reach] &= whole[n - reach :]
-                    open_[max(0, len(code) - n + reach) :] = False
-                    open_ &= room >= n
-                at = np.nonzero(open_)[0]
-                if not len(at):
-                    return
-                if n > 1:
-                    key = number[at] << 31 | code[at + n - 1]
-                    number = np.zeros(len(code), np.int64)
-                    chosen, sums, number[at] = _grouped(key, weight[at])
-                elif first == 1:
-                    chosen, sums, _ = _grouped(code[at], weight[at])
-                if n >= first:
-                    yield from rows(at[chosen], n, places, sums)
+            for lang, parts in held.items():
+                rows = pa.Table.from_batches(parts).combine_chunks()
+                pieces = rows.column("piece").combine_chunks()
+                yield from _counted(lang, pieces, rows.column("m").to_numpy(), first, last, None if field is None else field.value)
 
         for batch in batches:
-            for lang, piece, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if lang not in of_lang:
-                    of_lang[lang] = _Words(lang, names, langs, hashes)
-                numbers = list(map(of_lang[lang].__getitem__, piece.split(" ")))
-                places += numbers
-                sizes.append(len(numbers))
-                weights.append(m)
-                if len(places) >= _PLACES or len(names) >= _WORDS:
-                    yield from out()
-                    places, sizes, weights = [], [], []
-                    names, langs, hashes, of_lang = [], [], [], {}
-        if places:
+            langs = batch.column(0).dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                held.setdefault(lang, []).append(batch.filter(pc.equal(langs.indices, k)).select(["piece", "m"]))
+            size += batch.column(1).nbytes
+            if size >= _BYTES:
+                yield from out()
+                held, size = {}, 0
+        if held:
             yield from out()
 
     return run
@@ -186,10 +180,8 @@ def _field(frequent: DataFrame, words: int) -> np.ndarray:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.zeros(batch.num_rows, np.uint64) for _ in range(words)]
-            for k, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                for part, word in zip(parts, phrase.split(" "), strict=True):
-                    part[k] = xxhash.xxh3_64_intdigest(f"{lang}\t{word}")
+            langs, split = batch.column(0).to_pylist(), [p.split(" ") for p in batch.column(1).to_pylist()]
+            parts = [np.fromiter((_hash(lang, p[k]) for lang, p in zip(langs, split, strict=True)), np.uint64, len(langs)) for k in range(words)]
             hashes = parts[0] if words == 1 else _mixed(*parts)
             mask = np.left_shift(np.uint64(1), hashes >> np.uint64(20) & np.uint64(63)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64(_CELLS - 1)).astype(np.int64)), pa.array(mask)], names=["cell", "mask"])
@@ -259,22 +251,22 @@ def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     pieces = Written(rows.mapInArrow(_pieces, "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m")))
     known = pieces.read()
 
-    def counted(first: int, last: int, field: np.ndarray | None) -> DataFrame:
+    def level(first: int, last: int, field: np.ndarray | None) -> DataFrame:
         shared = None if field is None else docs.sparkSession.sparkContext.broadcast(field)
         added = known.mapInArrow(_sequences(first, last, shared), "lang string, phrase string, n long")
         return Written(added.repartition("lang", "phrase").mapInArrow(_bucket(least), "lang string, phrase string, f long")).read()
 
     totals = known.groupBy("lang").agg(F.sum(F.col("m") * F.size(F.split("piece", " "))).alias("n"))
-    levels = [counted(1, 1, None)]
-    levels.append(counted(2, 2, _field(levels[0], 1)))
+    levels = [level(1, 1, None)]
+    levels.append(level(2, 2, _field(levels[0], 1)))
     if longest > 2:
-        levels.append(counted(3, longest, _field(levels[1], 2)))
+        levels.append(level(3, longest, _field(levels[1], 2)))
     totals = Written(totals).read()
     pieces.drop()
     counts, candidates = levels[0], None
-    for level in levels[1:]:
-        counts = counts.unionByName(level)
-        candidates = level if candidates is None else candidates.unionByName(level)
+    for found in levels[1:]:
+        counts = counts.unionByName(found)
+        candidates = found if candidates is None else candidates.unionByName(found)
     candidates = candidates.withColumnRenamed("f", "a")
     scored = _cuts(_freestanding(candidates, inside, longest), counts, longest)
     # First among some of each language's phrases, then among what is left of them.

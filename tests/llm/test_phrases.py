@@ -63,7 +63,7 @@ def test_small_task_memory(spark, monkeypatch):
     rows = texts(random.Random(5))
     want = plain(rows)
     seen = {}
-    for name, value in (("_PLACES", 50), ("_WORDS", 5), ("_ROWS", 3)):
+    for name, value in (("_BYTES", 20), ("_ROWS", 3)):
         monkeypatch.setattr(phrases, name, value)
     pieces = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "piece": ["a b a b c", "a b"], "m": [2, 5]})
     for batch in phrases._sequences(1, 1, None)(iter([pieces])):
