@@ -83,6 +83,10 @@ class Vocabulary:
         return np.where(codes >= _RARE, codes % np.uint64(self.classes or 1) + np.uint64(self.first), codes).astype(np.int32)
 
 
+#: Steps of a hidden value between 0 and 1, as scores take it.
+_STEPS = 256
+
+
 class WindowNetwork:
     """The network's parameters in one flat array, with the passes over a batch of tokens."""
 
@@ -142,10 +146,23 @@ class WindowNetwork:
         order = np.argsort(g.astype(np.uint16), kind="stable")
         return order, np.append(0, np.cumsum(np.bincount(g, minlength=self.side)))
 
-    def log_probability(self, ids: np.ndarray, near: np.ndarray, chunk: int = 16_384) -> np.ndarray:
-        """log P(token | its neighbours) for each token."""
+    def _gridded(self, weights: np.ndarray) -> np.ndarray:
+        """One output's weights on a grid so coarse that their products with hidden values in steps of 1 / ``_STEPS`` add up exactly in float32."""
+        step = 2.0 ** np.ceil(np.log2(max(float(np.abs(weights).max()), 1e-9) * self.width * _STEPS / 2**22))
+        return (np.rint(weights / step) * step).astype(np.float32)
+
+    def log_probability(self, ids: np.ndarray, near: np.ndarray, chunk: int = 16_384, rounded: bool = False) -> np.ndarray:
+        """log P(token | its neighbours) for each token.
+
+        A matrix product's sums come in an order that depends on where a row stands
+        among others. With ``rounded``, hidden values and weights are taken on grids
+        on which no sum is ever rounded, so that a token's value depends on its
+        window alone.
+        """
         out = np.empty(len(ids), np.float64)
         group_w, group_b, word_w, word_b = (self.get(n) for n in ("group", "group_bias", "word", "word_bias"))
+        if rounded:
+            group_w, word_w = self._gridded(group_w), np.stack(list(map(self._gridded, word_w)))
         # |h| is at most 1, so a logit is at most its column's absolute sum.
         safe = [float((np.abs(w).sum(axis=0) + np.abs(b)).max()) < 60 for w, b in [(group_w, group_b), *zip(word_w, word_b, strict=True)]]
         placed = [self.get("embed") * p for p in self.get("place")]
@@ -155,6 +172,10 @@ class WindowNetwork:
             for k in range(1, n.shape[1]):
                 h += placed[k][n[:, k]]
             np.tanh(h, out=h)
+            if rounded:
+                h *= _STEPS
+                np.rint(h, out=h)
+                h /= _STEPS
             g, w = np.divmod(i, self.side)
             score = self._chosen(h @ group_w + group_b, g, safe[0]).astype(np.float64)
             order, ends = self._by_group(g)
@@ -444,7 +465,7 @@ def score(docs: DataFrame, fitted: Fitted, *, id_col: str = "doc_id", text_col:
             for first, counts, codes in _coded(batch.column(1), vocabulary):
                 ids = vocabulary.numbers(codes)
                 owner = np.repeat(np.arange(len(counts)), counts)
-                logs = network.log_probability(ids, network.around(ids, owner))
+                logs = network.log_probability(ids, network.around(ids, owner), rounded=True)
                 sums = np.bincount(owner, weights=logs, minlength=len(counts))
                 mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
                 yield pa.RecordBatch.from_arrays(
@@ -543,7 +564,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 rare = np.flatnonzero(codes >= _RARE)
                 ids = vocabulary.numbers(codes)
                 bucket = (codes[rare] // classes % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-                logs = network.log_probability(ids, network.around(ids, owner))
+                logs = network.log_probability(ids, network.around(ids, owner), rounded=True)
                 own = pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(counts.astype(np.int64)), pa.array(np.bincount(owner, weights=logs, minlength=n))],
                     names=["doc_id", "n_tokens", "log"],

@@ -249,6 +249,21 @@ def test_averages_do_not_depend_on_the_tree(spark, monkeypatch):
         assert np.allclose([got[b] for b in range(pseudo_lm._BLOCKS)], want, atol=1e-6)
 
 
+def test_scores_of_a_token_depend_on_its_window_alone():
+    """Equal bits however tokens are cut into calls; and near what unrounded weights give."""
+    network, rng = pseudo_lm.WindowNetwork(), np.random.default_rng(8)
+    network.flat[:] *= rng.normal(1, 0.5, len(network.flat)).astype(np.float32)
+    network.get("group_bias")[:] = rng.normal(0, 4, 64)
+    network.get("word_bias")[:] = rng.normal(0, 4, (64, 64))
+    ids = rng.integers(0, 4096, 6000).astype(np.int32)
+    near = network.around(ids, np.arange(6000) // 50)
+    whole = network.log_probability(ids, near, rounded=True)
+    for cut in (1, 7, 50, 333, 4000):
+        parts = [network.log_probability(ids[a : a + cut], near[a : a + cut], rounded=True) for a in range(0, 6000 if cut > 1 else 300, cut)]
+        assert np.array_equal(np.concatenate(parts), whole[: 6000 if cut > 1 else 300])
+    assert np.abs(whole - network.log_probability(ids, near)).mean() < 0.01
+
+
 def test_words_of_a_class_have_probabilities_of_their_own(spark):
     """More words than the vocabulary holds: each token's probability is its class's times its share of the class's tokens."""
     common = [f"common{i}" for i in range(3584)]
