@@ -33,6 +33,11 @@ class Engine:
         """A stored table; an empty one of its schema before the first write."""
         return self.store.read(name) if self.store.exists(name) else self.spark.createDataFrame([], TABLES[name])
 
+    def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """A stored table as ``change`` makes it; another writer's rows that come meanwhile are changed too."""
+        none = self.spark.createDataFrame([], TABLES[name])
+        self.store.replace(name, lambda rows: change(none if rows is None else rows))
+
     def _insert(self, name: str, row: dict) -> str:
         row = {"id": uuid.uuid4().hex, **row}
         schema = self.spark.createDataFrame([], TABLES[name]).schema
@@ -91,7 +96,7 @@ class Engine:
     def procedure_ran(self, key: str, success: bool) -> None:
         n = F.col("times_used")
         rate = (F.coalesce("success_rate", F.lit(0.0)) * n + F.lit(float(success))) / (n + 1)
-        self.store.write("procedures", tables.updated(self.table("procedures"), F.col("id") == key, {"success_rate": rate, "times_used": n + 1}))
+        self._change("procedures", lambda rows: tables.updated(rows, F.col("id") == key, {"success_rate": rate, "times_used": n + 1}))
 
     def recall(self, key: str) -> DataFrame:
         """The table and row of an id, looked for in a fixed order, documents by path last."""
@@ -126,7 +131,7 @@ class Engine:
 
     def experience_outcome(self, key: str, success: bool) -> None:
         after = scores.confidence_after(F.col("confidence"), F.lit(success))
-        self.store.write("experiences", tables.updated(self.table("experiences"), F.col("id") == key, {"confidence": after}))
+        self._change("experiences", lambda rows: tables.updated(rows, F.col("id") == key, {"confidence": after}))
 
     def procedure_create(self, name: str, description: str, steps: str, now: datetime.datetime) -> str:
         """A procedure of a new name; a name that is taken is an error."""
@@ -135,18 +140,18 @@ class Engine:
         return self._insert("procedures", {"name": name, "description": description, "steps": steps, "times_used": 0, "created_at": now})
 
     def forget(self, key: str) -> None:
-        self.store.write("memories", tables.forgotten(self.table("memories"), F.col("id") == key))
+        self._change("memories", lambda rows: tables.forgotten(rows, F.col("id") == key))
 
     def session_start(self, goal: str, now: datetime.datetime, *, agent_id: str | None = None, parent: str | None = None) -> str:
         return self._insert("sessions", {"goal": goal, "agent_id": agent_id, "parent_session_id": parent, "status": "active", "started_at": now})
 
     def session_end(self, key: str, summary: str, now: datetime.datetime) -> None:
         done = {"status": F.lit("completed"), "summary": F.lit(summary), "ended_at": F.lit(now)}
-        self.store.write("sessions", tables.updated(self.table("sessions"), F.col("id") == key, done))
+        self._change("sessions", lambda rows: tables.updated(rows, F.col("id") == key, done))
 
     def session_embedding(self, key: str, vector: list[float]) -> None:
         value = F.array(*map(F.lit, vector)).cast("array<float>")
-        self.store.write("sessions", tables.updated(self.table("sessions"), F.col("id") == key, {"embedding": value}))
+        self._change("sessions", lambda rows: tables.updated(rows, F.col("id") == key, {"embedding": value}))
 
     def trading_result_store(self, strategy: str, now: datetime.datetime, *, symbol: str | None = None, notes: str | None = None, pnl: float | None = None) -> str:
         return self._insert("trading_results", {"strategy": strategy, "symbol": symbol, "notes": notes, "pnl": pnl, "created_at": now})
@@ -157,8 +162,7 @@ class Engine:
 
     def session_compact(self, key: str) -> None:
         """Put the older one of each two nearly equal memories of a session aside."""
-        m = self.table("memories")
-        self.store.write("memories", mining.compacted(m, mining.compaction_pairs(m.where(F.col("session_id") == key))))
+        self._change("memories", lambda rows: mining.compacted(rows, mining.superseded(rows.where(F.col("session_id") == key))))
 
     # Looking on
 

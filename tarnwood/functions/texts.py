@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pairs of words that contradict each other.
 ANTONYMS = (
@@ -77,6 +80,51 @@ def contradiction_signals(a: Column, b: Column, pairs=ANTONYMS) -> Column:
     return reduce(lambda s, h: s + h, hit)
 
 
+def _finder(pairs):
+    """An automaton that finds all words of the pairs in one pass; each word has its bits on either side."""
+    import ahocorasick
+
+    bits: dict[str, list[int]] = {}
+    for k, pair in enumerate(pairs):
+        for side, word in enumerate(pair):
+            bits.setdefault(word, [0, 0])[side] |= 1 << k
+    found = ahocorasick.Automaton()
+    for word, masks in bits.items():
+        found.add_word(word, tuple(masks))
+    found.make_automaton()
+    return found
+
+
+def with_opposites(rows: DataFrame, text_col: str, pairs=ANTONYMS) -> DataFrame:
+    """The rows with ``left_words`` and ``right_words``: a bit for each pair whose first, or second, word stands in the text, as part of a word too.
+
+    Each text is gone through once, for all words together; what two texts say
+    against each other is then a count of bits. A null text holds no word.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("left_words", T.LongType()), T.StructField("right_words", T.LongType())])
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(pairs)
+        for batch in batches:
+            sides: tuple[list, list] = ([], [])
+            texts = batch.column(at)
+            for k in range(batch.num_rows):
+                text, left, right = texts[k].as_py(), 0, 0
+                for masks in {m for _, m in finder.iter(text.lower())} if text else ():
+                    left, right = left | masks[0], right | masks[1]
+                for side, mask in zip(sides, (left, right), strict=True):
+                    side.append(mask)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s, pa.int64()) for s in sides)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def opposite_signals(left_a: Column, right_a: Column, left_b: Column, right_b: Column) -> Column:
+    """What ``contradiction_signals`` counts, from the bits of two texts."""
+    return F.bit_count(left_a.bitwiseAND(right_b).bitwiseOR(right_a.bitwiseAND(left_b)))
+
+
 def vault_section(path: Column) -> Column:
     """First component of a relative path; a file at the root is its own."""
     return F.split(path, "/")[0]

@@ -1,13 +1,17 @@
-"""All-pairs comparison of vectors by blocks of matrix products.
+"""Comparison of vectors with each other by blocks, without the pairs of blocks that cannot reach the threshold.
 
-Vectors are dealt into blocks of ``size``; each two blocks are one row, and their
-similarities one matrix product, so no row is ever made for a pair that fails the
-threshold. The work grows with the square of the vectors, as exact comparison
-does, but spreads evenly over the tasks.
+Angles between vectors are a metric. Vectors are dealt by the nearest of some
+pivots, and within it by rings of equal angle to it, into blocks of about
+``size``. A block knows its least and largest angle to every pivot; if for any
+pivot the ranges of two blocks lie further apart than the threshold's angle, no
+pair of them can be near enough, and the two are never brought together. The
+others meet as one row, their similarities one matrix product, so no row is made
+for a pair that fails the threshold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +19,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pivots, and rows among which they are chosen, at the most.
+_PIVOTS, _SAMPLE = 64, 2048
+#: Angles may be off by so much.
+_SLACK = 1e-6
 
-def _matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array([r["id"] for r in rows], np.int64)
-    m = np.array([r["v"] for r in rows], np.float64)
+
+def _matrix(values: list) -> np.ndarray:
+    """Unit vectors as rows; a vector without length stays zero."""
+    m = np.array(values, np.float64)
+    m = m.reshape(len(values), -1)
     norms = np.linalg.norm(m, axis=1)
-    return ids, m / np.where(norms > 0, norms, np.inf)[:, None]
+    return m / np.where(norms > 0, norms, np.inf)[:, None]
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def chosen_pivots(units: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows far from each other: each the one farthest from those before it."""
+    picked = [0]
+    far = _angles(units, units[:1])[:, 0]
+    while len(picked) < min(n, len(units)):
+        k = int(np.argmax(far))
+        if far[k] <= _SLACK:
+            break
+        picked.append(k)
+        far = np.minimum(far, _angles(units, units[k : k + 1])[:, 0])
+    return units[picked]
+
+
+def _placed(clean: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(``id``, ``v``, ``part``, ``own``, ``angles``): each vector with its nearest pivot and its angles to all."""
+    shared = clean.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angles = _angles(_matrix(batch.column(1).to_pylist()), shared.value)
+                part = np.argmin(angles, axis=1)
+                listed = pa.array(list(angles), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(angles[np.arange(len(part)), part]), listed], names=["id", "v", "part", "own", "angles"])
+
+    return clean.mapInArrow(run, "id long, v array<double>, part int, own double, angles array<double>")
+
+
+def _dealt(placed: DataFrame, size: int) -> DataFrame:
+    """The vectors with their ``block``: by pivot, by ring, and by id where a ring holds more than ``size``."""
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("own").alias("least"), F.max("own").alias("most"))
+    rings = F.ceil(F.col("n") / size)
+    width = F.greatest((F.col("most") - F.col("least")) / rings, F.lit(1e-12))
+    ringed = placed.join(F.broadcast(parts), "part")  # a row for each pivot
+    ringed = ringed.withColumn("ring", F.least(F.floor((F.col("own") - F.col("least")) / width), rings - 1).cast("int")).drop("n", "least", "most")
+    full = ringed.groupBy("part", "ring").agg(F.ceil(F.count("*") / size).cast("int").alias("splits"))
+    split = F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")
+    return ringed.join(full, ["part", "ring"]).withColumn("block", F.format_string("%d-%d-%d", "part", "ring", split)).select("id", "v", "part", "block", "angles")
+
+
+def _gap(a, b) -> float:
+    """How far the ranges of two lie apart, by the pivot that tells most."""
+    return max(max(p - q, r - s) for p, q, r, s in zip(a["least"], b["most"], b["least"], a["most"], strict=True))
+
+
+def _blocks(vectors: DataFrame, threshold: float, id_col: str, vector_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """The blocks with their vectors, and the pairs of blocks that are to be compared."""
+    clean = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    if threshold >= 0:  # a vector without length has no angle, and is like nothing
+        clean = clean.where(F.exists("v", lambda x: x != 0))
+    count = clean.count()
+    n = min(_PIVOTS, max(1, math.isqrt(-(-count // size)) * 4))
+    some = clean.orderBy(F.xxhash64("id"), "id").limit(_SAMPLE).collect()  # a bounded sample, which decides where blocks lie and no result
+    pivots = chosen_pivots(_matrix([r["v"] for r in some]), n) if some else np.zeros((1, 1))
+    dealt = _dealt(_placed(clean, pivots), size)
+    bound = lambda agg, k: agg(F.col("angles")[k])
+    each = range(len(pivots))
+    packed = dealt.groupBy("part", "block").agg(
+        F.array(*[bound(F.min, k) for k in each]).alias("least"), F.array(*[bound(F.max, k) for k in each]).alias("most"), F.collect_list(F.struct("id", "v")).alias("rows"),
+    )
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + _SLACK
+    ranges = packed.select("part", "block", "least", "most")
+    held = ranges.groupBy("part").agg(*[F.array(*[f(F.col(c)[k]) for k in each]).alias(c) for c, f in (("least", F.min), ("most", F.max))]).collect()  # a row for each pivot
+    near = [(a["part"], b["part"]) for a in held for b in held if a["part"] <= b["part"] and (threshold < 0 or _gap(a, b) <= reach)]
+    x, y = (ranges.select(*[F.col(c).alias(f"{c}_{s}") for c in ranges.columns]) for s in "xy")
+    parts = dealt.sparkSession.createDataFrame(near, "part_x int, part_y int")
+    pairs = x.join(F.broadcast(parts), "part_x").join(y, "part_y").where("part_x < part_y or block_x <= block_y")
+    if threshold >= 0:
+        gaps = [F.greatest(F.col("least_x")[k] - F.col("most_y")[k], F.col("least_y")[k] - F.col("most_x")[k]) for k in each]
+        pairs = pairs.where(F.array_max(F.array(*gaps)) <= reach)
+    pairs = pairs.select(F.col("block_x").alias("bx"), F.col("block_y").alias("by"))
+    return packed, pairs
+
+
+def block_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", vector_col: str = "embedding", size: int = 512) -> DataFrame:
+    """(``bx``, ``by``): the pairs of blocks that ``similar_pairs`` compares."""
+    return _blocks(vectors, threshold, id_col, vector_col, size)[1]
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", vector_col: str = "embedding", size: int = 512, keep_all: bool = False) -> DataFrame:
@@ -29,28 +122,24 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "id", v
     By default ``a < b``; with ``keep_all`` both orders and each vector with
     itself. Null vectors are left out. The vectors must have one dimension.
     """
-    clean = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-clean.count() // size))
-    dealt = clean.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    packed, pairs = _blocks(vectors, threshold, id_col, vector_col, size)
     left, right = (packed.select(F.col("block").alias(f"b{x}"), F.col("rows").alias(f"rows_{x}")) for x in "xy")
-    plan = packed.sparkSession.range(blocks).select(F.col("id").cast("int").alias("bx"))
-    plan = plan.withColumn("by", F.explode(F.sequence(F.col("bx"), F.lit(blocks - 1))))
-    paired = plan.join(left, "bx").join(right, "by").select("bx", "by", "rows_x", "rows_y")
+    paired = pairs.join(left, "bx").join(right, "by").select("bx", "by", "rows_x", "rows_y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (ia, a), (ib, b) = (_matrix(batch.column(j)[k].as_py()) for j in (2, 3))
+                rows = [batch.column(j)[k].as_py() for j in (2, 3)]
+                (ia, a), (ib, b) = ((np.array([r["id"] for r in side], np.int64), _matrix([r["v"] for r in side])) for side in rows)
                 score = np.floor((a @ b.T) * 1e9 + 0.5) / 1e9
                 x, y = np.nonzero(score > threshold)
                 s, x, y = score[x, y], ia[x], ib[y]
+                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
                 if keep_all:
-                    if batch.column(0)[k].as_py() != batch.column(1)[k].as_py():
+                    if not same:
                         x, y, s = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])
                 else:
-                    twice = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                    once = x < y if twice else np.ones(len(x), bool)
+                    once = x < y if same else np.ones(len(x), bool)
                     x, y, s = np.minimum(x, y)[once], np.maximum(x, y)[once], s[once]
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s)], names=["a", "b", "score"])
 

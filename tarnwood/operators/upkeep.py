@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import batches_in_order, last_before, numbered
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
     """The newest row of each key, ties by the larger ``tie``.
@@ -88,37 +87,19 @@ def pack_batches(rows: DataFrame, order: str, bytes_col: str, group: str, max_ro
     """Rows with their ``batch``, greedily filled in order within each group, up to either limit.
 
     A row over the byte limit has a batch to itself. Batches restart with every
-    group, such as a table or device, so groups are packed side by side.
+    group, such as a table or device; a group of any size is dealt over tasks.
     """
-    names, at = [*rows.columns, "batch"], (rows.columns.index(group), rows.columns.index(bytes_col))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, number, count, size = object(), 0, 0, 0
-        for batch in batches:
-            out = []
-            for g, b in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
-                b = b or 0
-                if g != current:
-                    current, number, count, size = g, 0, 0, 0
-                elif count >= max_rows or size + b > max_bytes:
-                    number, count, size = number + 1, 0, 0
-                count, size = count + 1, size + b
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=names)
-
-    dealt = rows.repartition(group).sortWithinPartitions(group, order)
-    return dealt.mapInArrow(pack, rows.withColumn("batch", F.lit(0)).schema)
+    return batches_in_order(rows, order, bytes_col, group, max_rows, max_bytes)
 
 
 def logical_clock(events: DataFrame, device: str, ts: str, key: str) -> DataFrame:
-    """Events with ``logical_time``, counted from 1 on each device."""
-    return events.withColumn("logical_time", F.row_number().over(Window.partitionBy(device).orderBy(ts, key)))
+    """Events with ``logical_time``, counted from 1 on each device; a device's events are counted by ranges, side by side."""
+    return numbered(events, [device], [ts, key], "logical_time")
 
 
 def attach_to_preceding(records: DataFrame, order: str, is_head: Column, value: str, within: str | None = None) -> DataFrame:
     """Rows with ``head``: the ``value`` of the nearest head row at or before them."""
-    w = Window.partitionBy(*([within] if within else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("head", F.last(F.when(is_head, F.col(value)), ignorenulls=True).over(w))
+    return last_before(records, [within] if within else [], order, F.when(is_head, F.col(value)), "head")
 
 
 def recent(rows: DataFrame, ts: str, key: str, limit: int, where: Column | None = None) -> DataFrame:

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +12,9 @@ from ..functions import embedding, texts
 from ..functions.embedding import hashed_vector
 from ..operators import textindex
 from ..sources import configs, files
-from ..streaming import intake
+from ..streaming import intake, outbox
 from . import store
-from .fixtures import AS_OF, as_of, table
+from .fixtures import AS_OF, as_of, scratch, table
 from .queries import _LOG, _log, query
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -25,19 +22,11 @@ NOW = datetime.datetime(2024, 1, 1)
 _PLACES = "(SELECT n_nationkey AS k, n_name AS name, replace(r_name, ' ', '_') AS region FROM nation JOIN region ON r_regionkey = n_regionkey)"
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints; a temporary one only on a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='files-')).rstrip('/')}/tarnwood-{uuid.uuid4().hex}"
-
-
 def _folder(spark: SparkSession, d: str, made) -> str:
     """A folder with a small file for each nation that ``made(key, name, region)`` gives a (path, text) for; 25 rows at every scale."""
     region = F.replace("r_name", F.lit(" "), F.lit("_")).alias("region")
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", region)
-    root, path = _scratch(spark), spark._jvm.org.apache.hadoop.fs.Path
+    root, path = scratch(spark), spark._jvm.org.apache.hadoop.fs.Path
     system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(root))
     for k, name, where in sorted(map(tuple, rows.collect())):
@@ -51,7 +40,7 @@ def _folder(spark: SparkSession, d: str, made) -> str:
 
 
 def _engine(spark: SparkSession, vectors: bool = False) -> Engine:
-    return Engine(spark, _scratch(spark), (lambda t: hashed_vector(t, 32).tolist()) if vectors else None)
+    return Engine(spark, scratch(spark), (lambda t: hashed_vector(t, 32).tolist()) if vectors else None)
 
 
 def _regions(spark: SparkSession, d: str) -> list[tuple[int, str]]:
@@ -64,7 +53,7 @@ def _regions(spark: SparkSession, d: str) -> list[tuple[int, str]]:
 
 @query("src01_store_read", "SELECT n_nationkey, n_name FROM nation")
 def store_read(spark, d):
-    held = store.Store(spark, _scratch(spark))
+    held = store.Store(spark, scratch(spark))
     held.write("nation", table(spark, d, "nation"))
     return held.read("nation").select("n_nationkey", "n_name")
 
@@ -215,7 +204,7 @@ def source_sessions(spark, d):
 
 @query("snk18_inserts", "SELECT 'memories' AS label, count(*) AS n FROM nation UNION ALL SELECT 'sessions', count(*) FROM region UNION ALL SELECT 'experiences', count(*) FROM nation WHERE n_nationkey % 2 = 0")
 def inserts(spark, d):
-    held, nation = store.Store(spark, _scratch(spark)), table(spark, d, "nation")
+    held, nation = store.Store(spark, scratch(spark)), table(spark, d, "nation")
     for part in (0, 1):
         held.append("memories", nation.where(F.col("n_nationkey") % 2 == part).select(F.col("n_name").alias("content")))
     held.append("sessions", table(spark, d, "region").select(F.col("r_name").alias("goal")))
@@ -224,18 +213,20 @@ def inserts(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("snk29_reindex", "SELECT doc_id, 64 AS dimension FROM documents WHERE trim(text) <> ''")
+@query("snk29_reindex", "SELECT doc_id, 64 AS dimension, CASE WHEN doc_id % 3 = 0 THEN 32.0 END AS kept_sum FROM documents WHERE trim(text) <> ''")
 def reindex(spark, d):
     rows = table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(0.5).cast("float"), 64)).alias("embedding"))
-    return store.repaired_embeddings(rows, F.col("text"), embedding.embedder(64)).select("doc_id", F.size("embedding").alias("dimension"))
+    done = store.repaired_embeddings(rows.withColumn("had", F.col("embedding").isNotNull()), F.col("text"), embedding.embedder(64))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return done.select("doc_id", F.size("embedding").alias("dimension"), F.when(F.col("had"), total).alias("kept_sum"))
 
 
-_TERMS = "list_filter(string_split_regex(lower(substr({}, 1, 500000)), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in textindex.STOP) + "))"
+_TERMS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in sorted(textindex.STOP)) + "))"
 
 
 @query("snk30_backfill", f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
 def backfill(spark, d):
-    held = store.Store(spark, _scratch(spark))
+    held = store.Store(spark, scratch(spark))
     held.write("postings", textindex.postings(table(spark, d, "documents"), id_col="doc_id", text_col="text"))
     return held.read("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
@@ -250,15 +241,34 @@ def index_upkeep(spark, d):
 
 @query("snk36_stream_applied", f"SELECT record_key, payload FROM (SELECT record_key, payload, row_number() OVER (PARTITION BY record_key ORDER BY created_at DESC, event_id DESC) AS r FROM {_LOG} WHERE operation = 'upsert') WHERE r = 1")
 def stream_applied(spark, d):
-    root = _scratch(spark)
+    root = scratch(spark)
     _log(spark, d).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(_log(spark, d).schema).parquet(f"{root}/in")
     return intake.apply_stream(stream, store.Store(spark, f"{root}/state"), "rows", f"{root}/offsets").select("record_key", "payload")
 
 
+@query(
+    "str03_stream_outbox",
+    """WITH c AS (SELECT user_id, count(*) AS generation, max(struct_pack(ts, event_id, event_type)) AS l FROM events WHERE event_type <> 'error' GROUP BY user_id)
+       SELECT c.user_id, generation, l.event_type AS operation, l.event_id AS event_id, (SELECT count(*) FROM events e WHERE e.user_id = c.user_id AND event_type = 'error' AND (e.ts, e.event_id) > (l.ts, l.event_id))::INT AS attempts,
+         true AS pending FROM c""",
+)
+def stream_outbox(spark, d):
+    root, users = scratch(spark), F.col("user_id")
+    kind = F.when(F.col("event_type") == "error", "failed").otherwise("change").alias("kind")
+    rows = table(spark, d, "events").select("user_id", kind, F.col("event_type").alias("operation"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.lit(None).cast("long").alias("generation"))
+    cut = rows.agg(F.expr("percentile_approx(at, array(0.33, 0.67))").alias("q")).first()["q"]
+    for low, high in ((None, cut[0]), (cut[0], cut[1]), (cut[1], None)):  # three deliveries, one after the other; a user's rows of each are one file
+        part = rows if low is None else rows.where(F.col("at") > F.lit(low))
+        (part if high is None else part.where(F.col("at") <= F.lit(high))).repartition(4, users).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    last = outbox.run_outbox(spark, stream, ["user_id"], f"{root}/out", f"{root}/offsets")
+    return last.where("generation > 0").select("user_id", "generation", "operation", "event_id", "attempts", "pending")
+
+
 @query("snk37_rehydrated", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def rehydrated(spark, d):
-    root, rows = _scratch(spark), table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    root, rows = scratch(spark), table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     store.bundle(rows, "c_custkey")[0].write.text(f"{root}/dump")
     held = store.Store(spark, f"{root}/tables")
     held.write("customer", rows.limit(0))
@@ -268,7 +278,7 @@ def rehydrated(spark, d):
 
 @query("snk38_script_writes", "SELECT n_name AS name, 'session' AS kind FROM nation UNION ALL SELECT n_name, 'session' FROM nation UNION ALL SELECT r_name, 'agent' FROM region")
 def script_writes(spark, d):
-    held = store.Store(spark, _scratch(spark))
+    held = store.Store(spark, scratch(spark))
     names = table(spark, d, "region").select(F.col("r_name").alias("name"))
     for _ in range(2):  # sessions are inserted each time, agents only if they are not there
         held.append("sessions", table(spark, d, "nation").select(F.col("n_name").alias("name")))

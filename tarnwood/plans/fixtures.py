@@ -6,12 +6,26 @@ from ids by fixed rules, the same on both sides.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem
+
 AS_OF = "2024-02-01 00:00:00"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints; a temporary one only on a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='files-')).rstrip('/')}/tarnwood-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,14 +72,25 @@ SCORED = """(SELECT e.vec_id AS id, round(list_sum(list_transform(list_zip(e.emb
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
 
 
-def bm25_sql(query_words: list[str]) -> str:
-    """(id, score) of documents that hold all the words, as a subquery."""
-    stop = "('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with')"
-    tf = ", ".join(f"len(list_filter(t, lambda w: w = '{w}')) AS tf{i}" for i, w in enumerate(query_words))
-    df = ", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in range(len(query_words)))
-    raw = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(query_words)))
-    held = " AND ".join(f"tf{i} > 0" for i in range(len(query_words)))
-    return f"""(WITH tok AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(substr(text, 1, 500000)), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN {stop}) AS t FROM documents),
-  c AS (SELECT id, len(t) AS length, {tf} FROM tok), s AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM c),
-  r AS (SELECT id, {raw} AS raw FROM c, s WHERE {held})
-  SELECT id, round(raw / (raw + 1), 9) AS score FROM r)"""
+#: The endings that words of the tables' invented prose take, for the forms that the twins list.
+_ENDINGS = ("", "e", "s", "es", "ed", "ing", "ly", "edly", "ingly", "er", "ers", "eder")
+
+
+def forms(word: str) -> list[str]:
+    """The words that share the stem of ``word``, made of that stem and the endings above."""
+    base = stem(word)
+    return sorted({w for ending in _ENDINGS for w in (base + ending, base.removesuffix("e") + ending) if stem(w) == base} | {word})
+
+
+def keyword_sql(query_words: list[str], source: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
+    """(id, score) of the texts that hold a form of each of two or more words, by how close they stand, as a subquery."""
+    n = len(query_words)
+    listed = ["(" + ", ".join(f"'{f}'" for f in forms(w)) + ")" for w in query_words]
+    places = ", ".join(f"list_sort(list_distinct(list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] IN {f}), lambda i: least(i, 16383))))[:255] AS p{k}" for k, f in enumerate(listed))
+    held = " AND ".join(f"len(p{k}) > 0" for k in range(n))
+    close = "CASE WHEN d > 100 THEN 0.1 * sqrt(1e-30) ELSE 0.1 * sqrt(1 / (1.005 + 0.05 * exp(d / 1.5 - 2))) END"
+    pair = "coalesce(list_sum(flatten(list_transform(p{}, lambda a: list_transform(list_filter(list_transform(p{}, lambda b: abs(a - b)), lambda d: d > 0), lambda d: ln(1 - " + close + "))))), 0)"
+    rest = " + ".join(pair.format(i, j) for i in range(n) for j in range(i + 1, n))
+    return f"""(WITH tok AS (SELECT {id_col} AS id, list_filter(string_split_regex(lower(coalesce({text_col}, '')), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM {source}),
+  c AS (SELECT id, {places} FROM tok), r AS (SELECT id, 1 - exp({rest}) AS raw FROM c WHERE {held})
+  SELECT id, floor(raw / (raw + 1) * 1e9 + 0.5) / 1e9 AS score FROM r)"""

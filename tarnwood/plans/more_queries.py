@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import embedding, markup, scores, texts, vectors
-from ..operators import catalog, graph, mining, retrieval, textindex, upkeep
+from ..operators import catalog, digests, graph, mining, retrieval, textindex, upkeep
 from ..sources import configs, files, sessions
 from ..streaming import intake
 from . import cdc, store
@@ -195,19 +195,29 @@ def access_log(spark, d):
 )
 def compacted(spark, d):
     m = memories(spark, d)
-    return mining.compacted(m, mining.compaction_pairs(m, 0.9, group_col="lang")).select("id", "importance", F.size("tags").cast("long").alias("n_tags"))
+    return mining.compacted(m, mining.superseded(m, 0.9, group_col="lang")).select("id", "importance", F.size("tags").cast("long").alias("n_tags"))
 
 
-@query("snk28_repair", "SELECT doc_id AS id, true AS filled FROM documents WHERE trim(text) <> ''")
+@query(
+    "snk28_repair",
+    """SELECT doc_id AS id, 64 AS dimension, round(embedding[1]::DOUBLE, 6) AS kept_first, round(embedding[64]::DOUBLE, 6) AS kept_last
+       FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE trim(text) <> ''""",
+)
 def repair(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(stored_vectors(spark, d).select("id", "embedding"), "id", "left")
-    done = store.repaired_embeddings(rows, F.col("text"), embedding.embedder(64))
-    return done.select("id", F.col("embedding").isNotNull().alias("filled"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(stored_vectors(spark, d).select("id", "embedding"), "id", "left").withColumn("had", F.col("embedding").isNotNull())
+    done = store.repaired_embeddings(rows, F.col("text"), embedding.embedder(64)).where("embedding is not null and trim(text) <> ''")
+    kept = lambda k: F.when(F.col("had"), F.round(F.col("embedding")[k].cast("double"), 6))
+    return done.select("id", F.size("embedding").alias("dimension"), kept(0).alias("kept_first"), kept(63).alias("kept_last"))
 
 
-@query("snk31_bundle", "SELECT count(*) AS records FROM orders WHERE o_orderstatus = 'P'")
+@query(
+    "snk31_bundle",
+    """WITH v AS (SELECT '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || '}' AS value FROM orders WHERE o_orderstatus = 'P'), h AS (SELECT value, sha256(value) AS d FROM v),
+       c AS (SELECT value, ('0x' || d[1:15])::BIGINT AS a, ('0x' || d[16:30])::BIGINT AS b, ('0x' || d[31:45])::BIGINT AS c, ('0x' || d[46:60])::BIGINT AS e FROM h)
+       SELECT count(*) AS records, sum(strlen(value) + 1)::BIGINT AS bytes, sha256(concat_ws(',', sum(a)::HUGEINT::VARCHAR, sum(b)::HUGEINT::VARCHAR, sum(c)::HUGEINT::VARCHAR, sum(e)::HUGEINT::VARCHAR)) AS sha256 FROM c""",
+)
 def bundle(spark, d):
-    return store.bundle(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey"), "o_orderkey")[1].select("records")
+    return store.bundle(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey"), "o_orderkey")[1].select("records", "bytes", "sha256")
 
 
 @query("snk32_restored", "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 3 = 0 ORDER BY o_orderdate, o_orderkey LIMIT 30")
@@ -347,6 +357,18 @@ def audit(spark, d):
     return upkeep.hash_audit(local, remote, "id", local.columns)
 
 
+@query(
+    "str09_digest_tree",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1009 = 0 THEN 'missing' ELSE 'mismatch' END AS reason FROM orders WHERE o_orderkey % 1009 = 0 OR o_orderkey % 997 = 0
+       UNION ALL SELECT -c_custkey, 'extra' FROM customer WHERE c_custkey % 211 = 0""",
+)
+def digest_audit(spark, d):
+    local = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
+    changed = local.withColumn("o_orderstatus", F.when(F.col("id") % 997 == 0, "?").otherwise(F.col("o_orderstatus"))).where("id % 1009 <> 0")
+    extra = table(spark, d, "customer").where("c_custkey % 211 = 0").select((-F.col("c_custkey")).alias("id"), F.lit(0.0).cast(local.schema["o_totalprice"].dataType).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
+    return digests.tree_audit(local, changed.unionByName(extra), "id", local.columns)
+
+
 @query("join19_verified", "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000")
 def verified(spark, d):
     good = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
@@ -497,7 +519,7 @@ def jaccard(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(texts.jaccard(texts.word_set(F.col("p_name")), texts.word_set(F.col("p_type"))), 9).alias("similarity"))
 
 
-@query("scl15_terms", "SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with'))) AS n FROM documents")
+@query("scl15_terms", "SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in sorted(textindex.STOP)) + "))) AS n FROM documents")
 def term_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(textindex.terms(F.col("text"))).cast("long").alias("n"))
 

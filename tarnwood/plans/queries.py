@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import scores, texts, vectors
 from ..operators import catalog, mining, retrieval, textindex, upkeep
 from . import cdc, store
-from .fixtures import AS_OF, MEMORIES, SCORED, as_of, bm25_sql, memories, query_vector, table
+from .fixtures import AS_OF, MEMORIES, SCORED, as_of, keyword_sql, memories, query_vector, scratch, table
 from .fixtures import vectors as stored_vectors
 
 #: Two words that occur together at every scale, in documents on both sides of the fusion and with equal scores among them.
 QUERY = "thth hest"
-KW = bm25_sql(["hest", "thth"])
+KW = keyword_sql(["hest", "thth"])
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
 VEC20 = f"(SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {SCORED} WHERE score > 0 ORDER BY score DESC, id LIMIT 20)"
 KW20 = f"(SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {KW} ORDER BY score DESC, id LIMIT 20)"
@@ -67,6 +67,30 @@ def fts_rank(spark, d):
     return textindex.fts_topk(memories(spark, d), QUERY, 20)
 
 
+#: Words in forms that are no stems themselves, and rarely the ones that the documents hold.
+FORMS = "ering Aned"
+
+
+@query("ret02_stemmed", f"SELECT id, score FROM {keyword_sql(['ering', 'aned'])} ORDER BY score DESC, id LIMIT 100")
+def stemmed(spark, d):
+    return textindex.fts_topk(memories(spark, d), FORMS, 100)
+
+
+def _index(spark, rows: DataFrame, **how) -> textindex.TextIndex:
+    """An index of some rows, built in the shared folder."""
+    return textindex.TextIndex(spark, scratch(spark)).build(rows, **how)
+
+
+@query("ret02_index_search", f"SELECT id, score FROM {KW} ORDER BY score DESC, id LIMIT 20")
+def index_search(spark, d):
+    return _index(spark, memories(spark, d), grams=False).search(QUERY, 20)
+
+
+@query("ret02_index_stemmed", f"SELECT id, score FROM {keyword_sql(['ering', 'aned'])} ORDER BY score DESC, id LIMIT 100")
+def index_stemmed(spark, d):
+    return _index(spark, memories(spark, d), grams=False, block_docs=256).search(FORMS, 100)
+
+
 @query(
     "ret02_trigram",
     """WITH w AS (SELECT p_partkey AS id, list_distinct(flatten(list_transform(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')),
@@ -96,6 +120,30 @@ def fallback(spark, d):
     return textindex.keyword_topk(table(spark, d, "part"), "cold widge", 40, id_col="p_partkey", text_col="p_name")
 
 
+@query(
+    "ret02_index_fallback",
+    f"""WITH w AS (SELECT p_partkey AS id, {_GRAMS.format("p_name")} AS t, {_GRAMS.format("'cold widge'")} AS q FROM part),
+       s AS (SELECT id, round(len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q)))::DOUBLE, 9) AS score FROM w)
+       SELECT id, score FROM s WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 40""",
+)
+def index_fallback(spark, d):
+    return _index(spark, table(spark, d, "part"), id_col="p_partkey", text_col="p_name").keyword("cold widge", 40)
+
+
+_LABELS = "p_name || ' ' || p_brand || ' ' || p_type"
+
+
+@query(
+    "fil08_index_trigram",
+    f"""WITH w AS (SELECT p_partkey AS id, {_GRAMS.format(_LABELS)} AS t FROM part), q AS (SELECT t AS g FROM w WHERE id = 11)
+       SELECT id, round(len(list_intersect(t, g)) / len(list_distinct(list_concat(t, g)))::DOUBLE, 9) AS score FROM w, q
+       WHERE round(len(list_intersect(t, g)) / len(list_distinct(list_concat(t, g)))::DOUBLE, 9) >= 0.4 ORDER BY score DESC, id LIMIT 50""",
+)
+def index_trigram(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("content"))
+    return _index(spark, rows).similar(rows.where("id = 11").first()["content"], 50, least=0.4)
+
+
 @query(
     "ret04_legacy_hybrid",
     f"""WITH b AS (SELECT id, score, 0 AS side, rank FROM {VEC20} UNION ALL SELECT id, score, 1, rank FROM {KW20}),
@@ -592,7 +640,15 @@ def text_page(spark, d):
     return upkeep.text_keyset_page(table(spark, d, "customer").select("c_name"), "c_name", "Customer#000000050", 50)
 
 
-@query("top12_batches")
+@query(
+    "top12_batches",
+    """WITH RECURSIVE d AS (SELECT doc_id, lang, octet_length(encode(text))::BIGINT AS bytes, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents),
+       b AS (SELECT doc_id, lang, bytes, r, 0 AS batch, 1 AS n, coalesce(bytes, 0) AS size FROM d WHERE r = 1
+       UNION ALL SELECT d.doc_id, d.lang, d.bytes, d.r, batch + (n >= 25 OR size + coalesce(d.bytes, 0) > 40000)::INT,
+         CASE WHEN n >= 25 OR size + coalesce(d.bytes, 0) > 40000 THEN 1 ELSE n + 1 END, CASE WHEN n >= 25 OR size + coalesce(d.bytes, 0) > 40000 THEN coalesce(d.bytes, 0) ELSE size + coalesce(d.bytes, 0) END
+         FROM b JOIN d ON d.lang IS NOT DISTINCT FROM b.lang AND d.r = b.r + 1)
+       SELECT doc_id, lang, bytes, batch FROM b""",
+)
 def batches(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes"))
     return upkeep.pack_batches(rows, "doc_id", "bytes", "lang", 25, 40_000)

@@ -4,8 +4,9 @@ Plain Parquet cannot be merged into, so a change is a new version: old and new
 rows meet in a full outer join on the key and the result goes to a new folder.
 An append writes its own rows only. A version is one small file that lists the
 table's folders; it is created only if no other writer took its number, so of
-two writers one tries again on top of the other. Readers of an old version are
-never disturbed, and a failed write leaves no version behind.
+two writers one tries again on top of the other: an append adds to the newer
+list, a change made of old rows is made anew of the newer ones. Readers of an
+old version are never disturbed, and a failed write leaves no version behind.
 """
 
 from __future__ import annotations
@@ -41,10 +42,10 @@ class Store:
     def _folders(self, name: str, version: int) -> list[str]:
         return [r["value"] for r in self.spark.read.text(f"{self.root}/{name}/_versions/{version:012d}").collect()]
 
-    def _commit(self, name: str, folders: Callable[[int | None], list[str]], patience: float = 5.0) -> None:
+    def _commit(self, name: str, folders: Callable[[int | None], list[str] | None], patience: float = 5.0) -> bool:
         """The next version, of the folders that ``folders`` gives for the current one; again if another writer was first.
 
-        A version that stays empty for ``patience`` seconds is a failed writer's and is passed over.
+        None in place of folders gives up, as what was written does not follow from the current version. A version that stays empty for ``patience`` seconds is a failed writer's and is passed over.
         """
         waited = 0.0
         while True:
@@ -54,7 +55,10 @@ class Store:
                 time.sleep(0.1)
                 waited += 0.1
                 continue
-            text = "\n".join(folders(max((v for v, length in listed.items() if length), default=None)))
+            now = folders(max((v for v, length in listed.items() if length), default=None))
+            if now is None:
+                return False
+            text = "\n".join(now)
             try:
                 out = self._fs.create(self._at(f"{self.root}/{name}/_versions/{newest + 1:012d}"), False)
             except Py4JJavaError as e:
@@ -64,15 +68,16 @@ class Store:
                 continue
             out.write(bytearray(text.encode()))
             out.close()
-            return
+            return True
 
     def _written(self, name: str, rows: DataFrame) -> str:
         folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
         return folder
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*self._folders(name, self._versions(name)[-1]))
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The newest version, or the one asked for."""
+        return self.spark.read.parquet(*self._folders(name, self._versions(name)[-1] if version is None else version))
 
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
@@ -82,17 +87,26 @@ class Store:
         folder = self._written(name, rows)
         self._commit(name, lambda _: [folder])
 
+    def replace(self, name: str, change: Callable[[DataFrame | None], DataFrame]) -> None:
+        """Make what ``change`` gives for the table (None if there is none) its next version; again if another writer was first."""
+        while True:
+            last = max(self._versions(name), default=None)
+            folder = self._written(name, change(None if last is None else self.read(name, last)))
+            if self._commit(name, lambda now: [folder] if now == last else None):  # noqa: B023
+                return
+            self._fs.delete(self._at(folder), True)
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Add ``rows``; what is there stays as it is, until the table has ``most_parts`` folders."""
         versions = self._versions(name)
         if versions and len(self._folders(name, versions[-1])) >= self.most_parts:
-            self.write(name, self.read(name).unionByName(rows))
+            self.replace(name, lambda old: rows if old is None else old.unionByName(rows))
             return
         folder = self._written(name, rows)
         self._commit(name, lambda last: ([] if last is None else self._folders(name, last)) + [folder])
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], **how) -> None:
-        self.write(name, merged(self.read(name), rows, keys, **how) if self.exists(name) else rows)
+        self.replace(name, lambda old: rows if old is None else merged(old, rows, keys, **how))
 
     def vacuum(self, name: str, keep: int = 2) -> None:
         """Delete all but the newest ``keep`` versions, and the folders that none of these lists; no writer may be at work."""

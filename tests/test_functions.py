@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwood.functions import embedding, markup, scores, texts, vectors
+from tarnwood.functions import embedding, markup, scores, stemming, texts, vectors
 
 
 def one(spark, column):
@@ -135,3 +136,30 @@ def test_embedder(spark):
     rows = spark.createDataFrame([("a b",), ("a b",), (" ",), (None,)], "t string").select(embedding.embedder(16)("t").alias("v")).collect()
     assert rows[0].v == rows[1].v and len(rows[0].v) == 16 and sum(x * x for x in rows[0].v) == pytest.approx(1, abs=1e-5)
     assert rows[2].v is None and rows[3].v is None
+
+
+@pytest.mark.parametrize(
+    "word, want",
+    [
+        ("running", "run"), ("runs", "run"), ("hopping", "hop"), ("hoping", "hope"), ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("gas", "gas"),
+        ("agreed", "agre"), ("luxuriated", "luxuri"), ("relational", "relat"), ("conditional", "condit"), ("generously", "generous"), ("communication", "communic"),
+        ("national", "nation"), ("hopefulness", "hope"), ("knightly", "knight"), ("controlling", "control"), ("databases", "databas"), ("cry", "cri"), ("by", "by"), ("say", "say"),
+        ("boyish", "boyish"), ("dying", "die"), ("news", "news"), ("exceeding", "exceed"), ("analogies", "analog"), ("replacement", "replac"), ("rate", "rate"), ("x86", "x86"), ("", ""),
+    ],
+)
+def test_stems(word, want):
+    assert stemming.stem(word) == want == stemming.stem(want) or word != want and stemming.stem(word) == want
+
+
+def test_opposites_are_bits(spark):
+    """Bits of two texts count what looking for each word does, words inside others included; a null text says nothing."""
+    rng = random.Random(6)
+    words = [w for pair in texts.ANTONYMS for w in pair] + ["x", "Buyers", "UPWARDS"]
+    rows = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)] + [(60, None)], "id int, text string")
+    bits = texts.with_opposites(rows, "text")
+    a, b = (bits.select(*[F.col(c).alias(f"{c}_{x}") for c in bits.columns]) for x in "ab")
+    both = a.crossJoin(b).select(
+        texts.opposite_signals(*[F.col(c) for c in ("left_words_a", "right_words_a", "left_words_b", "right_words_b")]).alias("bits"),
+        texts.contradiction_signals(F.col("text_a"), F.col("text_b")).alias("plain"),
+    ).collect()
+    assert all(r.bits == (r.plain or 0) for r in both) and len({r.bits for r in both}) > 3

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwood.operators import blocks, catalog, mining, retrieval, textindex, upkeep
 from tarnwood.plans import cdc, store
 from tarnwood.sources import configs, files, sessions
-from tarnwood.streaming import intake
+from tarnwood.streaming import intake, outbox
 
 
 def listed(spark, scores):
@@ -270,3 +270,41 @@ def test_outbox(spark):
     assert {r.k: (r.generation, r.operation) for r in queue.collect()} == {"a": (2, "delete"), "b": (1, "upsert")}
     acks = spark.createDataFrame([("a", 1), ("b", 1)], "k string, generation long")
     assert [r.k for r in catalog.acknowledged(queue, acks, ["k"]).collect()] == ["a"]
+
+
+def test_no_write_is_lost(spark, tmp_path):
+    """An append, and another change, that land while an upsert is at work are there afterwards, with the upsert."""
+    held = store.Store(spark, str(tmp_path))
+    rows = lambda pairs: spark.createDataFrame(pairs, "id long, v string")
+    held.write("t", rows([(0, "a"), (1, "b")]))
+    other, seen = store.Store(spark, str(tmp_path)), []
+
+    def change(old):
+        seen.append(old.count())
+        if len(seen) == 1:
+            other.append("t", rows([(7, "late")]))
+        if len(seen) == 2:
+            other.upsert("t", rows([(1, "other")]), ["id"])
+        return store.merged(old, rows([(0, "new")]), ["id"])
+
+    held.replace("t", change)
+    assert sorted(map(tuple, held.read("t").collect())) == [(0, "new"), (1, "other"), (7, "late")] and seen == [2, 3, 3]
+    folders = [p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]
+    assert len(folders) == 4  # those of changes that were made anew are gone
+
+
+def test_outbox_as_a_stream(spark, tmp_path):
+    """Generations, attempts and acknowledgements over several micro-batches; an old acknowledgement ends nothing."""
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    deliveries = [
+        [("a", "change", "upsert", at(1), 1, None), ("a", "failed", None, at(2), 2, None), ("b", "change", "upsert", at(1), 3, None), ("c", "failed", None, at(1), 9, None)],
+        [("a", "change", "delete", at(5), 4, None), ("a", "sent", None, at(6), 5, 1), ("b", "sent", None, at(6), 6, 1)],
+        [("a", "failed", None, at(7), 7, None), ("b", "change", "late", at(0), 8, None)],
+    ]
+    schema = "record string, kind string, operation string, at timestamp, event_id long, generation long"
+    for k, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    last = outbox.run_outbox(spark, stream, ["record"], f"{tmp_path}/out", f"{tmp_path}/offsets")
+    got = {r.record: (r.generation, r.operation, r.attempts, r.pending) for r in last.collect()}
+    assert got == {"a": (2, "delete", 1, True), "b": (2, "upsert", 0, True), "c": (0, None, 0, False)}
