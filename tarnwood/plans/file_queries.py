@@ -213,7 +213,7 @@ def inserts(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("snk29_reindex", "SELECT doc_id, 64 AS dimension, CASE WHEN doc_id % 3 = 0 THEN 32.0 END AS kept_sum FROM documents WHERE trim(text) <> ''")
+@query("snk29_reindex", "SELECT doc_id, 64 AS dimension, CASE WHEN doc_id % 3 = 0 THEN 32.0::DOUBLE END AS kept_sum FROM documents WHERE trim(text) <> ''")
 def reindex(spark, d):
     rows = table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(0.5).cast("float"), 64)).alias("embedding"))
     done = store.repaired_embeddings(rows.withColumn("had", F.col("embedding").isNotNull()), F.col("text"), embedding.embedder(64))

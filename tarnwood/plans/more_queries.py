@@ -360,12 +360,12 @@ def audit(spark, d):
 @query(
     "str09_digest_tree",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 1009 = 0 THEN 'missing' ELSE 'mismatch' END AS reason FROM orders WHERE o_orderkey % 1009 = 0 OR o_orderkey % 997 = 0
-       UNION ALL SELECT -c_custkey, 'extra' FROM customer WHERE c_custkey % 211 = 0""",
+       UNION ALL SELECT -1 - c_custkey, 'extra' FROM customer WHERE c_custkey % 211 = 0""",
 )
 def digest_audit(spark, d):
     local = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
     changed = local.withColumn("o_orderstatus", F.when(F.col("id") % 997 == 0, "?").otherwise(F.col("o_orderstatus"))).where("id % 1009 <> 0")
-    extra = table(spark, d, "customer").where("c_custkey % 211 = 0").select((-F.col("c_custkey")).alias("id"), F.lit(0.0).cast(local.schema["o_totalprice"].dataType).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
+    extra = table(spark, d, "customer").where("c_custkey % 211 = 0").select((F.lit(-1) - F.col("c_custkey")).alias("id"), F.lit(0.0).cast(local.schema["o_totalprice"].dataType).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
     return digests.tree_audit(local, changed.unionByName(extra), "id", local.columns)
 
 
