@@ -28,6 +28,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[str], list[float]] | None = None):
         self.spark, self.store, self.embed = spark, tables.Store(spark, root), embed
         self.paused = False
+        self.indexes: dict[str, tuple[int | None, textindex.TextIndex]] = {}
 
     def table(self, name: str) -> DataFrame:
         """A stored table; an empty one of its schema before the first write."""
@@ -46,6 +47,16 @@ class Engine:
 
     # Searching
 
+    def index_texts(self, name: str) -> None:
+        """Index a stored table's texts; searches use it as long as the table's version is that which was indexed."""
+        version, text = self.store.version(name), retrieval.search_columns(name)[0]
+        found = textindex.TextIndex(self.spark, f"{self.store.root}/_indexes/{name}-{uuid.uuid4().hex}")
+        self.indexes[name] = version, found.build(self.table(name), text_col=text)
+
+    def _index(self, name: str) -> textindex.TextIndex | None:
+        version, index = self.indexes.get(name, (None, None))
+        return index if index is not None and version == self.store.version(name) else None
+
     def memory_search(self, query: str, limit: int = 10, mode: str = "hybrid", *, session_id: str | None = None, now: datetime.datetime | None = None) -> DataFrame:
         """The best rows of four tables, best first; what a session sees is logged."""
         vector = self.embed(query) if self.embed else None
@@ -55,7 +66,7 @@ class Engine:
             aged = F.lit(now) if now is not None and name == "memories" and mode not in ("vector", "keyword") else None
             found[name] = retrieval.hybrid_search(
                 rows, rows.where("embedding is not null"), query, vector, mode if vector else "keyword", limit,
-                text_col=text, full_text=name != "trading_results", decay_as_of=aged,
+                text_col=text, full_text=name != "trading_results", decay_as_of=aged, index=self._index(name) if name != "trading_results" else None,
             ).select("id", "score")
         best = retrieval.federated(found, limit)
         if session_id is not None:

@@ -10,7 +10,7 @@ from ..functions.scores import (
     age_days, recency_decay, relative, round_half_up, rrf_term,
 )
 from ..functions.vectors import constant, cosine
-from .textindex import keyword_topk
+from .textindex import TextIndex, keyword_topk
 
 #: Text and extra columns of each searched table; unknown names fall back to the first.
 SEARCHED = {
@@ -80,18 +80,21 @@ def top(found: DataFrame, limit: int) -> DataFrame:
 
 def hybrid_search(
     rows: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, mode: str = "hybrid", limit: int = 10, *,
-    text_col: str = "content", decay_as_of=None, full_text: bool = True, vector_id: str = "id",
+    text_col: str = "content", decay_as_of=None, full_text: bool = True, vector_id: str = "id", index: TextIndex | None = None,
 ) -> DataFrame:
     """One search over a table: ``vector``, ``keyword``, ``rsf``, and for any other mode rank fusion.
 
+    With an ``index`` of the rows' texts, the keyword side reads that.
+
     The two single modes never decay. The fused ones take twice the limit from
     each side, fuse, decay if ``decay_as_of`` is given, sort anew and cut.
     """
+    by_words = lambda n: index.keyword(query, n) if index else keyword_topk(rows, query, n, text_col=text_col, full_text=full_text)
     if mode == "vector":
         return vector_topk(vectors, vector or [], limit, id_col=vector_id)
     if mode == "keyword" or not vector:
-        return keyword_topk(rows, query, limit, text_col=text_col, full_text=full_text)
-    sides = (vector_topk(vectors, vector, 2 * limit, id_col=vector_id), keyword_topk(rows, query, 2 * limit, text_col=text_col, full_text=full_text))
+        return by_words(limit)
+    sides = (vector_topk(vectors, vector, 2 * limit, id_col=vector_id), by_words(2 * limit))
     fused = rsf(*sides) if mode == "rsf" else rrf(*sides)
     if decay_as_of is not None:
         fused = with_decay(fused, rows, decay_as_of)

@@ -82,6 +82,10 @@ class Store:
     def exists(self, name: str) -> bool:
         return bool(self._versions(name))
 
+    def version(self, name: str) -> int | None:
+        """The number of the newest version."""
+        return max(self._versions(name), default=None)
+
     def write(self, name: str, rows: DataFrame) -> None:
         """Make ``rows`` the table's next version."""
         folder = self._written(name, rows)

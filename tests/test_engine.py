@@ -54,3 +54,16 @@ def test_keyword_only(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.memory_store("plain words", NOW)
     assert e.memory_search("plain").count() == 1
+
+
+def test_search_over_an_index(spark, tmp_path):
+    """An index gives what a scan gives, in any form of a word, until the table changes."""
+    engine = Engine(spark, str(tmp_path))
+    now = datetime.datetime(2024, 1, 1)
+    for text in ("a fox runs", "the fox was running far", "hens sleep"):
+        engine.memory_store(text, now)
+    scan = engine.memory_search("running fox", 5).collect()
+    engine.index_texts("memories")
+    assert engine._index("memories") is not None and engine.memory_search("running fox", 5).collect() == scan and len(scan) == 2
+    engine.memory_store("fox run", now)
+    assert engine._index("memories") is None and len(engine.memory_search("running fox", 5).collect()) == 3
