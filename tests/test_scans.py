@@ -129,3 +129,26 @@ def test_compaction_with_copies(spark, split):
         assert marks == {a for a, _ in want}
         got = {(r.a, r.b) for r in mining.compaction_pairs(frame, threshold, split=split).collect()}
         assert {p for p in got if sets[p[0]][1]} == {p for p in want if sets[p[0]][1]} and {a for a, _ in got} == marks
+
+
+def test_neighbours_are_sent_once_a_group(spark, monkeypatch):
+    """Small groups and products, copies and equal scores: neighbours and pairs are those of all against all, each vector sent once for each group and few candidates given out."""
+    monkeypatch.setattr(blocks, "_GROUP", 8 * 6 * 80)
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.normal(size=(330, 6)), np.repeat(rng.normal(size=(1, 6)), 40, axis=0)]).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>").repartition(3)
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1)[:, None]
+    score = np.floor(np.einsum("id,jd->ij", u, u) * 1e9 + 0.5) / 1e9
+    want = {(i, int(j)) for i in range(len(m)) for j in np.lexsort((np.arange(len(m)), -score[i]))[:5] if score[i, j] > 0.2 and i != j}
+    found = blocks.nearest_pairs(rows, 0.2, 5, size=20)
+    kept = found.collect()
+    _, pairs, placed, groups = blocks._blocks(rows, 0.2, "id", "embedding", 20)
+    cells = blocks._cells(pairs, placed, groups).where("k is not null").count()
+    assert groups >= 4 and cells <= len(m) * (groups + 1)  # blocks meet some hundred times, vectors are sent once for each group
+    assert len(kept) <= 5 * cells < (score > 0.2).sum()
+    best: dict = {}
+    for r in kept:
+        best.setdefault(r.a, []).append((-r.score, r.b))
+    assert {(a, b) for a, x in best.items() for _, b in sorted(x)[:5] if a != b} == want
+    every = {(r.a, r.b) for r in blocks.similar_pairs(rows, 0.6, size=20, keep_all=True).collect()}
+    assert every == {(int(i), int(j)) for i, j in np.argwhere(score > 0.6)}
