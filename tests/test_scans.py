@@ -152,3 +152,19 @@ def test_neighbours_are_sent_once_a_group(spark, monkeypatch):
     assert {(a, b) for a, x in best.items() for _, b in sorted(x)[:5] if a != b} == want
     every = {(r.a, r.b) for r in blocks.similar_pairs(rows, 0.6, size=20, keep_all=True).collect()}
     assert every == {(int(i), int(j)) for i, j in np.argwhere(score > 0.6)}
+
+
+def test_word_sets_meet_by_parts(spark):
+    """Texts of few common words: sets nearly alike share a key, and others hardly any, however common their words are."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(200)]
+    sets = [set(rng.sample(vocabulary, rng.randint(1, 120))) for _ in range(150)]
+    sets += [(s - set(rng.sample(sorted(s), len(s) // 40))) | {f"x{k}"} for k, s in enumerate(sets[:60])]
+    rows = spark.createDataFrame([("g", bytes([k]), sorted(s)) for k, s in enumerate(sets)], "g string, s binary, words array<string>")
+    keys: dict = {}
+    for r in mining._part_keys(rows, 0.9).collect():
+        keys.setdefault(r.key, {}).setdefault(r.s[0], []).append(r.own)
+    met = {(a, b) for held in keys.values() for a in held for b in held if a < b and any(held[a] + held[b])}
+    alike = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and len(x & y) / len(x | y) > 0.9}
+    assert len(alike) > 30 and alike <= met
+    assert len(met) < len(sets) * (len(sets) - 1) // 2 // 5  # by the rarest words nearly all of one size met
