@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import random
 
 import pytest
@@ -163,3 +164,27 @@ def test_opposites_are_bits(spark):
         texts.contradiction_signals(F.col("text_a"), F.col("text_b")).alias("plain"),
     ).collect()
     assert all(r.bits == (r.plain or 0) for r in both) and len({r.bits for r in both}) > 3
+
+
+def test_frontmatter_takes_some_texts_at_a_time():
+    """A batch of texts gives what each gives alone; no more than a slice of it is taken out of Arrow at once."""
+    import pyarrow as pa
+
+    sizes = []
+
+    class Counted:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, low, n):
+            sizes.append(n)
+            return self.values.slice(low, n)
+
+    raw = [f"---\nn: {k}\n---\nbody {k}" for k in range(700)] + [None, "plain"]
+    got = markup.frontmatter.func(Counted(pa.array(raw))).to_pylist()
+    assert [(json.loads(r["frontmatter"]), r["body"]) for r in got] == [markup.split_frontmatter(x or "") for x in raw]
+    assert len(sizes) > 2 and max(sizes) <= 256
+    assert len(markup.frontmatter.func(pa.array([], pa.string()))) == 0
