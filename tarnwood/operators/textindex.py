@@ -29,6 +29,8 @@ _WORD = re.compile("[a-z0-9]+")
 _WEIGHT, _LAST, _MOST, _SERIES = 0.1, 16383, 255, 1.64493406685
 #: Documents in a block of the index; buckets of the words; blocks that a search looks at first.
 _DOCS, _BUCKETS, _FIRST = 4096, 64, 64
+#: Words whose stems a task of a scan keeps at a time.
+_KNOWN = 1 << 16
 
 
 def terms(text: Column) -> Column:
@@ -120,7 +122,7 @@ def fts_topk(docs: DataFrame, query: str, limit: int, *, id_col: str = "id", tex
                 places: list[list[int]] = [[] for _ in wanted]
                 for place, word in enumerate(_WORD.findall((texts[k].as_py() or "").lower()), 1):
                     if word not in known:
-                        if len(known) >= 1 << 20:
+                        if len(known) >= _KNOWN:
                             known.clear()
                         known[word] = None if word in STOP else number.get(stem(word))
                     which = known[word]
@@ -202,19 +204,24 @@ class TextIndex:
         blocks = max(1, -(-named.count() // block_docs))
         named = named.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "text")
         rows = named.mapInArrow(_word_rows, named.select(F.lit("").alias("term"), "id", "block", F.array(F.lit(0)).alias("places")).schema)
-        self._write("words", rows.groupBy("term", "block").agg(F.max(F.size("places")).alias("most"), F.collect_list(F.struct("id", "places")).alias("docs")), "term")
+        grouped = self._dealt(rows, "term").groupBy("slot", "bucket", "term", "block")
+        self._write("words", grouped.agg(F.max(F.size("places")).alias("most"), F.collect_list(F.struct("id", "places")).alias("docs")), "term")
         words = self._rows("words").select("term").distinct().mapInArrow(_stemmed, "stem string, term string")
-        self._write("stems", words, "stem")
+        self._write("stems", self._dealt(words, "stem"), "stem")
         if grams:
             sets = named.select("id", "block", trigrams(F.col("text")).alias("g")).withColumn("n", F.size("g"))
             spread = sets.select("id", "block", "n", F.explode("g").alias("gram"))
-            listed = spread.groupBy("gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("df"), F.collect_list(F.struct("id", "n")).alias("docs"))
+            listed = self._dealt(spread, "gram").groupBy("slot", "bucket", "gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("df"), F.collect_list(F.struct("id", "n")).alias("docs"))
             self._write("grams", listed, "gram")
         return self
 
+    def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows with their ``bucket``, dealt by parts of it (``slot``), so that what is grouped by slot and key need not be moved again."""
+        slots = rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(7 * self.buckets)).cast("int")).repartition("slot")
+        return slots.withColumn("bucket", F.col("slot") % self.buckets)
+
     def _write(self, name: str, rows: DataFrame, key: str) -> None:
-        dealt = rows.withColumn("bucket", _bucket(F.col(key), self.buckets)).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(7 * self.buckets)))
-        dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        rows.drop("slot").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def _none(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/ids").select("id", F.lit(0.0).alias("score")).limit(0)

@@ -8,6 +8,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnwood.functions.stemming import STOP, stem
 from tarnwood.operators import retrieval, textindex
@@ -109,3 +110,24 @@ def test_no_documents(spark, tmp_path):
     index = TextIndex(spark, f"{tmp_path}/index").build(none)
     assert index.search("run", 5).collect() == index.similar("run", 5).collect() == index.keyword("run", 5).collect() == []
     assert retrieval.ranked(fts_topk(none, "run", 5)).collect() == []
+
+
+def test_index_is_dealt_once(spark, tmp_path):
+    """Postings are grouped where they are dealt for writing: one exchange of them in the plan, not two."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7}") for i in range(50)], "id long, content string")
+    index = textindex.TextIndex(spark, str(tmp_path / "index"), 4).build(docs, block_docs=8)
+    rows = docs.select("id", F.lit(0).alias("block"), F.explode(F.split("content", " ")).alias("term"))
+    grouped = index._dealt(rows, "term").groupBy("slot", "bucket", "term", "block").agg(F.collect_list("id").alias("docs"))
+    assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    stored = spark.read.parquet(f"{index.path}/words")
+    assert "slot" not in stored.columns and stored.groupBy("term").agg(F.count_distinct("bucket").alias("n")).where("n > 1").count() == 0
+    assert [tuple(r) for r in index.search("alpha w3", 9).collect()] == [tuple(r) for r in textindex.fts_topk(docs, "alpha w3", 9).collect()]
+
+
+def test_a_scan_keeps_few_stems(spark, monkeypatch):
+    """What a task knows of words is bounded, and results do not depend on it."""
+    docs = spark.createDataFrame([(i, f"alpha v{i} beta u{i % 9}") for i in range(60)], "id long, content string")
+    want = textindex.fts_topk(docs, "alpha beta", 60).collect()
+    assert textindex._KNOWN <= 1 << 16
+    monkeypatch.setattr(textindex, "_KNOWN", 2)
+    assert textindex.fts_topk(docs, "alpha beta", 60).collect() == want
