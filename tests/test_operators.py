@@ -308,3 +308,32 @@ def test_outbox_as_a_stream(spark, tmp_path):
     last = outbox.run_outbox(spark, stream, ["record"], f"{tmp_path}/out", f"{tmp_path}/offsets")
     got = {r.record: (r.generation, r.operation, r.attempts, r.pending) for r in last.collect()}
     assert got == {"a": (2, "delete", 1, True), "b": (2, "upsert", 0, True), "c": (0, None, 0, False)}
+
+
+def test_outbox_takes_rows_without_frames(monkeypatch):
+    """A record's rows, in several frames and out of order, are taken by time and event; those without a time last; no frame is joined or sorted for a record."""
+    import pandas as pd
+
+    from tarnwood.streaming.outbox import OutboxEntries
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    entries = OutboxEntries(["k"])
+    entries.entry = State()
+    at = lambda s: pd.Timestamp(f"2024-01-01 00:00:{s:02d}") if s else pd.NaT
+    frame = lambda rows: pd.DataFrame([(at(s), e, kind, op, g) for s, e, kind, op, g in rows], columns=["at", "event_id", "kind", "operation", "generation"])
+    frames = [frame([(9, 4, "failed", None, None), (0, 7, "sent", None, 2)]), frame([(5, 3, "change", "b", None), (5, 2, "change", "a", None)])]
+    monkeypatch.setattr(pd, "concat", None)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    (out,) = entries.handleInputRows(("x",), iter(frames), None)
+    assert out.iloc[0].tolist() == ["x", 2, "b", at(5), 3, 1, False]
