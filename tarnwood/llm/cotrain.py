@@ -47,22 +47,64 @@ _META = _LANGS + _SOURCES + _FIGURES * _BINS + 100 + 1
 TARGETS = ("quality", "toxic")
 
 
+def _byte_table(change: dict[bytes, bytes]) -> np.ndarray:
+    """What each byte becomes: any of a key's bytes the key's one byte, all others stay."""
+    out = np.arange(256, dtype=np.uint8)
+    for these, by in change.items():
+        out[list(these)] = by[0]
+    return out
+
+
+#: ASCII letters, capitals and digits for which one of their kind may stand, as a word's shape knows the kinds only.
+_KINDS = _byte_table({bytes(range(97, 123)): b"a", bytes(range(65, 91)): b"A", bytes(range(48, 58)): b"0"})
+_IS_MARK = np.isin(np.arange(256), list(_MARKS.encode()))
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of strings without nulls, end to end, and where each string begins and the last one ends."""
+    _, places, data = strings.buffers()
+    wide = np.int64 if pa.types.is_large_string(strings.type) else np.int32
+    begins = np.frombuffer(places, wide)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, wide)
+    return np.frombuffer(data or b"", np.uint8)[begins[0] : begins[-1]], begins - begins[0]
+
+
+def _tally(there: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How many bytes of each string are marked in ``there``."""
+    return np.diff(np.searchsorted(np.flatnonzero(there), begins))
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values in order, once each, and where each begins among all of them sorted. A sort is faster here than ``np.unique``'s table."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return x[first], first
+
+
 def _hashed(words: pa.Array, kind: int) -> np.ndarray:
     """Feature numbers of strings; ``kind`` keeps words, shapes and beginnings apart."""
-    found = pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False)
+    found = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
     return ((found ^ np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & _MASK).astype(np.int64)
 
 
+def _shapes(words: pa.Array) -> pa.DictionaryArray:
+    """The words with runs of a kind cut to one each; words that differ in their ASCII letters and digits only go through the patterns once."""
+    data, begins = _bytes(words)
+    kinds = type(words).from_buffers(len(words), pa.py_buffer(begins), pa.py_buffer(_KINDS[data])).dictionary_encode()
+    shape = kinds.dictionary
+    for pattern, by in _RUNS:
+        shape = pc.replace_substring_regex(shape, pattern, by)
+    return pa.DictionaryArray.from_arrays(kinds.indices, pc.utf8_slice_codeunits(shape, 0, 12))
+
+
 def word_features(words: pa.Array) -> np.ndarray:
     """For each word the numbers of itself, its shape, and its first three and five letters; -1 where it is no longer than these."""
     plain = pc.utf8_trim(pc.utf8_lower(words), characters=".,;:!?\"'()" + _MARKS)
-    shape = words
-    for pattern, by in _RUNS:
-        shape = pc.replace_substring_regex(shape, pattern, by)
-    out = [_hashed(plain, 0), _hashed(pc.utf8_slice_codeunits(shape, 0, 12), 1)]
+    shapes = _shapes(words)
+    out = [_hashed(plain, 0), _hashed(shapes.dictionary, 1)[shapes.indices.to_numpy()]]
     length = pc.utf8_length(plain).to_numpy()
     for n in (3, 5):
-        out.append(np.where(length > n, _hashed(pc.utf8_slice_codeunits(plain, 0, n), n), -1))
+        begun = pc.utf8_slice_codeunits(plain, 0, n).dictionary_encode()
+        out.append(np.where(length > n, _hashed(begun.dictionary, n)[begun.indices.to_numpy()], -1))
     return np.stack(out, 1)
 
 
@@ -87,9 +129,10 @@ class Measured:
         some = (table >= 0).any(axis=1)[self.word]
         found = table[self.word[some]]
         key = (self.doc[some, None] << _BITS | found)[found >= 0]
-        key, counts = np.unique(key, return_counts=True)
-        often = key[counts >= 3] ^ _OFTEN
-        key = np.union1d(key, often) if len(often) else key
+        total = len(key)
+        key, first = _distinct(key)
+        often = key[np.diff(first, append=total) >= 3] ^ _OFTEN
+        key = _distinct(np.append(key, often))[0] if len(often) else key
         return key >> _BITS, key & ((1 << _BITS) - 1)
 
 
@@ -107,16 +150,18 @@ def measure(langs: list, sources: list, texts: pa.Array) -> Measured:
     owner = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists)))[full]
     coded = flat.filter(pa.array(full)).dictionary_encode()
     which, distinct = coded.indices.to_numpy(), max(1, len(coded.dictionary))
-    pairs = np.unique(owner * distinct + which) if len(which) else np.empty(0, np.int64)
+    pairs = _distinct(owner * distinct + which)[0]
     doc, word = pairs // distinct, pairs % distinct
 
     count = np.maximum(np.bincount(owner, minlength=n), 1)
     same = (which[1:] == which[:-1]) & (owner[1:] == owner[:-1])
     upper = np.asarray(pc.utf8_is_upper(coded.dictionary)) if len(coded.dictionary) else np.zeros(1, bool)
-    marks = sum(pc.count_substring(texts, m).to_numpy() for m in _MARKS)
-    bars = pc.count_substring(texts, " | ").to_numpy()
+    data, begins = _bytes(texts)
+    marks, barred = _tally(_IS_MARK[data], begins), _tally(data == ord("|"), begins) > 0
+    bars = np.zeros(n, np.int64)
+    bars[barred] = pc.count_substring(texts.filter(pa.array(barred)), " | ").to_numpy()
     ended = pc.count_substring_regex(texts, r"[.!?。！？][\"')]*(\n|$)").to_numpy()
-    lines = pc.count_substring(texts, "\n").to_numpy() + 1
+    lines = _tally(data == ord("\n"), begins) + 1
     size = pc.utf8_length(texts).to_numpy()
     figures = [
         np.bincount(owner[1:][same], minlength=n) / count, np.bincount(owner, weights=upper[which], minlength=n) / count,
@@ -125,8 +170,9 @@ def measure(langs: list, sources: list, texts: pa.Array) -> Measured:
     ]
     meta = np.zeros((n, _META), np.float32)
     rows, at = np.arange(n), _LANGS + _SOURCES
-    meta[rows, [hash_of(f"l {x}") % _LANGS for x in langs]] = 1
-    meta[rows, [_LANGS + hash_of(f"s {x}") % _SOURCES for x in sources]] = 1
+    lang_of, source_of = ({x: hash_of(f"{kind} {x}") for x in set(values)} for kind, values in (("l", langs), ("s", sources)))
+    meta[rows, [lang_of[x] % _LANGS for x in langs]] = 1
+    meta[rows, [_LANGS + source_of[x] % _SOURCES for x in sources]] = 1
     for k, figure in enumerate(figures):
         meta[rows, at + k * _BINS + _binned(figure)] = 1
     meta[rows, at + _FIGURES * _BINS + 10 * _binned(figures[5]) + np.clip(np.log2(count).astype(np.int64) - 3, 0, 9)] = 1

@@ -95,6 +95,47 @@ def test_measures_by_plain_loops(docs):
     assert some == {(d, f) for d, f in zip(doc.tolist(), feature.tolist(), strict=True) if used[f]}
 
 
+def test_measures_take_equal_things_once(monkeypatch):
+    """Shapes go through the patterns once for all words of the same kinds; shapes, beginnings, languages and sources are hashed once each."""
+    seen = Counter()
+    hash_array, replace = cotrain.pd.util.hash_array, cotrain.pc.replace_substring_regex
+
+    def hashed(values, **how):
+        seen["hashed"] += len(values)
+        return hash_array(values, **how)
+
+    def replaced(strings, **how):
+        seen["replaced"] += len(strings)
+        return replace(strings, **how)
+
+    monkeypatch.setattr(cotrain.pd.util, "hash_array", hashed)
+    monkeypatch.setattr(cotrain.pc, "replace_substring_regex", lambda strings, pattern, replacement: replaced(strings, pattern=pattern, replacement=replacement))
+    found = [f"{a}{b}{c}xy" for a in "abcd" for b in "efgh" for c in "ijkl"]
+    m = cotrain.measure(["en"] * 64, ["s"] * 64, pa.array(found))
+    assert len(m.words) == 64 and len(set(m.words[:, 0])) == 64 and len(set(m.words[:, 1])) == 1 and (m.words[:, 3] == -1).all()
+    assert seen["replaced"] == len(cotrain._RUNS) and seen["hashed"] <= 64 + 1 + 64 + 64 + 2
+
+
+def test_measures_of_slices_and_odd_characters():
+    """A slice's measures are those of its texts alone, in both string types; shapes keep letters, capitals and digits beyond ASCII apart."""
+    rng = random.Random(4)
+    texts = [None, "", *("".join(rng.choices("aZ09 \n\t|#*$.!?。)É\u00a0ßИжΣ日٣Ⅷ👍ǅ\u3000<>", k=rng.randint(0, 60))) for _ in range(200)), "|" * 50 + " | " * 9]
+    for kind in (pa.string(), pa.large_string()):
+        part = pa.array(texts, kind).slice(1, 190)
+        m = cotrain.measure(["en"] * 190, ["s"] * 190, part)
+        doc, feature = m.features()
+        for i, text in enumerate(part.to_pylist()):
+            features, places = plain_measure("en", "s", text)
+            assert set(feature[doc == i].tolist()) == features and set(np.flatnonzero(m.meta[i]).tolist()) == places
+    odd = pa.array(["Ab9", "ÉB9", "Zz0", "日本٣!!", "ИЖ#$", "éß"])
+    want = []
+    for w in odd.to_pylist():
+        for pattern, by in cotrain._RUNS:
+            w = cotrain.pc.replace_substring_regex(pa.scalar(w), pattern, by).as_py()
+        want.append(w[:12])
+    assert cotrain._shapes(odd).cast(pa.string()).to_pylist() == want and len(cotrain._shapes(odd).dictionary) == 5
+
+
 def test_the_surest_of_all_documents_are_handed_over(spark):
     rng = random.Random(2)
     scored = spark.createDataFrame([(i, rng.uniform(-12, 12)) for i in range(5000)], "doc_id long, s double").repartition(7)
