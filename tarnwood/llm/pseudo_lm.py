@@ -74,7 +74,7 @@ class Vocabulary:
         place = pc.index_in(words, value_set=self.frequent)
         rare = np.asarray(place.is_null())
         out = place.fill_null(0).to_numpy().astype(np.uint64)
-        others = words.filter(pa.array(rare)).cast(pa.binary()).to_pylist()
+        others = words.filter(pa.array(rare)).cast(pa.binary()).to_numpy(zero_copy_only=False)
         out[rare] = np.fromiter(map(xxhash.xxh3_64_intdigest, others), np.uint64, len(others)) | np.uint64(_RARE)
         return out
 
@@ -166,41 +166,52 @@ class WindowNetwork:
         # |h| is at most 1, so a logit is at most its column's absolute sum.
         safe = [float((np.abs(w).sum(axis=0) + np.abs(b)).max()) < 60 for w, b in [(group_w, group_b), *zip(word_w, word_b, strict=True)]]
         placed = [self.get("embed") * p for p in self.get("place")]
+        held = np.empty((min(chunk, len(ids)), self.side), self.flat.dtype)
         for at in range(0, len(ids), chunk):
             i, n = ids[at : at + chunk], near[at : at + chunk]
-            h = placed[0][n[:, 0]]
+            h = placed[0].take(n[:, 0], axis=0)
             for k in range(1, n.shape[1]):
-                h += placed[k][n[:, k]]
+                h += placed[k].take(n[:, k], axis=0)
             np.tanh(h, out=h)
             if rounded:
                 h *= _STEPS
                 np.rint(h, out=h)
                 h /= _STEPS
             g, w = np.divmod(i, self.side)
-            score = self._chosen(h @ group_w + group_b, g, safe[0]).astype(np.float64)
+            z = np.matmul(h, group_w, out=held[: len(i)])
+            z += group_b
+            score = self._chosen(z, g, safe[0]).astype(np.float64)
             order, ends = self._by_group(g)
-            h, w = h[order], w[order]
+            h, w = h.take(order, axis=0), w[order]
             words = np.empty(len(i), np.float64)
             for c in np.flatnonzero(np.diff(ends)):
                 own = slice(ends[c], ends[c + 1])
-                words[own] = self._chosen(h[own] @ word_w[c] + word_b[c], w[own], safe[c + 1])
+                z = np.matmul(h[own], word_w[c], out=held[: ends[c + 1] - ends[c]])
+                z += word_b[c]
+                words[own] = self._chosen(z, w[own], safe[c + 1])
             score[order] += words
             out[at : at + chunk] = score
         return out
 
     @staticmethod
-    def _errors(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
-        """Softmax of each row less one at one place, the gradient of its loss; overwrites ``z``."""
+    def _errors(z: np.ndarray, at: np.ndarray, safe: bool, parts: list[slice]) -> None:
+        """Turns ``z`` into the softmax of each row less one at one place, the gradient of its loss. ``parts``: rows whose sums are taken in one product."""
         if not safe:
             z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+        sums, ones = np.empty(len(z), z.dtype), np.ones(z.shape[1], z.dtype)
+        for own in parts:
+            np.matmul(z[own], ones, out=sums[own])
+        z *= (1 / sums)[:, None]
         z[np.arange(len(z)), at] -= 1
-        return z
 
     def train(self, ids: np.ndarray, near: np.ndarray, squares: np.ndarray, rate: float, chunk: int = 4096) -> None:
         """Adagrad steps over the tokens in order, ``chunk`` at a time."""
         grad, step = np.empty_like(self.flat), np.empty_like(self.flat)
+        # Arrays of the chunks, made once.
+        most, slots = min(chunk, len(ids)), near.shape[1]
+        founds, spreads, gathered = (np.empty((most, slots, self.width), self.flat.dtype) for _ in range(3))
+        errors, backs = np.empty((most, self.side), self.flat.dtype), np.empty((most, self.width), self.flat.dtype)
         embed, place, group, group_b, word, word_b = (self.get(n) for n in self.names)
         d_embed, d_place, d_group, d_group_b, d_word, d_word_b = (self.get(n, grad) for n in self.names)
         for at in range(0, len(ids), chunk):
@@ -211,24 +222,40 @@ class WindowNetwork:
             g, w = np.divmod(i, self.side)
             order, ends = self._by_group(g)
             g, w, n = g[order], w[order], n[order]
-            found = embed[n]
-            h = np.tanh((found * place).sum(axis=1))
-            e = self._errors(h @ group + group_b, g, safe[0])
-            d_group[:], d_group_b[:] = h.T @ e, e.sum(axis=0)
+            # A group's products go to its rows of one array, so that all else is done once for all groups.
+            parts = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends)).tolist()]
+            rows = n.ravel()
+            found, spread, e, back = founds[: len(i)], spreads[: len(i)], errors[: len(i)], backs[: len(i)]
+            embed.take(rows, axis=0, out=found.reshape(-1, self.width), mode="clip")
+            h = found[:, 0] * place[0]
+            for k in range(1, n.shape[1]):
+                h += found[:, k] * place[k]
+            np.tanh(h, out=h)
+            np.matmul(h, group, out=e)
+            e += group_b
+            self._errors(e, g, safe[0], [slice(0, len(i))])
+            np.matmul(h.T, e, out=d_group)
+            np.add.reduce(e, axis=0, out=d_group_b)
             dh = e @ group.T
-            for c in np.flatnonzero(np.diff(ends)):
-                own = slice(ends[c], ends[c + 1])
-                e = self._errors(h[own] @ word[c] + word_b[c], w[own], safe[1])
-                d_word[c], d_word_b[c] = h[own].T @ e, e.sum(axis=0)
-                dh[own] += e @ word[c].T
+            for c, own in parts:
+                np.matmul(h[own], word[c], out=e[own])
+            e += word_b.take(g, axis=0)
+            self._errors(e, w, safe[1], [own for _, own in parts])
+            for c, own in parts:
+                np.matmul(h[own].T, e[own], out=d_word[c])
+                np.add.reduce(e[own], axis=0, out=d_word_b[c])
+                np.matmul(e[own], word[c].T, out=back[own])
+            dh += back
             dh *= 1 - h * h
             found *= dh[:, None]
-            d_place[:] = found.sum(axis=0)
-            rows = n.ravel()
+            found.sum(axis=0, out=d_place)
             by = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
             ordered = rows[by]
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            d_embed[ordered[first]] = np.add.reduceat((dh[:, None] * place).reshape(-1, self.width)[by], first, axis=0)
+            np.multiply(dh[:, None], place, out=spread)
+            sorted_ = gathered[: len(i)].reshape(-1, self.width)
+            spread.reshape(-1, self.width).take(by, axis=0, out=sorted_, mode="clip")
+            d_embed[ordered[first]] = np.add.reduceat(sorted_, first, axis=0)
             d_embed[self.size] = 0
             grad /= len(i)
             squares += np.multiply(grad, grad, out=step)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -202,6 +203,56 @@ def test_network_gradient():
     assert np.allclose(measured[where], np.abs(numeric[where]), atol=2e-3)
 
 
+def test_steps_by_plain_groups(monkeypatch):
+    """Adagrad steps as group after group gives them, the last chunk shorter; exponentials are taken once for all groups of a chunk."""
+    rng = np.random.default_rng(6)
+    net = WindowNetwork(side=8, width=4, reach=2)
+    net.flat[:] *= 3
+    net.get("word_bias")[:] = rng.normal(0, 1, (8, 8))
+    ids = np.where(rng.random(1000) < 0.3, 5, rng.integers(0, 60, 1000)).astype(np.int32)
+    near, rate, chunk = net.around(ids, np.arange(1000) // 40), 0.3, 128
+    flat, squares = net.flat.astype(np.float64), np.zeros(len(net.flat))
+    for at in range(0, 1000, chunk):
+        grad = np.zeros_like(flat)
+        embed, place, group, group_b, word, word_b = (net.get(n, flat) for n in net.names)
+        d_embed, d_place, d_group, d_group_b, d_word, d_word_b = (net.get(n, grad) for n in net.names)
+        i, n = ids[at : at + chunk], near[at : at + chunk]
+        for t, around in zip(i, n, strict=True):
+            c, w = divmod(int(t), 8)
+            h = np.tanh((embed[around] * place).sum(axis=0))
+            e, f = (np.exp(z) / np.exp(z).sum() for z in (h @ group + group_b, h @ word[c] + word_b[c]))
+            e[c] -= 1
+            f[w] -= 1
+            d_group += np.outer(h, e)
+            d_group_b += e
+            d_word[c] += np.outer(h, f)
+            d_word_b[c] += f
+            dh = (group @ e + word[c] @ f) * (1 - h * h)
+            d_place += embed[around] * dh
+            np.add.at(d_embed, around, place * dh)
+        d_embed[net.size] = 0
+        grad /= len(i)
+        squares += grad * grad
+        flat -= rate * grad / (np.sqrt(squares) + 1e-4)
+    calls, exp = [], np.exp
+    monkeypatch.setattr(pseudo_lm.np, "exp", lambda z, **how: calls.append(len(z)) or exp(z, **how))
+    net.train(ids, near, np.zeros_like(net.flat), rate, chunk)
+    assert np.abs(net.flat - flat).mean() < 1e-4 and np.quantile(np.abs(net.flat - flat), 0.99) < 2e-3
+    assert calls == [128] * 14 + [104] * 2
+
+
+def test_logits_of_a_chunk_are_held_once():
+    net = WindowNetwork()
+    ids = np.random.default_rng(2).integers(0, 4096, 40_000).astype(np.int32)
+    near = net.around(ids, np.arange(40_000) // 100)
+    tracemalloc.start()
+    try:
+        net.log_probability(ids, near, rounded=True)
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * 16_384 * 64 * 4
+    finally:
+        tracemalloc.stop()
+
+
 def test_probabilities_by_plain_loops():
     """The two-level softmax is a distribution over the vocabulary, and log_probability its logarithm."""
     net = WindowNetwork(side=4, width=3, reach=2)
